@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from parchment.llm import mixing, quality_rules, secrets
 from parchment.llm.near_dedup import near_duplicates
 
 
@@ -11,10 +12,22 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.weighted_mix(_documents(spark, sf_dir))
+
+
 def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_documents(spark, sf_dir))
 
 
-QUERIES = {"op5_near_dedup": op5_near_dedup}
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.quality_rules(_documents(spark, sf_dir))
+
+
+def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.secret_report(_documents(spark, sf_dir))
+
+
+QUERIES = {f.__name__: f for f in (op1_mixing, op5_near_dedup, op7_quality_rules, op8_secret_scan)}
 
-ORACLE: dict[str, str] = {}
+ORACLE = {"op1_mixing": mixing.SQL, "op7_quality_rules": quality_rules.SQL}
