@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from parchment.llm import mixing, quality_rules, secrets
+from parchment.llm import fingerprints, mixing, quality_rules, secrets, sharding
 from parchment.llm.near_dedup import near_duplicates
 
 
@@ -16,6 +16,10 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.weighted_mix(_documents(spark, sf_dir))
 
 
+def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprint_documents(_documents(spark, sf_dir))
+
+
 def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_documents(spark, sf_dir))
 
@@ -28,6 +32,10 @@ def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_report(_documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op5_near_dedup, op7_quality_rules, op8_secret_scan)}
+def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard_documents(_documents(spark, sf_dir))
+
+
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_simhash, op5_near_dedup, op7_quality_rules, op8_secret_scan, op10_sharding)}
 
 ORACLE = {"op1_mixing": mixing.SQL, "op7_quality_rules": quality_rules.SQL}
