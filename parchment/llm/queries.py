@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from parchment.llm import fingerprints, mixing, quality_rules, secrets, sharding
+from parchment.llm import fingerprints, mixing, quality_classifier, quality_rules, secrets, sharding, toxicity
 from parchment.llm.near_dedup import near_duplicates
 
 
@@ -12,6 +12,10 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/labels.parquet")
+
+
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.weighted_mix(_documents(spark, sf_dir))
 
@@ -20,10 +24,18 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprint_documents(_documents(spark, sf_dir))
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity_scores(_documents(spark, sf_dir), _labels(spark, sf_dir))
+
+
 def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_documents(spark, sf_dir))
 
 
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_classifier.quality_scores(_documents(spark, sf_dir), _labels(spark, sf_dir))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(_documents(spark, sf_dir))
 
@@ -36,6 +48,6 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(_documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op2_simhash, op5_near_dedup, op7_quality_rules, op8_secret_scan, op10_sharding)}
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_simhash, op3_toxicity, op5_near_dedup, op6_quality_classifier, op7_quality_rules, op8_secret_scan, op10_sharding)}
 
 ORACLE = {"op1_mixing": mixing.SQL, "op7_quality_rules": quality_rules.SQL}
