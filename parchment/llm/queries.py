@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from parchment.llm import fingerprints, mixing, quality_classifier, quality_rules, secrets, sharding, toxicity
+from parchment.llm import fingerprints, mixing, pieces, quality_classifier, quality_rules, secrets, sharding, token_counts, toxicity
 from parchment.llm.near_dedup import near_duplicates
 
 
@@ -28,6 +28,10 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity_scores(_documents(spark, sf_dir), _labels(spark, sf_dir))
 
 
+def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.piece_report(_documents(spark, sf_dir))
+
+
 def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_documents(spark, sf_dir))
 
@@ -44,10 +48,18 @@ def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_report(_documents(spark, sf_dir))
 
 
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.length_sums(token_counts.length_histogram(_documents(spark, sf_dir)))
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(_documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op2_simhash, op3_toxicity, op5_near_dedup, op6_quality_classifier, op7_quality_rules, op8_secret_scan, op10_sharding)}
+_ALL = (
+    op1_mixing, op2_simhash, op3_toxicity, op4_sentencepiece, op5_near_dedup, op6_quality_classifier,
+    op7_quality_rules, op8_secret_scan, op9_token_counts, op10_sharding,
+)
+QUERIES = {f.__name__: f for f in _ALL}
 
 ORACLE = {"op1_mixing": mixing.SQL, "op7_quality_rules": quality_rules.SQL}
