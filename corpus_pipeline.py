@@ -1,13 +1,62 @@
-"""The corpus pipeline."""
+"""The corpus pipeline: low quality goes, near copies go, secrets are masked, sources are mixed, texts are encoded."""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from parchment.llm.mixing import weighted_mix
+from parchment.llm.near_dedup import near_duplicates
+from parchment.llm.pieces import encode_documents
+from parchment.llm.quality_classifier import fit_quality, statistics
+from parchment.llm.quality_rules import bind
+from parchment.llm.secrets import redact_secrets
+from parchment.llm.storage import materialize
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier gives label 1 stay."""
+    model = fit_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return docs.where(bind(statistics(F.col("text")), model.score) >= 0.5)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate group stays, the one with the smallest id."""
+    kept = near_duplicates(docs).where("kept").select(F.col("doc_id").alias("__id")).distinct()
+    return docs.join(kept, docs.doc_id.eqNullSafe(kept["__id"]), "left_semi")
+
+
+def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Owner-specific secrets are masked in the texts; all documents stay."""
+    return redact_secrets(docs).withColumn("n_chars", F.length("text").cast("long"))
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix takes it: not at all, once or twice."""
+    taken = weighted_mix(docs).where("taken > 0")
+    times = taken.groupBy(F.col("doc_id").alias("__id"), F.col("size").alias("__size")).agg(F.max(F.expr("taken div size")).cast("int").alias("__n"))
+    size = F.regexp_count(F.col("text"), F.lit(r"[^\x20\x09-\x0D]+"))
+    both = docs.join(times, docs.doc_id.eqNullSafe(times["__id"]) & (size == times["__size"]))
+    return both.select(*docs.columns, F.explode(F.sequence(F.lit(1), "__n")).alias("__turn")).drop("__turn")
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_chars, n_pieces, chunks and the pieces of every text."""
+    out = encode_documents(docs)
+    return out.select("doc_id", "n_chars", F.size("pieces").cast("long").alias("n_pieces"), "chunks", "pieces")
+
+
+STAGES = [("quality", quality), ("near_dedup", near_dedup), ("secrets", secrets), ("mix", mix), ("encode", encode)]
+
+#: a fitted classifier and a tokenizer are beyond SQL; the tests hold the stages against brute-force versions
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents, each written and read again by the next."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    for i, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if i < len(STAGES) - 1:
+            docs = materialize(docs, name)
     return docs

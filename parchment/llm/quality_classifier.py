@@ -141,12 +141,12 @@ def held_out(id_col: str, folds: int, fold: int) -> Column:
 
 
 def fit_quality(
-    table: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id", max_train: int = 20_000
+    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_train: int = 20_000
 ) -> RuleModel:
-    """Fit on ``table`` (id, stats) joined with the training fold; ``max_train`` bounds the labelled rows used."""
+    """Fit on the documents of the training fold; ``max_train`` bounds the labelled rows used (and so the broadcast)."""
     train = training_rows(labels, ~held_out(id_col, 3, 1), label_col, id_col, max_train)
-    # at most max_train pairs of numbers
-    return fit_rules(materialize(table.join(F.broadcast(train), "id").select("stats", "label"), "train"))
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(train), "id")
+    return fit_rules(materialize(rows.select(statistics(F.col("text")).alias("stats"), "label"), "train"))
 
 
 def quality_scores(
@@ -164,8 +164,6 @@ def quality_scores(
     have no label. Repeated rows are rows like others. An empty table gives no rows. Only id, text and the label are
     read, so other columns and clashing names don't matter.
     """
-    table = docs.select(F.col(id_col).alias("id"), statistics(F.col(text_col)).alias("stats"))
-    table = materialize(table, "stats")
-    model = fit_quality(table, labels, label_col, id_col, max_train)
-    scored = table.select(F.col("id").alias(id_col), model.score(F.col("stats")).alias("score"))
+    model = fit_quality(docs, labels, id_col, text_col, label_col, max_train)
+    scored = docs.select(F.col(id_col), bind(statistics(F.col(text_col)), model.score).alias("score"))
     return scored.select(id_col, held_out(id_col, 3, 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
