@@ -20,26 +20,28 @@ def statistics(text: Column) -> Column:
     """Struct of doubles that describe one whole text; nulls count as empty, and a share of nothing is 0."""
     text = F.coalesce(text, F.lit(""))
     share = lambda a, b: F.coalesce(F.try_divide(a.cast("double"), b.cast("double")), F.lit(0.0))
-    chars = lambda kind: F.length(text) - F.length(F.translate(text, kind, ""))
     lines = F.filter(F.split(text, "\n", -1), lambda x: F.btrim(x, F.lit(SPACES)) != "")
-    solid = F.length(F.translate(text, SPACES, ""))
-
-    def of(w: Column) -> Column:
-        n = F.size(w)
-        twin = F.size(F.filter(w, lambda x, i: x == F.get(w, i - 1)))
+    solid = F.length(text) - F.length(F.regexp_replace(text, r"[^\x20\x09-\x0D]+", ""))
+    # few characters are capitals, digits or signs: classes are counted among these
+    marks = F.regexp_replace(text, r"[^!-@A-Z\[-`{-~]+", "")
+
+    def of(x: Column) -> Column:
+        w, n = x["w"], F.size(x["w"])
+        chars = lambda kind: F.length(x["marks"]) - F.length(F.translate(x["marks"], kind, ""))
+        twin = F.size(F.filter(w, lambda y, i: y == F.get(w, i - 1)))
         return F.struct(
             F.log1p(n.cast("double")).alias("log_words"),
             share(F.size(F.array_distinct(w)), n).alias("distinct_words"),
             share(twin, n).alias("twin_words"),
-            share(solid, n).alias("word_length"),
+            share(x["solid"], n).alias("word_length"),
             share(chars(SYMBOLS), n).alias("symbols"),
             share(chars("!"), n).alias("shouts"),
             share(chars(".,;:?"), n).alias("stops"),
-            share(chars(UPPER), solid).alias("capitals"),
-            share(chars("0123456789"), solid).alias("digits"),
+            share(chars(UPPER), x["solid"]).alias("capitals"),
+            share(chars("0123456789"), x["solid"]).alias("digits"),
         )
 
-    words = bind(word_array(text), of)
+    words = bind(F.struct(word_array(text).alias("w"), marks.alias("marks"), solid.alias("solid")), of)
     line = bind(
         lines,
         lambda x: F.struct(
@@ -47,7 +49,9 @@ def statistics(text: Column) -> Column:
             (1.0 - share(F.size(F.array_distinct(x)), F.greatest(F.size(x), F.lit(1)))).alias("repeated_lines"),
         ),
     )
-    return F.struct(*[words[c].alias(c) for c in WORD_STATS], *[line[c].alias(c) for c in LINE_STATS])
+    # both parts are bound, or each field would make them anew
+    both = F.struct(words.alias("w"), line.alias("l"))
+    return bind(both, lambda x: F.struct(*[x["w"][c].alias(c) for c in WORD_STATS], *[x["l"][c].alias(c) for c in LINE_STATS]))
 
 
 WORD_STATS = ("log_words", "distinct_words", "twin_words", "word_length", "symbols", "shouts", "stops", "capitals", "digits")
