@@ -76,7 +76,7 @@ class Rule:
 RULES = (
     Rule("mean_word_length", "word_chars > 20 * n_words OR word_chars < 2 * n_words"),
     Rule("symbol_ratio", "10 * n_symbols > 3 * n_words"),
-    Rule("duplicate_lines", "10 * n_dup_lines > 3 * n_lines"),
+    Rule("duplicate_lines", "n_dup_lines > 2 AND 10 * n_dup_lines > 3 * n_lines"),
     Rule("capitals", "2 * (length(text) - length(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', ''))) > word_chars"),
 )
 
@@ -144,6 +144,6 @@ c AS (SELECT doc_id, len(words)::BIGINT AS n_words, len(regexp_replace(text, '[\
 f AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM c)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
        NOT base_failed AND NOT (word_chars > 20 * n_words OR word_chars < 2 * n_words) AND NOT 10 * n_symbols > 3 * n_words
-       AND NOT 10 * n_dup_lines > 3 * n_lines AND NOT 2 * n_upper > word_chars AS kept
+       AND NOT (n_dup_lines > 2 AND 10 * n_dup_lines > 3 * n_lines) AND NOT 2 * n_upper > word_chars AS kept
 FROM f
 """
