@@ -123,6 +123,14 @@ def rewrite_years(c: Column, target: int, keep=KEEP_PATTERNS, update=UPDATE_PATT
     return bind(F.transform(year_mentions(c), decide), build)
 
 
+def union_spans(*arrays: Column) -> Column:
+    """Distinct spans of several arrays, sorted."""
+    out = arrays[0]
+    for a in arrays[1:]:
+        out = F.array_union(out, a)
+    return F.array_sort(F.array_distinct(out))
+
+
 def date_year_spans(c: Column, target: int) -> Column:
     """Sorted distinct (at, stop) of years before ``target`` that belong to a full date, year-month or month-year.
 
@@ -146,7 +154,7 @@ def date_year_spans(c: Column, target: int) -> Column:
             (m["at"] + F.length(m["text"]) - 4).alias("at"), (m["at"] + F.length(m["text"])).alias("stop"), F.right(m["text"], F.lit(4)).cast("int").alias("year")
         ),
     )
-    both = F.array_union(F.array_union(full, F.transform(match_places(c, YEAR_MONTH), span)), tail)
+    both = union_spans(full, F.transform(match_places(c, YEAR_MONTH), span), tail)
     early = F.filter(both, lambda s: s["year"] < target)
     return F.array_sort(F.array_distinct(F.transform(early, lambda s: F.struct(s["at"].alias("at"), s["stop"].alias("stop")))))
 
