@@ -175,3 +175,30 @@ def redact_secrets(
     some = some.join(live, match, "left").withColumn(text_col, masked).select(*docs.columns)
     return docs.where(~candidates).unionByName(some)
 
+
+
+#: the report in DuckDB SQL, which has no look-around: an added span is a whole run, tested for length and characters
+_RE2_ASSIGN = r"""(?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)"""
+_RE2 = ((_RE2_ASSIGN, 1), ("AKIA[A-Z0-9]{16,}", 0), ("[0-9a-f]{24,}", 0), ("[A-Za-z0-9_-]+", 0))
+SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text, coalesce('o' || source, '') AS owner FROM documents),
+m AS ({" UNION ALL ".join(
+    f"SELECT rid, {i} AS rank, '{kind.name}' AS kind, regexp_extract_all(text, '{pattern}') AS ms, regexp_extract_all(text, '{pattern}', {group}) AS vs, "
+    f"string_split_regex(text, '{pattern}') AS gs FROM d WHERE regexp_matches(text, '{pattern if i < 3 else '[A-Za-z0-9_-]{20,}'}')"
+    for i, (kind, (pattern, group)) in enumerate(zip((*BASE, *ADDED), _RE2, strict=True))
+)}),
+u AS (SELECT rid, rank, kind, unnest(ms) AS m, unnest(vs) AS v, unnest(gs[:len(ms)]) AS g, unnest(range(len(ms))) AS i FROM m),
+p AS (SELECT *, (sum(length(g) + length(m)) OVER (PARTITION BY rid, rank ORDER BY i ROWS UNBOUNDED PRECEDING))::BIGINT AS stop FROM u),
+f AS (SELECT rid, rank, kind, stop - length(m) AS start, stop, v FROM p WHERE CASE rank WHEN 0 THEN length(v) >= 6
+        WHEN 3 THEN length(m) BETWEEN 20 AND 200 AND regexp_matches(m, '[0-9]') AND regexp_matches(m, '[a-z]') AND regexp_matches(m, '[A-Z]') ELSE true END),
+o AS (SELECT v, count(DISTINCT owner) >= 3 AS shared FROM f JOIN d USING (rid) GROUP BY v),
+j AS (SELECT f.*, shared FROM f JOIN o USING (v)),
+k AS (SELECT * FROM j WHERE rank < 3 UNION ALL SELECT * FROM j x WHERE rank = 3 AND NOT shared
+        AND NOT EXISTS (SELECT 1 FROM j b WHERE b.rid = x.rid AND b.rank < 3 AND b.start < x.stop AND x.start < b.stop)),
+t AS (SELECT rid, count(*) FILTER (rank = 0) AS n_assign, count(*) FILTER (rank = 1) AS n_access, count(*) FILTER (rank = 2) AS n_hex,
+             string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, rank) FILTER (rank < 3) AS base,
+             string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, rank) AS spans,
+             count(*) FILTER (NOT shared) AS n_live, count(*) FILTER (shared) AS n_shared FROM k GROUP BY rid)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256,
+       coalesce(spans, '') AS spans, coalesce(n_live, 0) AS n_live, coalesce(n_shared, 0) AS n_shared FROM d LEFT JOIN t USING (rid)
+"""
