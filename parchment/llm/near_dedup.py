@@ -17,6 +17,8 @@ from parchment.runtime import ship
 
 #: rows of a bucket that one task compares with another such block at once
 BLOCK_ROWS = 256
+#: ids (8 bytes each) that may be broadcast
+MOST_IDS = 1_000_000
 
 
 @dataclass(frozen=True)
@@ -25,12 +27,14 @@ class Signature:
 
     By pigeonhole, two signatures that differ in fewer than chunks * (errors + 1) places agree in all but at most
     ``errors`` places of some chunk. Each way to leave out that many places gives one key of the chunk, so all
-    such pairs share a key. At a Jaccard similarity of 0.75 a pair shares none with probability 6e-6.
+    such pairs share a key. At a Jaccard similarity of 0.75 a pair shares none with probability 6e-6. Pairs whose
+    signatures differ in more than ``far`` places are not confirmed: at 0.75 that is a chance of 3e-6.
     """
 
     chunks: int = 12
     places: int = 5
     errors: int = 1
+    far: int = 32
     seed: int = 7
 
     def factors(self) -> np.ndarray:
@@ -88,6 +92,27 @@ def _keyer(signature: Signature):
     return keys
 
 
+def _places(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    """Signatures as rows of 32-bit values."""
+    rows = column.to_pylist()
+    return np.frombuffer(b"".join(rows), np.uint32).reshape(len(rows), -1)
+
+
+def _likely(signature: Signature, percent: int):
+    """mapInArrow function: pairs whose set sizes and signatures allow a link."""
+
+    def likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            sizes = np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in ("nu", "nv")])
+            apart = (_places(batch.column("su")) != _places(batch.column("sv"))).sum(axis=1)
+            ok = (apart <= signature.far) & (100 * sizes.min(axis=0) >= percent * sizes.max(axis=0))
+            yield batch.select(["u", "v"]).filter(pa.array(ok))
+
+    return likely
+
+
 def _similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     least, most = sorted((len(a), len(b)))
     if 100 * least < percent * most:
@@ -109,34 +134,58 @@ def _verifier(percent: int):
 
 
 def _bucket_linker(percent: int):
-    """applyInArrow function: all links between components of one block pair of a bucket, one for each pair of components."""
-
-    def link(table: pa.Table) -> pa.Table:
-        rid, comp = table["rid"].to_pylist(), table["comp"].to_pylist()
-        block, sets = table["block"].to_pylist(), [np.frombuffer(x, np.uint64) for x in table["shingles"].to_pylist()]
-        left, right = table["i"][0].as_py(), table["j"][0].as_py()
-        known: dict[int, int] = {}
+    """applyInArrow function: links of one block's left rows to rows of other components, one for each pair of components.
 
-        def root(x: int) -> int:
-            while known.get(x, x) != x:
-                x = known[x]
-            return x
+    Each left row's elements are marked once, and one pass over all sets of the block counts its intersections.
+    """
 
+    def link(table: pa.Table) -> pa.Table:
+        rid, comp, left = (table[c].to_numpy() for c in ("rid", "comp", "left"))
+        size = np.array([len(x) // 8 for x in table["shingles"].to_pylist()], np.int64)
+        _, ids = np.unique(np.frombuffer(b"".join(table["shingles"].to_pylist()), np.uint64), return_inverse=True)
+        starts = np.append(0, np.cumsum(size))
+        marked = np.zeros(len(ids) and int(ids.max()) + 1, np.int64)
+        roots = comp.copy()
         out = []
-        ps, qs = ([x for x in range(len(rid)) if block[x] == side] for side in (left, right))
-        for p in ps:
-            for q in qs:
-                if left == right and q <= p or comp[p] == comp[q]:
-                    continue
-                a, b = root(comp[p]), root(comp[q])
-                if a != b and _similar(sets[p], sets[q], percent):
-                    out.append((rid[p], rid[q]))
-                    known[max(a, b)] = min(a, b)
+        for p in np.flatnonzero(left):
+            if (roots == roots[p]).all():
+                continue
+            own = ids[starts[p] : starts[p + 1]]
+            marked[own] = 1
+            common = np.add.reduceat(marked[ids], starts[:-1])
+            marked[own] = 0
+            for q in np.flatnonzero((roots != roots[p]) & (100 * common >= percent * (size + size[p] - common))):
+                if roots[q] != roots[p]:
+                    out.append((int(rid[p]), int(rid[q])))
+                    roots[roots == max(roots[p], roots[q])] = min(roots[p], roots[q])
         return pa.table({"u": pa.array([x for x, _ in out], pa.int64()), "v": pa.array([x for _, x in out], pa.int64())})
 
     return link
 
 
+def _mixed_blocks(member: DataFrame) -> DataFrame:
+    """(key, i, j, rid, comp, left): blocks of the buckets (key, rid, comp) that hold several components.
+
+    A bucket's largest component is its majority. Only pairs with a row outside it can link components, so those rows
+    (left) meet every row: they are cut into blocks i, and all rows into blocks j. Buckets with the same rows count once.
+    """
+    each = member.groupBy("key", "comp").agg(F.count("*").alias("n"), F.expr("bit_xor(xxhash64(rid))").alias("who"))
+    mixed = each.groupBy("key").agg(
+        F.count("*").alias("comps"), F.sum("n").alias("size"), F.max(F.struct("n", "comp")).alias("most"), F.expr("bit_xor(who)").alias("who")
+    )
+    mixed = mixed.where("comps > 1").groupBy("who", "size", "most").agg(F.min("key").alias("key"))
+    rows = member.join(mixed.select("key", "size", "most"), "key")
+    wide = F.ceil(F.col("size") / BLOCK_ROWS).cast("int")
+    tall = F.ceil((F.col("size") - F.col("most.n")) / BLOCK_ROWS).cast("int")
+    place = F.xxhash64("rid")
+    rows = rows.select("key", "rid", "comp", (F.col("comp") != F.col("most.comp")).alias("odd"), wide.alias("wide"), tall.alias("tall"), place.alias("h"))
+    j, i = F.pmod("h", "wide").cast("int"), F.pmod("h", "tall").cast("int")
+    down = rows.select("key", "rid", "comp", F.explode(F.sequence(F.lit(0), F.col("tall") - 1)).alias("i"), j.alias("j"), F.lit(False).alias("left"))
+    along = rows.where("odd").select("key", "rid", "comp", i.alias("i"), F.explode(F.sequence(F.lit(0), F.col("wide") - 1)).alias("j"), F.lit(True).alias("left"))
+    # a row that meets its own block stands there once, on the left
+    return along.unionByName(down).groupBy("key", "i", "j", "rid", "comp").agg(F.max("left").alias("left"))
+
+
 def near_duplicates(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -152,11 +201,10 @@ def near_duplicates(
     100 * intersection >= percent * union of their whole sets; component_id is the smallest id reachable.
 
     1. Sketch every text once: set size, set hash and signature. Equal sets collapse to one representative.
-    2. Multi-index join: the signature's keys make buckets, and each bucket links its members to its smallest one.
-       The distinct pairs are confirmed on the full sets, and confirmed links make components.
-    3. Buckets that still hold several components compare all pairs across components, in blocks of bounded
-       size, on the full sets. Buckets with the same members count once. So no pair that shares a key is lost,
-       and copies are never expanded into pairs.
+    2. Multi-index join: the signature's keys make buckets, and each bucket pairs its members with its smallest one.
+       Pairs that their signatures allow are confirmed on the full sets, and confirmed links make components.
+    3. Buckets that still hold several components compare all pairs across components on the full sets, in
+       blocks of bounded size. Copies are never expanded into pairs.
 
     Null or wordless texts have an empty set and stay alone. A row with a null id has a null component and is
     kept. Rows that repeat an id are one node, linked as any of them is. Ties can't arise: ids order the result.
@@ -175,27 +223,25 @@ def near_duplicates(
     member = materialize(keys.join(shared.select("key", "low"), "key"), "buckets")
     pairs = materialize(member.where("rid <> low").select(F.col("low").alias("u"), F.col("rid").alias("v")).distinct(), "pairs")
 
-    involved = pairs.select(F.explode(F.array("u", "v")).alias("rid")).distinct()
-    sets = src.where("rid is not null").join(involved, "rid", "left_semi").mapInArrow(_sketcher(width, None), "rid long, shingles binary")
-    # an id whose rows differ has several sets: each is compared, and any of them may link it
-    sets = materialize(sets.distinct(), "shingles")
-    paired = pairs.join(sets.select(F.col("rid").alias("u"), F.col("shingles").alias("su")), "u")
-    paired = paired.join(sets.select(F.col("rid").alias("v"), F.col("shingles").alias("sv")), "v")
+    sigs = same.select(F.col("rep").alias("rid"), "n", "sig")
+    both = pairs.join(sigs.toDF("u", "nu", "su"), "u").join(sigs.toDF("v", "nv", "sv"), "v")
+    pairs = materialize(both.mapInArrow(_likely(signature, percent), "u long, v long"), "pairs")
+
+    def shingle_sets(ids: DataFrame) -> DataFrame:
+        """Full sets of the ids. Up to MOST_IDS of them are broadcast; beyond that the texts are exchanged."""
+        ids = F.broadcast(ids) if ids.count() <= MOST_IDS else ids
+        some = src.where("rid is not null").join(ids, "rid", "left_semi")
+        return materialize(some.mapInArrow(_sketcher(width, None), "rid long, shingles binary"), "shingles")
+
+    sets = shingle_sets(materialize(pairs.select(F.explode(F.array("u", "v")).alias("rid")).distinct(), "ids"))
+    paired = pairs.join(sets.toDF("u", "su"), "u").join(sets.toDF("v", "sv"), "v")
     links = materialize(paired.select("u", "v", "su", "sv").mapInArrow(_verifier(percent), "u long, v long"), "links")
     first = materialize(star_components(links), "components")
 
     member = member.join(first.withColumnRenamed("node", "rid"), "rid", "left").select("key", "rid", F.coalesce("component", "rid").alias("comp"))
-    mixed = member.groupBy("key").agg(
-        F.min("comp").alias("a"), F.max("comp").alias("b"), F.count("*").alias("size"), F.expr("bit_xor(xxhash64(rid))").alias("who")
-    )
-    mixed = mixed.where("a < b").groupBy("who", "size").agg(F.min("key").alias("key"))
-    mixed = member.join(mixed.select("key", "size"), "key")
-    n_blocks = F.ceil(F.col("size") / BLOCK_ROWS).cast("int")
-    mixed = mixed.select("key", "rid", "comp", n_blocks.alias("blocks"), F.pmod(F.xxhash64("rid"), n_blocks).cast("int").alias("block"))
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    mixed = mixed.select("key", "rid", "comp", "block", other.alias("other"))
-    mixed = mixed.select("key", "rid", "comp", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-    late = mixed.join(sets, "rid").groupBy("key", "i", "j").applyInArrow(_bucket_linker(percent), "u long, v long")
+    blocks = materialize(_mixed_blocks(member), "blocks")
+    sets = shingle_sets(materialize(blocks.select("rid").distinct(), "ids"))
+    late = blocks.join(sets, "rid").groupBy("key", "i", "j").applyInArrow(_bucket_linker(percent), "u long, v long")
     late = materialize(late.distinct(), "links")
     if late.head(1):
         first = materialize(star_components(links.unionByName(late)), "components")
@@ -213,3 +259,20 @@ def near_duplicates(
     out = out.join(first, "node", "left").select("rid", "n", F.coalesce("component", "node").alias("component_id"))
     kept = F.coalesce(F.col("rid") == F.col("component_id"), F.lit(True))
     return out.select(F.col("rid").alias(id_col), F.col("n").alias("n_shingles"), "component_id", kept.alias("kept"))
+
+
+#: the same rows in DuckDB SQL: exact links by a join on shingles, components by recursion
+SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT row_number() OVER () AS rid, doc_id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+s AS (
+  SELECT rid, doc_id, CASE WHEN len(ws) = 0 THEN [] ELSE list_distinct(list_transform(range(1, greatest(len(ws) - 4, 1) + 1), lambda i: array_to_string(ws[i:i + 4], ' '))) END AS g FROM w),
+e AS (SELECT rid, unnest(g) AS h, len(g) AS n FROM s),
+c AS (SELECT a.rid AS u, b.rid AS v, any_value(a.n) AS nu, any_value(b.n) AS nv, count(*) AS shared FROM e a JOIN e b ON a.h = b.h AND a.rid < b.rid GROUP BY ALL),
+l AS (SELECT x.doc_id AS u, y.doc_id AS v FROM c JOIN s x ON x.rid = u JOIN s y ON y.rid = v WHERE 100 * shared >= 75 * (nu + nv - shared)),
+t AS (SELECT u, v FROM l UNION SELECT v, u FROM l),
+r(node, far) AS (SELECT u, v FROM t UNION SELECT r.node, t.v FROM r JOIN t ON r.far = t.u),
+k AS (SELECT node, min(far) AS low FROM r GROUP BY node)
+SELECT doc_id, len(g)::BIGINT AS n_shingles, least(doc_id, low) AS component_id, coalesce(doc_id <= low, true) AS kept FROM s LEFT JOIN k ON node = doc_id
+"""
