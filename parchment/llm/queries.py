@@ -4,8 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from parchment.llm import fingerprints, mixing, pieces, quality_classifier, quality_rules, secrets, sharding, token_counts, toxicity
-from parchment.llm.near_dedup import near_duplicates
+from parchment.llm import fingerprints, mixing, near_dedup, pieces, quality_classifier, quality_rules, secrets, sharding, token_counts, toxicity
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,7 +32,7 @@ def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(_documents(spark, sf_dir))
+    return near_dedup.near_duplicates(_documents(spark, sf_dir))
 
 
 def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,4 +61,6 @@ _ALL = (
 )
 QUERIES = {f.__name__: f for f in _ALL}
 
-ORACLE = {"op1_mixing": mixing.SQL, "op7_quality_rules": quality_rules.SQL}
+ORACLE = {
+    "op1_mixing": mixing.SQL, "op5_near_dedup": near_dedup.SQL, "op7_quality_rules": quality_rules.SQL, "op8_secret_scan": secrets.SQL,
+}
