@@ -116,7 +116,7 @@ def _with_next(src: DataFrame, parts: int) -> DataFrame:
     return placed.repartition(parts, "part").sortWithinPartitions("part", "tail", "ord", "text").drop("ord")
 
 
-def near_counts(prints: DataFrame, radius: int = 3, blocks: int = 6) -> DataFrame:
+def near_counts(prints: DataFrame, radius: int = 3, blocks: int = 5) -> DataFrame:
     """(fp, n_near): for each distinct fingerprint, rows of ``prints`` (fp long) within ``radius`` bits, its own included.
 
     The bits are cut into ``blocks`` blocks; two fingerprints within the radius agree in blocks - radius of them, so
@@ -129,9 +129,9 @@ def near_counts(prints: DataFrame, radius: int = 3, blocks: int = 6) -> DataFram
     masks = [((1 << edges[i + 1]) - 1) ^ ((1 << edges[i]) - 1) for i in range(blocks)]
     tables = np.array([sum(masks[i] for i in c) for c in combinations(range(blocks), blocks - radius)], np.uint64)
     signed = [int(x) for x in tables.view(np.int64)]
-    same = prints.where("fp is not null").groupBy("fp").agg(F.count("*").alias("weight"))
+    same = prints.where("fp is not null").groupBy("fp").agg(F.count("*").cast("int").alias("weight"))
     keyed = same.select("fp", "weight", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in signed])).alias("t", "bits"))
-    keyed = keyed.withColumn("key", F.xxhash64("t", "bits"))
+    keyed = keyed.select("fp", "weight", F.col("t").cast("byte").alias("t"), F.xxhash64("t", "bits").alias("key"))
     crowd = keyed.groupBy("key").agg(F.count("*").alias("members")).where("members > 1")
     n_blocks = F.ceil(F.col("members") / BLOCK_ROWS).cast("int")
     member = keyed.join(crowd, "key").withColumn("n", n_blocks).withColumn("block", F.pmod(F.xxhash64("fp"), F.col("n")).cast("int"))
@@ -157,7 +157,7 @@ def near_counts(prints: DataFrame, radius: int = 3, blocks: int = 6) -> DataFram
         return pa.table({"fp": pa.array(fp[hit].view(np.int64)), "n": pa.array(total[hit])})
 
     met = member.groupBy("key", "i", "j").applyInArrow(count, "fp long, n long")
-    return same.select("fp", F.col("weight").alias("n")).unionByName(met).groupBy("fp").agg(F.sum("n").alias("n_near"))
+    return same.select("fp", F.col("weight").cast("long").alias("n")).unionByName(met).groupBy("fp").agg(F.sum("n").alias("n_near"))
 
 
 def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, radius: int = 3) -> DataFrame:
