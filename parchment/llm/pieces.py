@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -186,6 +187,22 @@ def _marked(lattice: Lattice, text: str) -> str:
     return (MARK if lattice.prefix and text else "") + text.replace(" ", MARK)
 
 
+def _lists(ids: list[list[int]]) -> pa.Array:
+    """A list column of piece ids, without an object for each."""
+    flat = array("i")
+    for x in ids:
+        flat.fromlist(x)
+    offsets = np.append(0, np.cumsum([len(x) for x in ids])).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(flat, np.int32) if flat else np.zeros(0, np.int32)))
+
+
+def _rows(column: pa.Array) -> list[np.ndarray]:
+    """The piece ids of each row as arrays; a null row has none."""
+    values, offsets = column.values.to_numpy(zero_copy_only=False), column.offsets.to_numpy()
+    rows = [values[a:b] for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+    return [values[:0] if null else x for x, null in zip(rows, column.is_null().to_pylist(), strict=True)] if column.null_count else rows
+
+
 def _encode(model: bytes):
     """mapInArrow function: (id, text) to (id, n_chars, digest, pieces) for texts of a single chunk."""
 
@@ -197,7 +214,7 @@ def _encode(model: bytes):
                 texts = [x or "" for x in part.column("text").to_pylist()]
                 ids = lattice.plain.encode([_marked(lattice, x) for x in texts], num_threads=1)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("id"), pa.array(map(len, texts), pa.int64()), pa.array(map(_digest, texts)), pa.array(ids, pa.list_(pa.int32()))],
+                    [part.column("id"), pa.array(map(len, texts), pa.int64()), pa.array(map(_digest, texts)), _lists(ids)],
                     ["id", "n_chars", "digest", "pieces"],
                 )
 
@@ -266,7 +283,7 @@ def _backtrace(model: bytes):
             rows = batch.to_pylist()
             ids = lattice.plain.encode([r["text"][r["low"] + r["skip"] : r["high"] + r["over"]] for r in rows], num_threads=1)
             names = ["rid", "id", "n_chars", "digest", "chunk"]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(ids, pa.list_(pa.int32()))], [*names, "ids"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), _lists(ids)], [*names, "ids"])
 
     return run
 
@@ -315,7 +332,8 @@ def _decode(model: bytes, keep: bool):
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
                 names = [c for c in part.schema.names if c != "pieces"]
-                ids = [x or [] for x in part.column("pieces").to_pylist()]
+                rows = _rows(part.column("pieces"))
+                ids = [x.tolist() for x in rows]
                 texts = lattice.plain.decode(ids) if ids else []
                 if lattice.prefix:
                     texts = [x[1:] if i and lattice.plain.id_to_piece(i[0]).startswith(MARK) else x for x, i in zip(texts, ids, strict=True)]
@@ -324,7 +342,7 @@ def _decode(model: bytes, keep: bool):
                 else:
                     made = {
                         "n_pieces": pa.array(map(len, ids), pa.int64()),
-                        "pieces_sha256": pa.array([hashlib.sha256(np.array(i, "<i4").tobytes()).hexdigest() for i in ids], pa.string()),
+                        "pieces_sha256": pa.array([hashlib.sha256(x.astype("<i4").tobytes()).hexdigest() for x in rows], pa.string()),
                         "decoded": pa.array(map(_digest, texts), pa.string()),
                     }
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), *made.values()], [*names, *made])
