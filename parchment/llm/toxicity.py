@@ -1,13 +1,13 @@
-"""Toxicity by nearest labelled examples: exact TF-IDF cosine over a block-max inverted index."""
+"""Toxicity by nearest labelled examples: exact cosine of whole texts over a block-max index, TF-IDF times how terms tell classes apart."""
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -18,100 +18,83 @@ from parchment.runtime import ship
 
 #: distinct example vectors in a block of the index
 BLOCK = 64
+#: terms that more than this share of the examples hold are only read where the bounds of a block ask for it
+OFTEN, MOST_OFTEN = 1 / 16, 128
 
 
-def _term_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(label, text) to (term, with1, with0): texts of either label that hold the term, summed over each block of rows."""
-    for batch in batches:
-        labels = batch.column("label").to_numpy(zero_copy_only=False)
-        for row, data, offsets in K.blocks(batch.column("text")):
-            n = len(offsets) - 1
-            h, rows = K.term_hashes(data, offsets)
-            g, _, rows = K.distinct(h, np.repeat(np.arange(n), np.diff(rows)), n)
-            ones = np.repeat(labels[row : row + n], np.diff(rows)) == 1
-            terms, at = np.unique(g, return_inverse=True)
-            with1, both = np.bincount(at, ones, len(terms)), np.bincount(at, minlength=len(terms))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(terms.view(np.int64)), pa.array(with1.astype(np.int64)), pa.array(both - with1.astype(np.int64))],
-                ["term", "with1", "with0"],
-            )
+def _terms_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct terms of each text, their counts, and the first index of each text and the end."""
+    n = len(offsets) - 1
+    h, rows = K.term_hashes(data, offsets)
+    return K.distinct(h, np.repeat(np.arange(n), np.diff(rows)), n)
 
 
-def telling_terms(examples: DataFrame, n1: int, n0: int, most: int, least: float, ratio: float = 3.0) -> list[int]:
-    """The ``most`` terms whose presence differs most between labels, by a log-likelihood ratio of at least ``least``.
+def _lists(rows: np.ndarray, values: np.ndarray, kind: pa.DataType) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(rows.astype(np.int32)), pa.array(values, kind))
 
-    The share of texts with the term must differ by the factor ``ratio``: that keeps out words that everybody uses, which
-    any large sample finds significant.
-    """
-    counts = examples.select("label", "text").mapInArrow(_term_counts, "term long, with1 long, with0 long")
-    counts = counts.groupBy("term").agg(F.sum("with1").alias("a"), F.sum("with0").alias("b")).where("a + b > 1")
-    n, part = F.lit(float(n1 + n0)), []
-    for seen, group in (("a", n1), ("b", n0)):
-        for here, row in ((F.col(seen), F.col("a") + F.col("b")), (F.lit(group) - F.col(seen), n - F.col("a") - F.col("b"))):
-            part.append(F.when(here > 0, here * F.log(here * n / (row * group))).otherwise(0.0))
-    # half a text more on either side, so that absence is no infinite factor
-    lift = (F.col("a") + 0.5) / (n1 + 1) / ((F.col("b") + 0.5) / (n0 + 1))
-    counts = counts.where((lift >= ratio) | (lift <= 1 / ratio))
-    scored = counts.withColumn("g2", 2.0 * (part[0] + part[1] + part[2] + part[3])).where(F.col("g2") >= least)
-    return [r.term for r in scored.orderBy(F.desc("g2"), "term").limit(most).select("term").collect()]
-
-
-def _place_counts(size: int):
-    """mapInArrow function: texts that hold each place, summed over a task."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(size, np.int64)
-        for batch in batches:
-            total += np.bincount(batch.column("places").flatten().to_numpy(zero_copy_only=False), minlength=size)
-        full = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(full), pa.array(total[full])], ["place", "texts"])
+def _document_counts(batches: Iterator[pa.RecordBatch], most: int = 1 << 21) -> Iterator[pa.RecordBatch]:
+    """(text) to (term, texts): texts that hold each term, summed over some millions of terms of a task."""
 
-    return run
+    def summed(parts: list[np.ndarray]) -> pa.RecordBatch:
+        terms, texts = np.unique(np.concatenate(parts), return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(terms.view(np.int64)), pa.array(texts.astype(np.int64))], ["term", "texts"])
 
+    parts, size = [], 0
+    for batch in batches:
+        for _, data, offsets in K.blocks(batch.column("text")):
+            parts.append(_terms_of(data, offsets)[0])
+            size += len(parts[-1])
+            if size >= most:
+                yield summed(parts)
+                parts, size = [], 0
+    if parts:
+        yield summed(parts)
+
+
+def _example_vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, label, text) to (id, label, terms, times): all terms of the texts."""
+    for batch in batches:
+        for row, data, offsets in K.blocks(batch.column("text")):
+            g, times, rows = _terms_of(data, offsets)
+            rest = [batch.column(c).slice(row, len(offsets) - 1) for c in ("id", "label")]
+            yield pa.RecordBatch.from_arrays(
+                [*rest, _lists(rows, g.view(np.int64), pa.int64()), _lists(rows, times, pa.int32())], ["id", "label", "terms", "times"]
+            )
 
-def _vectors(terms: list[int]):
-    """mapInArrow function: adds term places and counts of the vocabulary; place len(terms) stands for all other terms."""
-    vocabulary = np.array(terms, np.int64).view(np.uint64)
-    order = np.argsort(vocabulary)
-    ordered = vocabulary[order]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row, data, offsets in K.blocks(batch.column("text")):
-                n = len(offsets) - 1
-                h, first = K.term_hashes(data, offsets)
-                row_of = np.repeat(np.arange(n), np.diff(first))
-                at = np.searchsorted(ordered, h)
-                known = np.zeros(len(h), bool)
-                inside = at < len(ordered)
-                known[inside] = ordered[at[inside]] == h[inside]
-                place = np.full(len(h), len(ordered), np.int64)
-                place[known] = order[at[known]]
-                code, times = np.unique(row_of * (len(ordered) + 1) + place, return_counts=True)
-                rows = np.searchsorted(code, np.arange(n + 1) * (len(ordered) + 1))
-                place = code % (len(ordered) + 1)
-                times[place == len(ordered)] = 1
-                lists = [pa.ListArray.from_arrays(pa.array(rows.astype(np.int32)), pa.array(x.astype(np.int32))) for x in (place, times)]
-                rest = [batch.column(c).slice(row, n) for c in batch.schema.names if c != "text"]
-                yield pa.RecordBatch.from_arrays([*rest, *lists], [*(c for c in batch.schema.names if c != "text"), "places", "times"])
+def telling(with1: np.ndarray, with0: np.ndarray, n1: int, n0: int) -> np.ndarray:
+    """What each term's weight is multiplied by: how many standard deviations its share differs between labels, at least 1.
 
-    return run
+    The deviation is the root of the log-likelihood ratio of the 2 x 2 table of texts. No term weighs less than its TF-IDF.
+    """
+    if not n1 or not n0:
+        return np.ones(len(with1))
+    g2 = np.zeros(len(with1))
+    for seen, group in ((with1, n1), (with0, n0)):
+        for here, row in ((seen, with1 + with0), (group - seen, n1 + n0 - with1 - with0)):
+            want = np.maximum(row * (group / (n1 + n0)), 1e-300)
+            g2 += 2.0 * here * np.log(np.where(here > 0, here / want, 1.0))
+    return np.maximum(1.0, np.sqrt(np.maximum(g2, 0.0)))
 
 
 @dataclass(frozen=True)
 class BlockMaxIndex:
-    """Distinct unit vectors of the examples in blocks, with posting lists and the greatest weight of each term in each block."""
+    """Distinct unit vectors of the examples in blocks: posting lists of rare terms, and rows of frequent terms with their
+    greatest weight in each block."""
 
     idf: np.ndarray
-    starts: np.ndarray  # (block, term) to the first posting
-    owners: np.ndarray  # postings: example, weight; by block, then term
+    starts: np.ndarray  # term to its first posting; frequent terms have none
+    owners: np.ndarray  # postings: example, weight; by term
     weights: np.ndarray
-    peaks: np.ndarray  # (term, block)
+    slot: np.ndarray  # term to its column among the frequent ones, or -1
+    often: np.ndarray  # (example, frequent term): weight
+    peaks: np.ndarray  # (frequent term, block)
+    block_of: np.ndarray
     votes: np.ndarray  # (example, 2): weight of labels 0 and 1
     counts: np.ndarray
     proof: list[list[int]]  # ids of some examples of each vector
     prior: float
-    opened: dict[int, np.ndarray] = field(default_factory=dict, compare=False)
 
     @staticmethod
     def unit(places: np.ndarray, times: np.ndarray, idf: np.ndarray) -> np.ndarray:
@@ -123,112 +106,125 @@ class BlockMaxIndex:
         """rows: (id, label, places, times). Examples with equal vectors are one entry with summed votes."""
         groups: dict[tuple, list] = {}
         for id_, label, places, times in sorted(rows, key=lambda r: (r[0], r[1])):
-            if places:
-                groups.setdefault((tuple(places), tuple(times)), []).append((id_, label))
-        # neighbours in the order share their rarest terms, so that blocks differ in their peaks
-        keys = sorted(groups, key=lambda k: (sorted(zip(-idf[list(k[0])], k[0], k[1], strict=True)), k))
-        n_terms, n_blocks = len(idf), max(1, -(-len(keys) // BLOCK))
-        postings = []
-        for i, (places, times) in enumerate(keys):
-            w = cls.unit(np.array(places), np.array(times), idf)
-            postings += [(i // BLOCK, t, i, x) for t, x in zip(places, w.tolist(), strict=True)]
-        postings.sort()
-        block, term = (np.array([p[j] for p in postings], np.int64) for j in (0, 1))
-        weights = np.array([p[3] for p in postings], np.float64)
-        peaks = np.zeros((n_terms, n_blocks))
-        np.maximum.at(peaks, (term, block), weights)
+            if len(places):
+                key = np.asarray(places, np.int32).tobytes(), np.asarray(times, np.int32).tobytes()
+                groups.setdefault(key, []).append((id_, label))
+        vectors = {k: (np.frombuffer(k[0], np.int32), np.frombuffer(k[1], np.int32)) for k in groups}
+        # neighbours in the order are about as long, so that a frequent term weighs about the same in them
+        norms = {k: float((((1.0 + np.log(t)) * idf[p]) ** 2).sum()) for k, (p, t) in vectors.items()}
+        keys = sorted(groups, key=lambda k: (norms[k], k))
+        n, n_terms = len(keys), len(idf)
+        held = [vectors[k][0] for k in keys]
+        term = np.concatenate([*held, np.zeros(0, np.int32)])
+        owner = np.repeat(np.arange(n, dtype=np.int32), [len(p) for p in held])
+        weight = np.concatenate([*(cls.unit(*vectors[k], idf) for k in keys), np.zeros(0)])
+        texts = np.bincount(term, minlength=n_terms)
+        frequent = np.argsort(-texts, kind="stable")[:MOST_OFTEN]
+        frequent = frequent[texts[frequent] > n * OFTEN]
+        slot = np.full(n_terms, -1, np.int32)
+        slot[frequent] = np.arange(len(frequent))
+        block_of = np.arange(n) // BLOCK
+        dense = slot[term] >= 0
+        often = np.zeros((n, len(frequent)))
+        often[owner[dense], slot[term[dense]]] = weight[dense]
+        peaks = np.zeros((len(frequent), -(-n // BLOCK)))
+        np.maximum.at(peaks, (slot[term[dense]], block_of[owner[dense]]), weight[dense])
+        term, owner, weight = term[~dense], owner[~dense], weight[~dense]
+        order = np.argsort(term, kind="stable")
         votes = np.array([[sum(scale[y] for _, y in groups[k] if y == label) for label in (0, 1)] for k in keys], np.float64).reshape(-1, 2)
         total = votes.sum(axis=0)
         prior = float((total[1] + 0.5) / (total.sum() + 1.0))
         return cls(
-            idf, np.searchsorted(block * n_terms + term, np.arange(n_blocks * n_terms + 1)), np.array([p[2] for p in postings], np.int64),
-            weights, peaks, votes, np.array([len(groups[k]) for k in keys], np.int64), [[x for x, _ in groups[k][:proofs]] for k in keys], prior,
+            idf, np.searchsorted(term[order], np.arange(n_terms + 1)), owner[order], weight[order], slot, often, peaks, block_of,
+            votes, np.array([len(groups[k]) for k in keys], np.int64), [[x for x, _ in groups[k][:proofs]] for k in keys], prior,
         )
 
-    def block(self, b: int) -> np.ndarray:
-        """The posting lists of one block as a matrix of terms and examples."""
-        if b not in self.opened:
-            at = self.starts[b * len(self.idf) : (b + 1) * len(self.idf) + 1]
-            terms = np.repeat(np.arange(len(self.idf)), np.diff(at))
-            out = np.zeros((len(self.idf), min(BLOCK, len(self.counts) - b * BLOCK)))
-            out[terms, self.owners[at[0] : at[-1]] - b * BLOCK] = self.weights[at[0] : at[-1]]
-            self.opened[b] = out
-        return self.opened[b]
+    def nearest(self, places: np.ndarray, weights: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """(example vectors, cosines) of a unit query, nearest first, with all vectors that tie with the k-th.
 
-    def search(self, queries: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """(example vectors, cosines) of each unit query, nearest first; -1 fills up the rows.
-
-        Each query reads its blocks by falling upper bound until that is below its k-th best cosine so far. In every round
-        the queries that read the same block are multiplied with it at once. All vectors that tie with the k-th are found.
+        Rare terms are summed from their posting lists. What the frequent ones can add is bounded by their peaks in each
+        block; only examples whose bound reaches the k-th best cosine of a first choice have them read.
         """
-        n, n_blocks = len(queries), self.peaks.shape[1]
-        bound = queries @ self.peaks
-        turn = np.argsort(-bound, axis=1, kind="stable")
-        found, cosines = np.full((n, 0), -1), np.full((n, 0), -1.0)
-        floor, open_ = np.full(n, -1.0), np.arange(n)
-        for r in range(n_blocks):
-            open_ = open_[bound[open_, turn[open_, r]] >= floor[open_] - 1e-7]
-            if not len(open_):
-                break
-            new, ids = np.full((n, BLOCK), -1.0), np.full((n, BLOCK), -1)
-            wanted = turn[open_, r]
-            order = np.argsort(wanted, kind="stable")
-            for rows in np.split(open_[order], np.flatnonzero(np.diff(wanted[order])) + 1):
-                b = int(turn[rows[0], r])
-                got = queries[rows] @ self.block(b)
-                new[rows, : got.shape[1]] = np.round(got, 8)
-                ids[rows, : got.shape[1]] = np.arange(b * BLOCK, b * BLOCK + got.shape[1])
-            found, cosines = np.concatenate((found, ids), axis=1), np.concatenate((cosines, new), axis=1)
-            if cosines.shape[1] > 4 * BLOCK:  # whatever is below the k-th best can go
-                keep = int((cosines >= floor[:, None]).sum(axis=1).max())
-                best = np.argpartition(-cosines, min(keep, cosines.shape[1] - 1), axis=1)[:, :keep]
-                found, cosines = np.take_along_axis(found, best, 1), np.take_along_axis(cosines, best, 1)
-            if cosines.shape[1] >= k:
-                floor = np.maximum(floor, -np.partition(-cosines, k - 1, axis=1)[:, k - 1])
-        order = np.lexsort((found, -cosines), axis=1)
-        return np.take_along_axis(found, order, 1), np.take_along_axis(cosines, order, 1)
-
-    def judge(self, vectors: list[tuple], k: int, width: float, strength: float) -> list[tuple[float, list[int], float]]:
-        """(score, ids of the nearest examples, their cosine) of each vector (places, times).
-
-        Votes fade with the distance beyond the nearest and are smoothed by the base rate. Examples that tie with the k-th
-        share the places that are left, so a crowd of ties weighs no more than k examples.
+        slot = self.slot[places]
+        query = np.zeros(self.often.shape[1])
+        query[slot[slot >= 0]] = weights[slot >= 0]
+        rare, w = places[slot < 0], weights[slot < 0]
+        low, size = self.starts[rare], self.starts[rare + 1] - self.starts[rare]
+        at = np.arange(size.sum()) + np.repeat(low - np.cumsum(size) + size, size)
+        part = np.bincount(self.owners[at], self.weights[at] * np.repeat(w, size), len(self.counts))
+        bound = part + (query @ self.peaks)[self.block_of]
+        some = np.arange(len(bound))
+        if len(bound) > k:
+            first = np.argpartition(-bound, k - 1)[:k]
+            floor = (part[first] + self.often[first] @ query).min()
+            some = np.flatnonzero(bound >= floor - 1e-7)
+        cosines = np.round(part[some] + self.often[some] @ query, 8)
+        if len(cosines) > k:
+            best = cosines >= -np.partition(-cosines, k - 1)[k - 1]
+            some, cosines = some[best], cosines[best]
+        order = np.lexsort((some, -cosines))
+        return some[order], cosines[order]
+
+    def search(self, queries: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """As nearest, for each row of a matrix; -1 fills up the rows."""
+        each = [self.nearest(np.flatnonzero(q), q[np.flatnonzero(q)], k) for q in queries]
+        found, cosines = (np.full((len(each), max((len(f) for f, _ in each), default=0)), x) for x in (-1, -1.0))
+        for i, (f, c) in enumerate(each):
+            found[i, : len(f)], cosines[i, : len(f)] = f, c
+        return found, cosines
+
+    def judge(self, places: np.ndarray, weights: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, list[int]]:
+        """(cosines, votes for 0 and 1, ids of the nearest examples) of a unit query; nothing where no example shares a term.
+
+        Examples that tie with the k-th are one entry and share the places that are left, so a crowd of ties weighs no more
+        than k examples.
         """
-        if not len(self.counts):
-            return [(self.prior, [], 0.0)] * len(vectors)
-        queries = np.zeros((len(vectors), len(self.idf)))
-        for row, (places, times) in zip(queries, vectors, strict=True):
-            if places:
-                row[list(places)] = self.unit(np.array(places), np.array(times, float), self.idf)
-        found, cosines = self.search(queries, k)
-        counts = np.where(found < 0, 0, self.counts[found])
-        before = np.cumsum(counts, axis=1) - counts
-        kth = np.take_along_axis(cosines, ((before < k) & (counts > 0)).sum(axis=1, keepdims=True) - 1, 1)
-        last = (cosines == kth) & (counts > 0)
-        crowd, full = (counts * last).sum(axis=1, keepdims=True), (counts * (cosines > kth)).sum(axis=1, keepdims=True)
-        fade = np.exp((cosines - cosines[:, :1]) / width) * ((cosines >= kth) & (counts > 0))
-        fade = np.where(last, fade * np.minimum(1.0, (k - full) / crowd), fade)
-        votes = (fade[:, :, None] * self.votes[found]).sum(axis=1)
-        score = (votes[:, 1] + strength * self.prior) / (votes.sum(axis=1) + strength)
-        out = zip(score.tolist(), found[:, 0].tolist(), cosines[:, 0].tolist(), vectors, strict=True)
-        return [(s, self.proof[f], c) if places else (self.prior, [], 0.0) for s, f, c, (places, _) in out]
-
-
-def _scorer(index: BlockMaxIndex, k: int, width: float, strength: float, step: int = 512):
+        found, cosines = self.nearest(places, weights, k) if len(self.counts) else (np.zeros(0, int), np.zeros(0))
+        if not len(found) or cosines[0] <= 0:
+            return np.zeros(0), np.zeros((0, 2)), []
+        counts = self.counts[found]
+        kth = cosines[(np.cumsum(counts) - counts < k).sum() - 1]
+        above, crowd = cosines > kth, cosines == kth
+        share = min(1.0, (k - counts[above].sum()) / counts[crowd].sum())
+        votes = np.concatenate((self.votes[found[above]], self.votes[found[crowd]].sum(axis=0, keepdims=True) * share))
+        return np.append(cosines[above], kth), votes, self.proof[found[0]]
+
+
+def _neighbours(index: BlockMaxIndex, terms: np.ndarray, places: np.ndarray, idf: np.ndarray, k: int):
+    """mapInArrow function: the nearest examples of each text by the terms whose frequency is known here, and its other terms.
+
+    terms ascend; places are -1 for those that no example holds. Terms that are not among them can't add to a cosine, but
+    to the length of the text, so they are given out for a join with their frequencies. ``known`` is the square of the length so far.
+    """
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[tuple, tuple] = {}
         for batch in batches:
-            keys = [(tuple(p), tuple(t)) for p, t in zip(batch.column("places").to_pylist(), batch.column("times").to_pylist(), strict=True)]
-            if len(known) > 50_000:
-                known.clear()
-            new = [key for key in dict.fromkeys(keys) if key not in known]
-            for i in range(0, len(new), step):
-                known.update(zip(new[i : i + step], index.judge(new[i : i + step], k, width, strength), strict=True))
-            score, proof, cosine = zip(*(known[key] for key in keys), strict=True) if keys else ((), (), ())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), pa.array(score, pa.float64()), pa.array(proof, pa.list_(pa.int64())), pa.array(cosine, pa.float64())],
-                ["id", "score", "evidence", "evidence_cosine"],
-            )
+            for row, data, offsets in K.blocks(batch.column("text")):
+                n = len(offsets) - 1
+                g, times, rows = _terms_of(data, offsets)
+                at = np.minimum(np.searchsorted(terms, g), max(len(terms) - 1, 0))
+                here = terms[at] == g if len(terms) else np.zeros(len(g), bool)
+                w = np.zeros(len(g))
+                w[here] = (1.0 + np.log(times[here])) * idf[at[here]]
+                known = K.row_reduce(np.add, w * w, rows, 0.0)
+                unit = w / np.repeat(np.sqrt(np.where(known > 0, known, 1.0)), np.diff(rows))
+                place = np.where(here, places[at], -1) if len(terms) else np.full(len(g), -1)
+                judged = []
+                for a, b in zip(rows[:-1], rows[1:], strict=True):
+                    held = place[a:b] >= 0
+                    judged.append(index.judge(place[a:b][held], unit[a:b][held], k))
+                ends = np.append(0, np.cumsum([len(c) for c, _, _ in judged]))
+                cosines = np.concatenate([c for c, _, _ in judged])
+                votes = np.concatenate([v for _, v, _ in judged])
+                others = np.append(0, np.cumsum(~here))[rows]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        *(batch.column(c).slice(row, n) for c in ("rid", "id")), pa.array(known), _lists(ends, cosines, pa.float64()),
+                        *(_lists(ends, votes[:, y], pa.float64()) for y in (0, 1)), pa.array([p for _, _, p in judged], pa.list_(pa.int64())),
+                        _lists(others, g[~here].view(np.int64), pa.int64()), _lists(others, times[~here], pa.int32()),
+                    ],
+                    ["rid", "id", "known", "cosines", "no", "yes", "evidence", "terms", "times"],
+                )
 
     return run
 
@@ -240,20 +236,23 @@ def toxicity_scores(
     text_col: str = "text",
     label_col: str = "toxic",
     max_examples: int = 6_000,
-    max_terms: int = 512,
-    least_g2: float = 18.0,
     k: int = 25,
     width: float = 0.3,
     strength: float = 1.5,
+    head: int = 1 << 18,
 ) -> DataFrame:
     """One row per document: id, held_out, score, predicted, evidence (ids of nearest examples) and their cosine.
 
     Examples are at most about ``max_examples`` labelled rows of either class, drawn by a hash of the id from the
-    training folds; a class's votes count by its rate of drawing. The vocabulary is the at most ``max_terms`` terms that tell the
-    classes apart on the examples; all other terms share one place. Inverse document frequencies are counted over all
-    documents. The index holds each distinct example vector once and is bounded by max_examples, so it is broadcast.
-
-    Null and empty texts have no terms and get the base rate, as do all texts without examples. Null labels
+    training folds; a class's votes count by its rate of drawing. Vectors hold all terms of a text, weighed by inverse
+    document frequencies that are counted over all documents, times how far a term tells the examples' classes apart (see
+    telling): by TF-IDF alone the subject of a text outweighs its few toxic words. The index holds each distinct example vector once and is
+    bounded by max_examples, so it is broadcast, with the frequencies of the examples' terms and of the about ``head`` most
+    frequent others. Terms beyond these only lengthen a vector: they are joined with their frequencies. Votes fade with the
+    distance beyond the nearest and are smoothed by the base rate.
+
+    Null and empty texts and those that share no term with an example get the base rate and no evidence, as do all texts
+    without examples. Null labels
     are no examples, an id with several labels has the greatest, null ids are scored and count as the empty text for the
     fold. Repeated rows are rows like others. An empty table gives no rows; other columns are ignored.
     """
@@ -268,20 +267,53 @@ def toxicity_scores(
     drawn = rows.where("label in (0, 1)").where(draw < F.when(F.col("label") == 1, keep[1]).otherwise(keep[0]))
     # at most about 2 * max_examples pairs of numbers
     examples = materialize(src.join(F.broadcast(drawn), "id"), "examples")
-    n = {r.label: r["count"] for r in examples.groupBy("label").count().collect()}
-    terms = telling_terms(examples, n.get(1, 0), n.get(0, 0), max_terms, least_g2) if len(n) == 2 else []
-
-    schema = "id long, places array<int>, times array<int>"
-    vectors = materialize(src.mapInArrow(_vectors(terms), schema), "vectors")
-    total = vectors.count()
-    seen = vectors.select("places").mapInArrow(_place_counts(len(terms) + 1), "place long, texts long").groupBy("place").agg(F.sum("texts").alias("texts"))
-    seen = {r.place: r.texts for r in seen.collect()}
-    idf = np.array([math.log((1 + total) / (1 + seen.get(i, 0))) + 1.0 for i in range(len(terms) + 1)])
-    rows = examples.select("id", "label", "text").mapInArrow(_vectors(terms), "id long, label int, places array<int>, times array<int>")
-    index = BlockMaxIndex.build([tuple(r) for r in rows.collect()], idf, {y: 1.0 / max(keep[y], 1e-9) for y in (0, 1)})
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    # the vectors are few bytes in few files: dealt out anew, they use all cores
-    scored = vectors.repartition(parts).mapInArrow(_scorer(index, k, width, strength), "id long, score double, evidence array<long>, evidence_cosine double")
+    texts = src.select("text").mapInArrow(_document_counts, "term long, texts long").withColumn("sample", F.lit(0))
+    own = examples.select("text").mapInArrow(_document_counts, "term long, texts long").select("term", F.lit(0).alias("texts"), F.lit(1).alias("sample"))
+    counts = texts.unionByName(own).groupBy("term").agg(F.sum("texts").alias("texts"), F.max("sample").alias("sample"))
+    counts = materialize(counts, "counts")
+    total, least, among = src.count(), 1, 0
+    # texts that a term must be in to be among the head: the histogram has few rows
+    for r in sorted(counts.where("sample = 0").groupBy("texts").count().collect(), key=lambda r: -r.texts):
+        among += r["count"]
+        if among > head:
+            least = r.texts + 1
+            break
+    table = counts.where((F.col("sample") > 0) | (F.col("texts") >= least)).toArrow()
+    terms = table.column("term").to_numpy().view(np.uint64)
+    order = np.argsort(terms)
+    terms, sample = terms[order], table.column("sample").to_numpy()[order] > 0
+    idf = np.log((1 + total) / (1 + table.column("texts").to_numpy()[order])) + 1.0
+    places = np.where(sample, np.cumsum(sample) - 1, -1).astype(np.int32)
+
+    drawn = examples.select("id", "label", "text").mapInArrow(_example_vectors, "id long, label int, terms array<long>, times array<int>").toArrow()
+    drawn, vocabulary = drawn.combine_chunks(), terms[sample]
+    flat, times, ends = (np.zeros(0, np.uint64), np.zeros(0, np.int32), np.zeros(1, np.int32))
+    if len(drawn):
+        flat, times = (pa.concat_arrays(drawn.column(c).chunks).flatten().to_numpy() for c in ("terms", "times"))
+        ends = np.append(0, np.cumsum(pa.compute.list_value_length(drawn.column("terms")).to_numpy()))
+    flat = np.searchsorted(vocabulary, flat.view(np.uint64)).astype(np.int32)
+    label = drawn.column("label").to_numpy()
+    labelled = np.repeat(label, np.diff(ends))
+    held = [np.bincount(flat[labelled == y], minlength=len(vocabulary)) for y in (1, 0)]
+    idf[sample] *= telling(*held, int((label == 1).sum()), int((label == 0).sum()))
+    rows = zip(drawn.column("id").to_pylist(), drawn.column("label").to_pylist(), ends[:-1], ends[1:], strict=True)
+    rows = [(i, y, flat[a:b], times[a:b]) for i, y, a, b in rows]
+    index = BlockMaxIndex.build(rows, idf[sample], {y: 1.0 / max(keep[y], 1e-9) for y in (0, 1)})
+
+    schema = "rid long, id long, known double, cosines array<double>, no array<double>, yes array<double>, evidence array<long>, terms array<long>, times array<int>"
+    near = src.select(F.monotonically_increasing_id().alias("rid"), "id", "text").mapInArrow(_neighbours(index, terms, places, idf, k), schema)
+    near = materialize(near, "neighbours")
+    others = near.select("rid", F.explode(F.arrays_zip("terms", "times")).alias("x")).select("rid", F.col("x.terms").alias("term"), "x.times")
+    weight = (1.0 + F.log("times")) * (F.log(F.lit(1.0 + total) / (1 + F.col("texts"))) + 1.0)
+    others = others.join(counts.select("term", "texts"), "term").groupBy("rid").agg(F.sum(weight * weight).alias("unknown"))
+    scored = near.drop("terms", "times").join(others, "rid", "left")
+    # cosines are those of the known part: whole vectors are longer, which keeps the order
+    ratio = F.sqrt(F.col("known") / (F.col("known") + F.coalesce("unknown", F.lit(0.0))))
+    scored = scored.withColumn("cosines", F.transform("cosines", lambda c: c * ratio))
+    fade = F.transform("cosines", lambda c: F.exp((c - F.get("cosines", F.lit(0))) / width))
+    vote = lambda y: F.aggregate(F.zip_with(fade, y, lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b)
+    score = (vote("yes") + strength * index.prior) / (vote("yes") + vote("no") + strength)
+    scored = scored.select("id", score.alias("score"), "evidence", F.coalesce(F.get("cosines", F.lit(0)), F.lit(0.0)).alias("evidence_cosine"))
     return scored.select(
         F.col("id").alias(id_col), held_out("id", 5, 0).alias("held_out"), "score",
         (F.col("score") >= 0.5).cast("int").alias("predicted"), "evidence", "evidence_cosine",

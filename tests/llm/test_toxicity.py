@@ -1,4 +1,6 @@
+import math
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -55,3 +57,42 @@ def test_index_is_exact(monkeypatch, block):
         n = (want >= want[9] - 1e-9).sum()
         assert len(flat) >= n and np.allclose(flat[:n], want[:n], atol=1e-7)
         assert (np.diff(c) <= 0).all()
+
+
+@pytest.mark.parametrize("head", [3, 1 << 18])
+def test_whole_texts_count(table, spark, head):
+    """Cosines over all terms, with frequencies over all documents: a near copy of a single toxic example finds it."""
+    rng = np.random.default_rng(7)
+    word = lambda: f"w{int(rng.zipf(1.3)) % 400}"
+    texts = {i: " ".join(word() for _ in range(rng.integers(3, 60))) for i in range(120)}
+    rare = " ".join(f"odd{j}" for j in range(12))
+    texts |= {1001: rare + " w1 w2", 1003: rare + " w3 new1 new2", 1004: "only here", 1005: ""}
+    assert zlib.crc32(b"1001") % 5
+    toxic = {i: int(i % 4 == 0) for i in range(60)} | {1001: 1}
+    rows = toxicity_scores(table([(i, t, "s") for i, t in texts.items()]), spark.createDataFrame(list(toxic.items()), "doc_id long, toxic int"), head=head)
+    got = {r.doc_id: r for r in rows.collect()}
+    df = Counter(t for x in texts.values() for t in set(x.split()))
+
+    trained = [i for i in toxic if zlib.crc32(str(i).encode()) % 5]
+    sizes = Counter(toxic[i] for i in trained)
+
+    def telling(t):
+        held, g2 = Counter(toxic[i] for i in trained if t in texts[i].split()), 0.0
+        for y in (0, 1):
+            for seen, row in ((held[y], held.total()), (sizes[y] - held[y], len(trained) - held.total())):
+                g2 += 2 * seen * math.log(seen * len(trained) / (row * sizes[y])) if seen else 0.0
+        return max(1.0, math.sqrt(max(g2, 0.0)))
+
+    def vector(text):
+        out = {t: telling(t) * (1 + math.log(n)) * (math.log((1 + len(texts)) / (1 + df[t])) + 1) for t, n in Counter(text.split()).items()}
+        length = math.sqrt(sum(w * w for w in out.values()))
+        return {t: w / length for t, w in out.items()}
+
+    examples = {i: vector(texts[i]) for i in trained}
+    for i, text in texts.items():
+        v = vector(text)
+        cosines = {j: sum(w * e.get(t, 0) for t, w in v.items()) for j, e in examples.items()}
+        best = max(cosines.values())
+        assert abs(got[i].evidence_cosine - best) < 1e-6
+        assert all(abs(cosines[j] - best) < 1e-6 for j in got[i].evidence) and bool(got[i].evidence) == (best > 0)
+    assert got[1003].evidence == [1001] and got[1003].score > got[1004].score
