@@ -33,7 +33,7 @@ BASE = (
 )
 #: spans that the method adds where their value is owner-specific: long runs that mix upper case, lower case and digits
 ADDED = (
-    Kind("opaque", r"(?<![A-Za-z0-9_-])(?=[A-Za-z_-]{0,200}[0-9])(?=[A-Z0-9_-]{0,200}[a-z])(?=[a-z0-9_-]{0,200}[A-Z])[A-Za-z0-9_-]{20,200}(?![A-Za-z0-9_-])"),
+    Kind("opaque", r"(?<![A-Za-z0-9_-])(?=[A-Za-z_-]*+[0-9])(?=[A-Z0-9_-]*+[a-z])(?=[a-z0-9_-]*+[A-Z])[A-Za-z0-9_-]{20,}+"),
 )
 
 

@@ -48,3 +48,16 @@ def test_redaction(table, awkward):
     got = sorted((r.doc_id, r.text) for r in redact_secrets(table(rows)).collect() if r.text)
     assert got == [(1, "a <secret> b"), (1, "a <secret> b"), (3, "clean"), (4, "é <secret>!")]
     assert redact_secrets(awkward).columns == awkward.columns and redact_secrets(awkward).count() == awkward.count()
+
+
+def test_long_runs(table):
+    """A run has no greatest length: signatures of 342 characters and longer keys are found and masked whole."""
+    text = lambda n: f"sig {('aB3-_xYz9' * (n // 9 + 1))[:n]} end"
+    plain = ["a" * 5000 + "B" * 5000, "0" * 400 + "A" * 400, "aB3" * 6]
+    sizes = (20, 200, 201, 342, 20_000)
+    rows = [(n, text(n), "s") for n in sizes] + [(-i, x, "s") for i, x in enumerate(plain, 1)]
+    got = {r.doc_id: r for r in secret_report(table(rows)).collect()}
+    assert all(got[n].spans == f"opaque:4:{4 + n}" and got[n].n_live == 1 for n in sizes)
+    assert all("opaque" not in got[-i].spans for i in (1, 2, 3))
+    texts = {r.doc_id: r.text for r in redact_secrets(table(rows)).collect()}
+    assert all(texts[n] == "sig <secret> end" for n in sizes)
