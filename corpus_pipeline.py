@@ -1,4 +1,4 @@
-"""The corpus pipeline: low quality goes, near copies go, secrets are masked, sources are mixed, texts are encoded."""
+"""The corpus pipeline: low quality goes, near copies go, secrets are masked, sources are mixed, texts are encoded and decoded."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from parchment.llm.mixing import weighted_mix
 from parchment.llm.near_dedup import near_duplicates
-from parchment.llm.pieces import encode_documents
+from parchment.llm.pieces import decode_documents, encode_documents
 from parchment.llm.quality_classifier import fit_quality, statistics
 from parchment.llm.quality_rules import bind
 from parchment.llm.secrets import redact_secrets
@@ -41,9 +41,16 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_chars, n_pieces, chunks and the pieces of every text."""
-    out = encode_documents(docs)
-    return out.select("doc_id", "n_chars", F.size("pieces").cast("long").alias("n_pieces"), "chunks", "pieces")
+    """doc_id, n_chars, n_pieces, chunks and the pieces of every text, the text that they decode to, and round_trip.
+
+    round_trip tells whether the decoded text is the text itself, null being empty; a mark U+2581 comes back as a space.
+    """
+    out = encode_documents(docs, exact=True)
+    out = decode_documents(out.withColumn("ids", F.col("pieces")))
+    return out.select(
+        "doc_id", "n_chars", F.size("ids").cast("long").alias("n_pieces"), "chunks", F.col("ids").alias("pieces"), "text",
+        (F.sha2("text", 256) == F.col("digest")).alias("round_trip"),
+    )
 
 
 STAGES = [("quality", quality), ("near_dedup", near_dedup), ("secrets", secrets), ("mix", mix), ("encode", encode)]

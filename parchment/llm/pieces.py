@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import hashlib
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -203,7 +203,7 @@ def _rows(column: pa.Array) -> list[np.ndarray]:
     return [values[:0] if null else x for x, null in zip(rows, column.is_null().to_pylist(), strict=True)] if column.null_count else rows
 
 
-def _encode(model: bytes):
+def _encode(model: bytes, digest_of: Callable[[str], str]):
     """mapInArrow function: (id, text) to (id, n_chars, digest, pieces) for texts of a single chunk."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -214,7 +214,7 @@ def _encode(model: bytes):
                 texts = [x or "" for x in part.column("text").to_pylist()]
                 ids = lattice.plain.encode([_marked(lattice, x) for x in texts], num_threads=1)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("id"), pa.array(map(len, texts), pa.int64()), pa.array(map(_digest, texts)), _lists(ids)],
+                    [part.column("id"), pa.array(map(len, texts), pa.int64()), pa.array(map(digest_of, texts)), _lists(ids)],
                     ["id", "n_chars", "digest", "pieces"],
                 )
 
@@ -226,7 +226,12 @@ def _digest(text: str) -> str:
     return hashlib.sha256(text.replace(MARK, " ").encode()).hexdigest()
 
 
-def _split(model: bytes, chunk: int):
+def _exact_digest(text: str) -> str:
+    """SHA-256 of the text as it is."""
+    return hashlib.sha256(text.encode()).hexdigest()
+
+
+def _split(model: bytes, chunk: int, digest_of: Callable[[str], str]):
     """mapInArrow function: long texts to one row a chunk, with enough around it to see pieces that cross its ends."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -236,7 +241,7 @@ def _split(model: bytes, chunk: int):
         kinds += [("chunk", pa.int32()), ("text", pa.string()), ("low", pa.int32()), ("high", pa.int32())]
         for batch in batches:
             for rid, id_, text in zip(*(batch.column(c).to_pylist() for c in ("rid", "id", "text")), strict=True):
-                marked, digest = _marked(lattice, text), _digest(text)
+                marked, digest = _marked(lattice, text), digest_of(text)
                 out = []
                 for c, low in enumerate(range(0, len(marked), chunk)):
                     begin, high = max(0, low - side), min(len(marked), low + chunk)
@@ -294,9 +299,11 @@ def read_model(path: str) -> bytes:
         return f.read()
 
 
-def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str = MODEL, chunk: int = CHUNK) -> DataFrame:
+def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str = MODEL, chunk: int = CHUNK, exact: bool = False) -> DataFrame:
     """One row per document: id, n_chars, digest (SHA-256 of the text that decoding gives), pieces and chunks.
 
+    With ``exact``, digest is that of the text as it is, which decoding misses where the text holds the mark U+2581.
+
     pieces are what the library makes of the whole text. A text of over ``chunk`` code points is cut at any places. Each
     of its chunks gives a matrix of best weights between the states at its ends (tasks share the chunks out), a document's
     matrices are combined in order, and then each chunk is encoded by itself between its two known states. Only
@@ -306,13 +313,13 @@ def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     other columns are ignored.
     """
     ship(docs.sparkSession)
-    binary = read_model(model)
+    binary, digest_of = read_model(model), _exact_digest if exact else _digest
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     length = F.length(F.coalesce("text", F.lit("")))
-    short = rows.where(length < chunk).mapInArrow(_encode(binary), "id long, n_chars long, digest string, pieces array<int>")
+    short = rows.where(length < chunk).mapInArrow(_encode(binary, digest_of), "id long, n_chars long, digest string, pieces array<int>")
     giant = rows.where(length >= chunk).select(F.monotonically_increasing_id().alias("rid"), "id", "text")
     schema = "rid long, id long, n_chars long, digest string, chunk int, text string, low int, high int"
-    giant = materialize(giant.mapInArrow(_split(binary, chunk), schema).repartition("rid", "chunk"), "chunks")
+    giant = materialize(giant.mapInArrow(_split(binary, chunk, digest_of), schema).repartition("rid", "chunk"), "chunks")
     matrix = giant.mapInArrow(_transfers(binary), "rid long, chunk int, reach int, last string, to_reach int, to_last string, weight double")
     paths = matrix.groupBy("rid").applyInArrow(_paths, "rid long, chunk int, skip int, over int")
     traced = giant.join(paths, ["rid", "chunk"]).select("rid", "id", "n_chars", "digest", "chunk", "text", "low", "high", "skip", "over")

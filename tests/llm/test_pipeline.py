@@ -1,6 +1,9 @@
+import pytest
+
 import corpus_pipeline
 from parchment.llm.mixing import weighted_mix
 from parchment.llm.near_dedup import near_duplicates
+from parchment.llm.pieces import MODEL
 from parchment.llm.quality_classifier import quality_scores
 from parchment.llm.storage import materialize
 
@@ -34,3 +37,17 @@ def test_awkward_stages(spark, awkward, empty, sf):
             assert out.count() >= 0
             if name != "encode":
                 assert out.columns == docs.columns
+
+
+def test_encode_stage(spark, documents, awkward, sf):
+    """Pieces and decoded texts are the library's, and round_trip is true just where the text comes back."""
+    sentencepiece = pytest.importorskip("sentencepiece")
+    whole = sentencepiece.SentencePieceProcessor(model_file=MODEL)
+    for docs in (documents, awkward):
+        key = lambda r: (-1 if r[0] is None else r[0], r[1])
+        texts = [(r.doc_id, r.text or "") for r in docs.collect()]
+        want = sorted(((i, whole.decode(p := whole.encode(t)), p, whole.decode(p) == t) for i, t in texts), key=key)
+        rows = corpus_pipeline.encode(spark, docs, sf).collect()
+        got = sorted(((r.doc_id, r.text, r.pieces, r.round_trip) for r in rows), key=key)
+        assert got == want and all(r.n_pieces == len(r.pieces) for r in rows)
+    assert [r.round_trip for r in rows if r.doc_id == 7] == [False]
