@@ -16,4 +16,6 @@ def ship(spark: SparkSession) -> None:
         root = Path(__file__).resolve().parent
         name = Path(tempfile.mkdtemp(prefix="parchment-code-")) / "parchment"
         sc.addPyFile(shutil.make_archive(str(name), "zip", root.parent, root.name))
+        # one thread of linear algebra a task, as on a cluster
+        sc.environment.setdefault("OMP_NUM_THREADS", "1")
         sc._parchment_shipped = True
