@@ -1,14 +1,17 @@
-"""Toxicity by nearest labelled examples: exact cosine of whole texts over a block-max index, TF-IDF times how terms tell classes apart."""
+"""Toxicity by nearest labelled examples: exact TF-IDF cosine over block-max inverted indexes, and calibrated distance-weighted votes."""
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
-from pyspark.sql import DataFrame
+from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.functions import array_to_vector
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from parchment.llm import kernels as K
@@ -16,10 +19,17 @@ from parchment.llm.quality_classifier import held_out
 from parchment.llm.storage import materialize
 from parchment.runtime import ship
 
-#: distinct example vectors in a block of the index
-BLOCK = 64
-#: terms that more than this share of the examples hold are only read where the bounds of a block ask for it
-OFTEN, MOST_OFTEN = 1 / 16, 128
+#: examples in a block of an index
+BLOCK = 256
+#: terms that more than this share of an index's examples hold have no posting list: they are read block by block
+OFTEN, MOST_OFTEN = 1 / 32, 256
+#: texts that are searched for at once
+QUERIES = 64
+#: numbers of nearest examples of both labels that vote
+PLACES = (10, 25, 50, 100, 200, 400)
+#: shares of each label's examples whose mean cosines are compared
+SHARES = (0.2, 0.1, 0.05, 0.02, 0.01)
+PROOFS = 3
 
 
 def _terms_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -29,27 +39,18 @@ def _terms_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     return K.distinct(h, np.repeat(np.arange(n), np.diff(rows)), n)
 
 
-def _lists(rows: np.ndarray, values: np.ndarray, kind: pa.DataType) -> pa.Array:
-    return pa.ListArray.from_arrays(pa.array(rows.astype(np.int32)), pa.array(values, kind))
-
+def _known(vocabulary: np.ndarray, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """As _terms_of, with places in the ascending vocabulary for terms; others are left out."""
+    g, times, rows = _terms_of(data, offsets)
+    if not len(vocabulary):
+        return np.zeros(0, np.int64), times[:0], np.zeros_like(rows)
+    at = np.minimum(np.searchsorted(vocabulary, g), len(vocabulary) - 1)
+    here = vocabulary[at] == g
+    return at[here], times[here], np.append(0, np.cumsum(here))[rows]
 
-def _document_counts(batches: Iterator[pa.RecordBatch], most: int = 1 << 21) -> Iterator[pa.RecordBatch]:
-    """(text) to (term, texts): texts that hold each term, summed over some millions of terms of a task."""
 
-    def summed(parts: list[np.ndarray]) -> pa.RecordBatch:
-        terms, texts = np.unique(np.concatenate(parts), return_counts=True)
-        return pa.RecordBatch.from_arrays([pa.array(terms.view(np.int64)), pa.array(texts.astype(np.int64))], ["term", "texts"])
-
-    parts, size = [], 0
-    for batch in batches:
-        for _, data, offsets in K.blocks(batch.column("text")):
-            parts.append(_terms_of(data, offsets)[0])
-            size += len(parts[-1])
-            if size >= most:
-                yield summed(parts)
-                parts, size = [], 0
-    if parts:
-        yield summed(parts)
+def _lists(rows: np.ndarray, values: np.ndarray, kind: pa.DataType) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(rows.astype(np.int32)), pa.array(values, kind))
 
 
 def _example_vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -63,170 +64,244 @@ def _example_vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
             )
 
 
-def telling(with1: np.ndarray, with0: np.ndarray, n1: int, n0: int) -> np.ndarray:
-    """What each term's weight is multiplied by: how many standard deviations its share differs between labels, at least 1.
+def _text_counter(vocabulary: np.ndarray):
+    """mapInArrow function: (text) to (place, texts), for a whole task the number of texts that hold each term of the vocabulary."""
 
-    The deviation is the root of the log-likelihood ratio of the 2 x 2 table of texts. No term weighs less than its TF-IDF.
-    """
-    if not n1 or not n0:
-        return np.ones(len(with1))
-    g2 = np.zeros(len(with1))
-    for seen, group in ((with1, n1), (with0, n0)):
-        for here, row in ((seen, with1 + with0), (group - seen, n1 + n0 - with1 - with0)):
-            want = np.maximum(row * (group / (n1 + n0)), 1e-300)
-            g2 += 2.0 * here * np.log(np.where(here > 0, here / want, 1.0))
-    return np.maximum(1.0, np.sqrt(np.maximum(g2, 0.0)))
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        texts = np.zeros(len(vocabulary), np.int64)
+        for batch in batches:
+            for _, data, offsets in K.blocks(batch.column("text")):
+                texts += np.bincount(_known(vocabulary, data, offsets)[0], minlength=len(vocabulary))
+        held = np.flatnonzero(texts)
+        yield pa.RecordBatch.from_arrays([pa.array(held), pa.array(texts[held])], ["place", "texts"])
+
+    return count
+
+
+def unit_weights(places: np.ndarray, times: np.ndarray, rows: np.ndarray, idf: np.ndarray) -> np.ndarray:
+    """TF-IDF weights (1 + ln count) * idf of each text, divided by the text's length as a vector."""
+    w = (1.0 + np.log(times)) * idf[places]
+    length = np.sqrt(K.row_reduce(np.add, w * w, rows, 0.0))
+    return w / np.repeat(np.where(length > 0, length, 1.0), np.diff(rows))
 
 
 @dataclass(frozen=True)
 class BlockMaxIndex:
-    """Distinct unit vectors of the examples in blocks: posting lists of rare terms, and rows of frequent terms with their
-    greatest weight in each block."""
+    """Unit vectors of one label's examples, in blocks of examples that share their heaviest frequent term.
 
-    idf: np.ndarray
-    starts: np.ndarray  # term to its first posting; frequent terms have none
-    owners: np.ndarray  # postings: example, weight; by term
+    Rare terms have posting lists. Frequent ones are rows of a matrix, with their greatest weight in each block.
+    """
+
+    ids: np.ndarray
+    starts: np.ndarray  # term to its first posting and the end
+    owners: np.ndarray
     weights: np.ndarray
     slot: np.ndarray  # term to its column among the frequent ones, or -1
     often: np.ndarray  # (example, frequent term): weight
-    peaks: np.ndarray  # (frequent term, block)
-    block_of: np.ndarray
-    votes: np.ndarray  # (example, 2): weight of labels 0 and 1
-    counts: np.ndarray
-    proof: list[list[int]]  # ids of some examples of each vector
-    prior: float
-
-    @staticmethod
-    def unit(places: np.ndarray, times: np.ndarray, idf: np.ndarray) -> np.ndarray:
-        w = (1.0 + np.log(times)) * idf[places]
-        return w / np.sqrt((w * w).sum())
+    peaks: np.ndarray  # (frequent term, block): greatest weight
+    centre: np.ndarray  # mean of the vectors
 
     @classmethod
-    def build(cls, rows: list[tuple], idf: np.ndarray, scale: dict[int, float], proofs: int = 3) -> BlockMaxIndex:
-        """rows: (id, label, places, times). Examples with equal vectors are one entry with summed votes."""
-        groups: dict[tuple, list] = {}
-        for id_, label, places, times in sorted(rows, key=lambda r: (r[0], r[1])):
-            if len(places):
-                key = np.asarray(places, np.int32).tobytes(), np.asarray(times, np.int32).tobytes()
-                groups.setdefault(key, []).append((id_, label))
-        vectors = {k: (np.frombuffer(k[0], np.int32), np.frombuffer(k[1], np.int32)) for k in groups}
-        # neighbours in the order are about as long, so that a frequent term weighs about the same in them
-        norms = {k: float((((1.0 + np.log(t)) * idf[p]) ** 2).sum()) for k, (p, t) in vectors.items()}
-        keys = sorted(groups, key=lambda k: (norms[k], k))
-        n, n_terms = len(keys), len(idf)
-        held = [vectors[k][0] for k in keys]
-        term = np.concatenate([*held, np.zeros(0, np.int32)])
-        owner = np.repeat(np.arange(n, dtype=np.int32), [len(p) for p in held])
-        weight = np.concatenate([*(cls.unit(*vectors[k], idf) for k in keys), np.zeros(0)])
-        texts = np.bincount(term, minlength=n_terms)
+    def build(cls, ids: np.ndarray, places: np.ndarray, weights: np.ndarray, rows: np.ndarray, n_terms: int) -> BlockMaxIndex:
+        n = len(ids)
+        owner = np.repeat(np.arange(n), np.diff(rows))
+        texts, centre = np.bincount(places, minlength=n_terms), np.bincount(places, weights, n_terms) / n
         frequent = np.argsort(-texts, kind="stable")[:MOST_OFTEN]
         frequent = frequent[texts[frequent] > n * OFTEN]
         slot = np.full(n_terms, -1, np.int32)
         slot[frequent] = np.arange(len(frequent))
-        block_of = np.arange(n) // BLOCK
-        dense = slot[term] >= 0
-        often = np.zeros((n, len(frequent)))
-        often[owner[dense], slot[term[dense]]] = weight[dense]
-        peaks = np.zeros((len(frequent), -(-n // BLOCK)))
-        np.maximum.at(peaks, (slot[term[dense]], block_of[owner[dense]]), weight[dense])
-        term, owner, weight = term[~dense], owner[~dense], weight[~dense]
-        order = np.argsort(term, kind="stable")
-        votes = np.array([[sum(scale[y] for _, y in groups[k] if y == label) for label in (0, 1)] for k in keys], np.float64).reshape(-1, 2)
-        total = votes.sum(axis=0)
-        prior = float((total[1] + 0.5) / (total.sum() + 1.0))
-        return cls(
-            idf, np.searchsorted(term[order], np.arange(n_terms + 1)), owner[order], weight[order], slot, often, peaks, block_of,
-            votes, np.array([len(groups[k]) for k in keys], np.int64), [[x for x, _ in groups[k][:proofs]] for k in keys], prior,
-        )
-
-    def nearest(self, places: np.ndarray, weights: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """(example vectors, cosines) of a unit query, nearest first, with all vectors that tie with the k-th.
-
-        Rare terms are summed from their posting lists. What the frequent ones can add is bounded by their peaks in each
-        block; only examples whose bound reaches the k-th best cosine of a first choice have them read.
+        dense = slot[places] >= 0
+        often = np.zeros((n, max(len(frequent), 1)), np.float32)
+        often[owner[dense], slot[places[dense]]] = weights[dense]
+        order = np.lexsort((ids, -often.max(axis=1), often.argmax(axis=1)))
+        owner, often = np.argsort(order)[owner], often[order]
+        blocks = -(-n // BLOCK)
+        peaks = np.zeros((often.shape[1], blocks), np.float32)
+        for b in range(blocks):
+            peaks[:, b] = often[b * BLOCK : (b + 1) * BLOCK].max(axis=0)
+        place, owner, weights = places[~dense], owner[~dense], weights[~dense]
+        by_term = np.lexsort((owner, place))
+        starts = np.searchsorted(place[by_term], np.arange(n_terms + 1))
+        return cls(ids[order], starts, owner[by_term].astype(np.int32), weights[by_term].astype(np.float32), slot, often, peaks, centre)
+
+    def search(self, places: np.ndarray, weights: np.ndarray, rows: np.ndarray, k: int, leave: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Cosines of the k nearest examples of each query, nearest first (-1 where there are fewer), ids of the first PROOFS,
+        and the mean cosine with all.
+
+        Rare terms are summed from their posting lists. What frequent terms can add is bounded by their peaks in each
+        block: the blocks with the greatest bounds are read first, then those whose bound reaches the k-th best cosine
+        of these. ``leave`` leaves out examples with the query's own vector.
         """
+        m, n = len(rows) - 1, len(self.ids)
+        k, blocks = min(k, n), self.peaks.shape[1]
+        who = np.repeat(np.arange(m), np.diff(rows))
         slot = self.slot[places]
-        query = np.zeros(self.often.shape[1])
-        query[slot[slot >= 0]] = weights[slot >= 0]
-        rare, w = places[slot < 0], weights[slot < 0]
-        low, size = self.starts[rare], self.starts[rare + 1] - self.starts[rare]
+        rare, dense = slot < 0, slot >= 0
+        query = np.zeros((m, self.often.shape[1]), np.float32)
+        query[who[dense], slot[dense]] = weights[dense]
+        low = self.starts[places[rare]]
+        size = self.starts[places[rare] + 1] - low
         at = np.arange(size.sum()) + np.repeat(low - np.cumsum(size) + size, size)
-        part = np.bincount(self.owners[at], self.weights[at] * np.repeat(w, size), len(self.counts))
-        bound = part + (query @ self.peaks)[self.block_of]
-        some = np.arange(len(bound))
-        if len(bound) > k:
-            first = np.argpartition(-bound, k - 1)[:k]
-            floor = (part[first] + self.often[first] @ query).min()
-            some = np.flatnonzero(bound >= floor - 1e-7)
-        cosines = np.round(part[some] + self.often[some] @ query, 8)
-        if len(cosines) > k:
-            best = cosines >= -np.partition(-cosines, k - 1)[k - 1]
-            some, cosines = some[best], cosines[best]
-        order = np.lexsort((some, -cosines))
-        return some[order], cosines[order]
-
-    def search(self, queries: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """As nearest, for each row of a matrix; -1 fills up the rows."""
-        each = [self.nearest(np.flatnonzero(q), q[np.flatnonzero(q)], k) for q in queries]
-        found, cosines = (np.full((len(each), max((len(f) for f, _ in each), default=0)), x) for x in (-1, -1.0))
-        for i, (f, c) in enumerate(each):
-            found[i, : len(f)], cosines[i, : len(f)] = f, c
-        return found, cosines
-
-    def judge(self, places: np.ndarray, weights: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, list[int]]:
-        """(cosines, votes for 0 and 1, ids of the nearest examples) of a unit query; nothing where no example shares a term.
-
-        Examples that tie with the k-th are one entry and share the places that are left, so a crowd of ties weighs no more
-        than k examples.
-        """
-        found, cosines = self.nearest(places, weights, k) if len(self.counts) else (np.zeros(0, int), np.zeros(0))
-        if not len(found) or cosines[0] <= 0:
-            return np.zeros(0), np.zeros((0, 2)), []
-        counts = self.counts[found]
-        kth = cosines[(np.cumsum(counts) - counts < k).sum() - 1]
-        above, crowd = cosines > kth, cosines == kth
-        share = min(1.0, (k - counts[above].sum()) / counts[crowd].sum())
-        votes = np.concatenate((self.votes[found[above]], self.votes[found[crowd]].sum(axis=0, keepdims=True) * share))
-        return np.append(cosines[above], kth), votes, self.proof[found[0]]
-
-
-def _neighbours(index: BlockMaxIndex, terms: np.ndarray, places: np.ndarray, idf: np.ndarray, k: int):
-    """mapInArrow function: the nearest examples of each text by the terms whose frequency is known here, and its other terms.
-
-    terms ascend; places are -1 for those that no example holds. Terms that are not among them can't add to a cosine, but
-    to the length of the text, so they are given out for a join with their frequencies. ``known`` is the square of the length so far.
+        cell = self.owners[at] + np.repeat(who[rare] * (blocks * BLOCK), size)
+        cosines = np.bincount(cell, self.weights[at] * np.repeat(weights[rare], size), m * blocks * BLOCK)
+        cosines = cosines.astype(np.float32).reshape(m, blocks, BLOCK)
+        cosines[:, -1, n - blocks * BLOCK or BLOCK :] = -1.0
+        bound = cosines.max(axis=2) + query @ self.peaks
+        total, own = n * np.bincount(who, weights * self.centre[places], m), np.zeros(m)
+
+        def read(wanted: np.ndarray) -> None:
+            for b in np.flatnonzero(wanted.any(axis=0)):
+                q, rows_of = np.flatnonzero(wanted[:, b]), self.often[b * BLOCK : (b + 1) * BLOCK]
+                found = cosines[q, b, : len(rows_of)] + query[q] @ rows_of.T
+                if leave:
+                    same = found > 1.0 - 1e-5
+                    own[q] += same.sum(axis=1)
+                    found[same] = -1.0
+                cosines[q, b, : len(rows_of)] = found
+
+        first = np.zeros((m, blocks), bool)
+        np.put_along_axis(first, np.argsort(-bound, axis=1)[:, : -(-k // BLOCK) + 1], True, axis=1)
+        read(first)
+        floor = np.sort(np.where(first[:, :, None], cosines, np.float32(-1.0)).reshape(m, -1), axis=1)[:, -k, None]
+        more = (bound >= floor - 1e-5) & ~first
+        read(more)
+        cosines[~(first | more)] = -1.0
+        cosines = cosines.reshape(m, -1).round(6)
+        proof = np.empty((m, min(PROOFS, n)), np.int64)
+        near = -np.sort(-cosines, axis=1)[:, :k]
+        for j in range(proof.shape[1]):
+            proof[:, j] = cosines.argmax(axis=1)
+            cosines[np.arange(m), proof[:, j]] = -2.0
+        return near, self.ids[proof], (total - own) / np.maximum(n - own, 1)
+
+
+def vote_features(no: np.ndarray, yes: np.ndarray, means: tuple[np.ndarray, np.ndarray], sizes: tuple[int, int]) -> np.ndarray:
+    """What the votes say, from descending cosines with the nearest examples of label 0 and of label 1, a row a text,
+    and the mean cosines with all examples of either.
+
+    For each of PLACES, the log odds of the label among so many nearest examples of both labels, each vote weighing its
+    cosine over the greatest; examples that tie with the last share the places left. For each of SHARES, the log ratio
+    of the mean cosines with that share of either label's examples, and with all. Only ratios count, so a text's own length does not.
     """
+    base = sizes[1] / sum(sizes)
+    top = np.maximum(no[:, :1], yes[:, :1])
+    no, yes = (np.maximum(x, 0.0) / np.where(top > 0, top, 1.0) for x in (no, yes))
+    both = -np.sort(-np.concatenate((no, yes), axis=1), axis=1)
+    out = []
+    for k in PLACES:
+        last = both[:, min(k, both.shape[1]) - 1, None]
+        left = (k - (both > last).sum(axis=1)) / np.maximum((both == last).sum(axis=1), 1)
+        votes = [(x * (x > last)).sum(axis=1) + (x == last).sum(axis=1) * np.minimum(left, 1.0) * last[:, 0] for x in (no, yes)]
+        share = (votes[1] + 3 * base) / (votes[0] + votes[1] + 3)
+        out.append(np.log(share / (1 - share)))
+    pairs = [[x[:, : math.ceil(share * n)].mean(axis=1) for x, n in zip((no, yes), sizes, strict=True)] for share in SHARES]
+    pairs.append([np.maximum(x, 0.0) / np.where(top > 0, top, 1.0)[:, 0] for x in means])
+    out += [np.log((b + 1e-6) / (a + 1e-6)) for a, b in pairs]
+    return np.stack(out, axis=1)
+
+
+@dataclass(frozen=True)
+class Examples:
+    """Labelled examples: the vocabulary with its weights, and the index of either label."""
+
+    vocabulary: np.ndarray
+    idf: np.ndarray
+    no: BlockMaxIndex
+    yes: BlockMaxIndex
+
+    @property
+    def sizes(self) -> tuple[int, int]:
+        return len(self.no.ids), len(self.yes.ids)
+
+    def judge(self, data: np.ndarray, offsets: np.ndarray, leave: bool) -> tuple[np.ndarray, list[list[int] | None]]:
+        """(vote features, ids of the nearest examples) of each text; no ids where no example shares a weighing term."""
+        places, times, rows = _known(self.vocabulary, data, offsets)
+        weights = unit_weights(places, times, rows, self.idf)
+        near = [x.search(places, weights, rows, max(PLACES[-1], math.ceil(SHARES[0] * n)), leave) for x, n in zip((self.no, self.yes), self.sizes, strict=True)]
+        (no, no_ids, no_mean), (yes, yes_ids, yes_mean) = near
+        some = [np.concatenate(x, axis=1) for x in ((no[:, : no_ids.shape[1]], yes[:, : yes_ids.shape[1]]), (no_ids, yes_ids))]
+        order = np.lexsort((some[1], -some[0]), axis=1)[:, :PROOFS]
+        cosines, ids = (np.take_along_axis(x, order, axis=1) for x in some)
+        proof = [i[c > 0].tolist() or None for c, i in zip(cosines, ids, strict=True)]
+        return vote_features(no, yes, (no_mean, yes_mean), self.sizes), proof
+
+    def judged(self, leave: bool = False):
+        """mapInArrow function: (id, ..., text) to (id, ..., features, evidence); null features where there is no evidence."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                names = batch.schema.names[:-1]
+                for row, data, offsets in K.blocks(batch.column("text")):
+                    for a in range(0, len(offsets) - 1, QUERIES):
+                        cut = offsets[a : a + QUERIES + 1]
+                        features, proof = self.judge(data[cut[0] : cut[-1]], cut - cut[0], leave)
+                        values = [f if p else None for f, p in zip(features.tolist(), proof, strict=True)]
+                        rest = [batch.column(c).slice(row + a, len(cut) - 1) for c in names]
+                        yield pa.RecordBatch.from_arrays([*rest, pa.array(values, pa.list_(pa.float64())), pa.array(proof, pa.list_(pa.int64()))], [*names, "features", "evidence"])
+
+        return run
+
+
+@dataclass(frozen=True)
+class ToxicityModel:
+    """Examples with the calibration of their votes; without examples of both labels every score is the base rate."""
+
+    examples: Examples | None
+    intercept: float
+    weights: tuple[float, ...]
+    base: float
+
+    def score(self, features: Column) -> Column:
+        total = F.lit(self.intercept)
+        for i, w in enumerate(self.weights):
+            total = total + F.get(features, F.lit(i)) * F.lit(w)
+        return F.coalesce(1.0 / (1.0 + F.exp(-total)), F.lit(self.base))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row, data, offsets in K.blocks(batch.column("text")):
-                n = len(offsets) - 1
-                g, times, rows = _terms_of(data, offsets)
-                at = np.minimum(np.searchsorted(terms, g), max(len(terms) - 1, 0))
-                here = terms[at] == g if len(terms) else np.zeros(len(g), bool)
-                w = np.zeros(len(g))
-                w[here] = (1.0 + np.log(times[here])) * idf[at[here]]
-                known = K.row_reduce(np.add, w * w, rows, 0.0)
-                unit = w / np.repeat(np.sqrt(np.where(known > 0, known, 1.0)), np.diff(rows))
-                place = np.where(here, places[at], -1) if len(terms) else np.full(len(g), -1)
-                judged = []
-                for a, b in zip(rows[:-1], rows[1:], strict=True):
-                    held = place[a:b] >= 0
-                    judged.append(index.judge(place[a:b][held], unit[a:b][held], k))
-                ends = np.append(0, np.cumsum([len(c) for c, _, _ in judged]))
-                cosines = np.concatenate([c for c, _, _ in judged])
-                votes = np.concatenate([v for _, v, _ in judged])
-                others = np.append(0, np.cumsum(~here))[rows]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        *(batch.column(c).slice(row, n) for c in ("rid", "id")), pa.array(known), _lists(ends, cosines, pa.float64()),
-                        *(_lists(ends, votes[:, y], pa.float64()) for y in (0, 1)), pa.array([p for _, _, p in judged], pa.list_(pa.int64())),
-                        _lists(others, g[~here].view(np.int64), pa.int64()), _lists(others, times[~here], pa.int32()),
-                    ],
-                    ["rid", "id", "known", "cosines", "no", "yes", "evidence", "terms", "times"],
-                )
-
-    return run
+
+def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, max_examples: int, penalty: float) -> ToxicityModel:
+    """Draw the examples, weigh their terms over all documents, index them, and calibrate their votes on each other."""
+    src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    rows = labels.where(~held_out(id_col, 5, 0) & F.col(label_col).isNotNull() & F.col(id_col).isNotNull())
+    rows = rows.groupBy(F.col(id_col).cast("long").alias("id")).agg(F.max(label_col).cast("int").alias("label")).where("label in (0, 1)")
+    labelled = {r.label: r["count"] for r in rows.groupBy("label").count().collect()}
+    keep = {y: min(1.0, max_examples / max(labelled.get(y, 0), 1)) for y in (0, 1)}
+    draw = F.pmod(F.xxhash64(F.lit("example"), "id"), F.lit(1 << 20)) / float(1 << 20)
+    drawn = rows.where(draw < F.when(F.col("label") == 1, keep[1]).otherwise(keep[0]))
+    # at most about 2 * max_examples pairs of numbers
+    drawn = materialize(src.join(F.broadcast(drawn), "id"), "examples")
+    schema = "id long, label int, terms array<long>, times array<int>"
+    table = drawn.select("id", "label", "text").mapInArrow(_example_vectors, schema).orderBy("id", "label").toArrow().combine_chunks()
+    label = table.column("label").to_numpy()
+    sizes = [int((label == y).sum()) for y in (0, 1)]
+    counted = [n / keep[y] for y, n in enumerate(sizes)]
+    base = (counted[1] + 0.5) / (sum(counted) + 1.0)
+    if not all(sizes):
+        return ToxicityModel(None, math.log(base / (1 - base)), (), base)
+
+    flat, times = (pa.concat_arrays(table.column(c).chunks).flatten().to_numpy() for c in ("terms", "times"))
+    ends = np.append(0, np.cumsum(pa.compute.list_value_length(table.column("terms")).to_numpy()))
+    vocabulary, places = np.unique(flat.view(np.uint64), return_inverse=True)
+    counts = src.select("text").mapInArrow(_text_counter(vocabulary), "place long, texts long").groupBy("place").agg(F.sum("texts").alias("texts")).toArrow()
+    texts = np.zeros(len(vocabulary), np.int64)
+    texts[counts.column("place").to_numpy()] = counts.column("texts").to_numpy()
+    idf = np.log((1.0 + src.count()) / (1.0 + texts))
+    weights, ids = unit_weights(places, times, ends, idf), table.column("id").to_numpy()
+    owner = label[np.repeat(np.arange(len(label)), np.diff(ends))]
+    no, yes = (
+        BlockMaxIndex.build(ids[label == y], places[owner == y], weights[owner == y], np.append(0, np.cumsum(np.diff(ends)[label == y])), len(vocabulary)) for y in (0, 1)
+    )
+    examples = Examples(vocabulary, idf, no, yes)
+
+    judged = drawn.select("id", "label", "text").mapInArrow(examples.judged(leave=True), "id long, label int, features array<double>, evidence array<long>")
+    judged = judged.where("features is not null").select(
+        array_to_vector("features").alias("features"), F.col("label").cast("double").alias("label"),
+        F.when(F.col("label") == 1, 1.0 / keep[1]).otherwise(1.0 / keep[0]).alias("weight"),
+    )
+    judged = materialize(judged, "votes")
+    if judged.select("label").distinct().count() < 2:
+        return ToxicityModel(examples, math.log(base / (1 - base)), (), base)
+    fit = LogisticRegression(weightCol="weight", regParam=penalty, maxIter=100).fit(judged)
+    return ToxicityModel(examples, float(fit.intercept), tuple(fit.coefficients.toArray().tolist()), base)
 
 
 def toxicity_scores(
@@ -236,85 +311,32 @@ def toxicity_scores(
     text_col: str = "text",
     label_col: str = "toxic",
     max_examples: int = 6_000,
-    k: int = 25,
-    width: float = 0.3,
-    strength: float = 1.5,
-    head: int = 1 << 18,
+    penalty: float = 1e-5,
 ) -> DataFrame:
-    """One row per document: id, held_out, score, predicted, evidence (ids of nearest examples) and their cosine.
+    """One row per document: id, held_out, score, predicted and evidence (ids of the nearest examples).
 
     Examples are at most about ``max_examples`` labelled rows of either class, drawn by a hash of the id from the
-    training folds; a class's votes count by its rate of drawing. Vectors hold all terms of a text, weighed by inverse
-    document frequencies that are counted over all documents, times how far a term tells the examples' classes apart (see
-    telling): by TF-IDF alone the subject of a text outweighs its few toxic words. The index holds each distinct example vector once and is
-    bounded by max_examples, so it is broadcast, with the frequencies of the examples' terms and of the about ``head`` most
-    frequent others. Terms beyond these only lengthen a vector: they are joined with their frequencies. Votes fade with the
-    distance beyond the nearest and are smoothed by the base rate.
+    training folds. A vector holds all terms of a whole text, weighed (1 + ln count) * ln((1 + texts) / (1 + texts with
+    the term)) over all documents. An index of each label, bounded by max_examples and so broadcast, gives the nearest
+    examples of either label by exact cosine. Terms that no example holds only lengthen the text's own vector, which
+    changes neither the order of its cosines nor their ratios, so they need no weight. The score is a logistic
+    calibration of the distance-weighted votes (see vote_features), fitted on the examples themselves, each judged
+    without those of its own vector and weighing by its class's rate of drawing.
 
     Null and empty texts and those that share no term with an example get the base rate and no evidence, as do all texts
-    without examples. Null labels
-    are no examples, an id with several labels has the greatest, null ids are scored and count as the empty text for the
-    fold. Repeated rows are rows like others. An empty table gives no rows; other columns are ignored.
+    without examples of both labels. Null labels are no examples, an id with several labels has the greatest, null ids
+    are scored and count as the empty text for the fold. Repeated rows are rows like others. An empty table gives no
+    rows; other columns are ignored.
     """
-    spark = docs.sparkSession
-    ship(spark)
+    ship(docs.sparkSession)
+    model = fit_toxicity(docs, labels, id_col, text_col, label_col, max_examples, penalty)
     src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    rows = labels.where(~held_out(id_col, 5, 0) & F.col(label_col).isNotNull() & F.col(id_col).isNotNull())
-    rows = rows.groupBy(F.col(id_col).cast("long").alias("id")).agg(F.max(label_col).cast("int").alias("label"))
-    sizes = {r.label: r["count"] for r in rows.groupBy("label").count().collect()}
-    keep = {y: min(1.0, max_examples / max(sizes.get(y, 0), 1)) for y in (0, 1)}
-    draw = F.pmod(F.xxhash64(F.lit("example"), "id"), F.lit(1 << 20)) / float(1 << 20)
-    drawn = rows.where("label in (0, 1)").where(draw < F.when(F.col("label") == 1, keep[1]).otherwise(keep[0]))
-    # at most about 2 * max_examples pairs of numbers
-    examples = materialize(src.join(F.broadcast(drawn), "id"), "examples")
-    texts = src.select("text").mapInArrow(_document_counts, "term long, texts long").withColumn("sample", F.lit(0))
-    own = examples.select("text").mapInArrow(_document_counts, "term long, texts long").select("term", F.lit(0).alias("texts"), F.lit(1).alias("sample"))
-    counts = texts.unionByName(own).groupBy("term").agg(F.sum("texts").alias("texts"), F.max("sample").alias("sample"))
-    counts = materialize(counts, "counts")
-    total, least, among = src.count(), 1, 0
-    # texts that a term must be in to be among the head: the histogram has few rows
-    for r in sorted(counts.where("sample = 0").groupBy("texts").count().collect(), key=lambda r: -r.texts):
-        among += r["count"]
-        if among > head:
-            least = r.texts + 1
-            break
-    table = counts.where((F.col("sample") > 0) | (F.col("texts") >= least)).toArrow()
-    terms = table.column("term").to_numpy().view(np.uint64)
-    order = np.argsort(terms)
-    terms, sample = terms[order], table.column("sample").to_numpy()[order] > 0
-    idf = np.log((1 + total) / (1 + table.column("texts").to_numpy()[order])) + 1.0
-    places = np.where(sample, np.cumsum(sample) - 1, -1).astype(np.int32)
-
-    drawn = examples.select("id", "label", "text").mapInArrow(_example_vectors, "id long, label int, terms array<long>, times array<int>").toArrow()
-    drawn, vocabulary = drawn.combine_chunks(), terms[sample]
-    flat, times, ends = (np.zeros(0, np.uint64), np.zeros(0, np.int32), np.zeros(1, np.int32))
-    if len(drawn):
-        flat, times = (pa.concat_arrays(drawn.column(c).chunks).flatten().to_numpy() for c in ("terms", "times"))
-        ends = np.append(0, np.cumsum(pa.compute.list_value_length(drawn.column("terms")).to_numpy()))
-    flat = np.searchsorted(vocabulary, flat.view(np.uint64)).astype(np.int32)
-    label = drawn.column("label").to_numpy()
-    labelled = np.repeat(label, np.diff(ends))
-    held = [np.bincount(flat[labelled == y], minlength=len(vocabulary)) for y in (1, 0)]
-    idf[sample] *= telling(*held, int((label == 1).sum()), int((label == 0).sum()))
-    rows = zip(drawn.column("id").to_pylist(), drawn.column("label").to_pylist(), ends[:-1], ends[1:], strict=True)
-    rows = [(i, y, flat[a:b], times[a:b]) for i, y, a, b in rows]
-    index = BlockMaxIndex.build(rows, idf[sample], {y: 1.0 / max(keep[y], 1e-9) for y in (0, 1)})
-
-    schema = "rid long, id long, known double, cosines array<double>, no array<double>, yes array<double>, evidence array<long>, terms array<long>, times array<int>"
-    near = src.select(F.monotonically_increasing_id().alias("rid"), "id", "text").mapInArrow(_neighbours(index, terms, places, idf, k), schema)
-    near = materialize(near, "neighbours")
-    others = near.select("rid", F.explode(F.arrays_zip("terms", "times")).alias("x")).select("rid", F.col("x.terms").alias("term"), "x.times")
-    weight = (1.0 + F.log("times")) * (F.log(F.lit(1.0 + total) / (1 + F.col("texts"))) + 1.0)
-    others = others.join(counts.select("term", "texts"), "term").groupBy("rid").agg(F.sum(weight * weight).alias("unknown"))
-    scored = near.drop("terms", "times").join(others, "rid", "left")
-    # cosines are those of the known part: whole vectors are longer, which keeps the order
-    ratio = F.sqrt(F.col("known") / (F.col("known") + F.coalesce("unknown", F.lit(0.0))))
-    scored = scored.withColumn("cosines", F.transform("cosines", lambda c: c * ratio))
-    fade = F.transform("cosines", lambda c: F.exp((c - F.get("cosines", F.lit(0))) / width))
-    vote = lambda y: F.aggregate(F.zip_with(fade, y, lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b)
-    score = (vote("yes") + strength * index.prior) / (vote("yes") + vote("no") + strength)
-    scored = scored.select("id", score.alias("score"), "evidence", F.coalesce(F.get("cosines", F.lit(0)), F.lit(0.0)).alias("evidence_cosine"))
+    if model.examples is None:
+        scored = src.select("id", F.lit(model.base).alias("score"), F.lit(None).cast("array<bigint>").alias("evidence"))
+    else:
+        scored = src.mapInArrow(model.examples.judged(), "id long, features array<double>, evidence array<long>")
+        scored = scored.select("id", model.score(F.col("features")).alias("score"), "evidence")
     return scored.select(
-        F.col("id").alias(id_col), held_out("id", 5, 0).alias("held_out"), "score",
-        (F.col("score") >= 0.5).cast("int").alias("predicted"), "evidence", "evidence_cosine",
+        F.col("id").alias(id_col), held_out("id", 5, 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"),
+        F.coalesce("evidence", F.array().cast("array<bigint>")).alias("evidence"),
     )

@@ -1,4 +1,5 @@
 import math
+import re
 import zlib
 from collections import Counter
 
@@ -6,7 +7,7 @@ import numpy as np
 import pytest
 
 from parchment.llm import toxicity
-from parchment.llm.toxicity import BlockMaxIndex, toxicity_scores
+from parchment.llm.toxicity import BlockMaxIndex, fit_toxicity, toxicity_scores, unit_weights
 
 
 def test_held_out(spark):
@@ -33,35 +34,73 @@ def test_awkward(awkward, empty, labels, spark):
 
 @pytest.mark.parametrize("block", [3, 64])
 def test_index_is_exact(monkeypatch, block):
+    """Skipping blocks changes nothing: cosines of the nearest examples are those of a full search."""
     monkeypatch.setattr(toxicity, "BLOCK", block)
     rng = np.random.default_rng(4)
-    n_terms, idf = 12, 1 + 3 * rng.random(12)
-    rows = []
-    for i in range(200):
-        places = sorted(rng.choice(n_terms, rng.integers(1, 5), replace=False).tolist())
-        rows.append((i, int(rng.random() < 0.3), places, rng.integers(1, 4, len(places)).tolist()))
-    index = BlockMaxIndex.build(rows, idf, {0: 1.0, 1: 1.0})
-
-    def dense(places, times):
-        out = np.zeros(n_terms)
-        out[places] = BlockMaxIndex.unit(np.array(places), np.array(times), idf)
-        return out
-
-    every = np.array([dense(p, t) for _, _, p, t in rows])
-    queries = np.array([dense(p, t) for _, _, p, t in rows[:40]])
-    found, got = index.search(queries, 10)
-    for q, f, c in zip(queries, found, got, strict=True):
-        want = np.sort(np.round(every @ q, 8))[::-1]
-        counts = index.counts[f[f >= 0]]
-        flat = np.repeat(c[f >= 0], counts)
-        n = (want >= want[9] - 1e-9).sum()
-        assert len(flat) >= n and np.allclose(flat[:n], want[:n], atol=1e-7)
-        assert (np.diff(c) <= 0).all()
-
-
-@pytest.mark.parametrize("head", [3, 1 << 18])
-def test_whole_texts_count(table, spark, head):
-    """Cosines over all terms, with frequencies over all documents: a near copy of a single toxic example finds it."""
+    n_terms, idf = 40, 3 * rng.random(40)
+    chosen = [np.sort(rng.choice(n_terms, rng.integers(1, 9), replace=False)) for _ in range(200)]
+    ends = np.append(0, np.cumsum([len(c) for c in chosen]))
+    places = np.concatenate(chosen)
+    weights = unit_weights(places, rng.integers(1, 4, len(places)), ends, idf)
+    every = np.zeros((200, n_terms))
+    every[np.repeat(np.arange(200), np.diff(ends)), places] = weights
+    index = BlockMaxIndex.build(np.arange(200) + 1000, places, weights, ends, n_terms)
+    upto = ends[40]
+    for leave in (False, True):
+        got, ids, means = index.search(places[:upto], weights[:upto], ends[:41], 10, leave)
+        full = every[:40] @ every.T
+        full = np.where(leave & (full > 1 - 1e-5), -1.0, full)
+        assert np.allclose(means, np.where(full > -1, full, 0).sum(axis=1) / (full > -1).sum(axis=1), atol=2e-6)
+        assert np.allclose(got, -np.sort(-full, axis=1)[:, :10], atol=2e-6)
+        assert np.allclose(np.take_along_axis(full, ids - 1000, axis=1), got[:, :3], atol=2e-6)
+
+
+def features_of(no, yes):
+    """vote_features in plain Python, from all cosines with the examples of either label."""
+    base, top = len(yes) / (len(no) + len(yes)), max(no + yes)
+    no, yes = (sorted((max(c, 0) / (top if top > 0 else 1) for c in x), reverse=True) for x in (no, yes))
+    both, out = sorted(no + yes, reverse=True), []
+    for k in toxicity.PLACES:
+        last = both[min(k, len(both)) - 1]
+        left = min(1, (k - sum(c > last for c in both)) / both.count(last))
+        votes = [sum(c if c > last else c * left for c in x if c >= last) for x in (no, yes)]
+        out.append(math.log((votes[1] + 3 * base) / (votes[0] + 3 - 3 * base)))
+    mean = lambda x, s: sum(x[: math.ceil(s * len(x))]) / math.ceil(s * len(x))
+    return out + [math.log((mean(yes, s) + 1e-6) / (mean(no, s) + 1e-6)) for s in (*toxicity.SHARES, 1)]
+
+
+def test_scores_are_those_of_a_full_search(documents, labels):
+    """Features and scores of real texts, from TF-IDF vectors of whole texts in plain Python."""
+    texts = [(r.doc_id, Counter(re.findall("[a-z0-9\\x80-\U0010ffff]+", re.sub("[A-Z]", lambda m: m[0].lower(), r.text or "")))) for r in documents.collect()]
+    df = Counter(t for _, c in texts for t in c)
+    truth = {r.doc_id: r.toxic for r in labels.collect()}
+    idf = {t: math.log((1 + len(texts)) / (1 + n)) for t, n in df.items()}
+
+    def vector(counts):
+        out = {t: (1 + math.log(n)) * idf[t] for t, n in counts.items()}
+        length = math.sqrt(sum(w * w for w in out.values())) or 1
+        return {t: w / length for t, w in out.items()}
+
+    examples = [(i, truth[i], vector(c)) for i, c in texts if i in truth and zlib.crc32(str(i).encode()) % 5]
+    model = fit_toxicity(documents, labels, "doc_id", "text", "toxic", 6000, 1e-5)
+    assert model.examples.sizes == tuple(sum(y == k for _, y, _ in examples) for k in (0, 1))
+    got = {r.doc_id: r for r in toxicity_scores(documents, labels).collect()}
+    for i, counts in texts:
+        v = vector(counts)
+        cosines = [(y, round(sum(w * e.get(t, 0) for t, w in v.items()), 9), j) for j, y, e in examples]
+        best = max(c for _, c, _ in cosines)
+        if best <= 0:
+            assert got[i].evidence == [] and got[i].score == model.base
+            continue
+        near = {j: c for _, c, j in cosines}
+        assert abs(near[got[i].evidence[0]] - best) < 1e-4
+        total = model.intercept + sum(w * f for w, f in zip(model.weights, features_of(*([c for y, c, _ in cosines if y == k] for k in (0, 1))), strict=True))
+        assert abs(got[i].score - 1 / (1 + math.exp(-total))) < 1e-2
+        assert got[i].predicted == (got[i].score >= 0.5)
+
+
+def test_whole_texts_count(table, spark):
+    """A near copy of a single toxic example finds it, though its other words are new."""
     rng = np.random.default_rng(7)
     word = lambda: f"w{int(rng.zipf(1.3)) % 400}"
     texts = {i: " ".join(word() for _ in range(rng.integers(3, 60))) for i in range(120)}
@@ -69,30 +108,15 @@ def test_whole_texts_count(table, spark, head):
     texts |= {1001: rare + " w1 w2", 1003: rare + " w3 new1 new2", 1004: "only here", 1005: ""}
     assert zlib.crc32(b"1001") % 5
     toxic = {i: int(i % 4 == 0) for i in range(60)} | {1001: 1}
-    rows = toxicity_scores(table([(i, t, "s") for i, t in texts.items()]), spark.createDataFrame(list(toxic.items()), "doc_id long, toxic int"), head=head)
+    rows = toxicity_scores(table([(i, t, "s") for i, t in texts.items()]), spark.createDataFrame(list(toxic.items()), "doc_id long, toxic int"))
     got = {r.doc_id: r for r in rows.collect()}
-    df = Counter(t for x in texts.values() for t in set(x.split()))
+    assert got[1003].evidence[0] == 1001
+    assert got[1004].evidence == [] and got[1004].score == got[1005].score
 
-    trained = [i for i in toxic if zlib.crc32(str(i).encode()) % 5]
-    sizes = Counter(toxic[i] for i in trained)
-
-    def telling(t):
-        held, g2 = Counter(toxic[i] for i in trained if t in texts[i].split()), 0.0
-        for y in (0, 1):
-            for seen, row in ((held[y], held.total()), (sizes[y] - held[y], len(trained) - held.total())):
-                g2 += 2 * seen * math.log(seen * len(trained) / (row * sizes[y])) if seen else 0.0
-        return max(1.0, math.sqrt(max(g2, 0.0)))
-
-    def vector(text):
-        out = {t: telling(t) * (1 + math.log(n)) * (math.log((1 + len(texts)) / (1 + df[t])) + 1) for t, n in Counter(text.split()).items()}
-        length = math.sqrt(sum(w * w for w in out.values()))
-        return {t: w / length for t, w in out.items()}
 
-    examples = {i: vector(texts[i]) for i in trained}
-    for i, text in texts.items():
-        v = vector(text)
-        cosines = {j: sum(w * e.get(t, 0) for t, w in v.items()) for j, e in examples.items()}
-        best = max(cosines.values())
-        assert abs(got[i].evidence_cosine - best) < 1e-6
-        assert all(abs(cosines[j] - best) < 1e-6 for j in got[i].evidence) and bool(got[i].evidence) == (best > 0)
-    assert got[1003].evidence == [1001] and got[1003].score > got[1004].score
+def test_bound_on_examples(documents, labels):
+    """Fewer examples than labels: the classes weigh by their rates of drawing."""
+    model = fit_toxicity(documents, labels, "doc_id", "text", "toxic", 20, 1e-5)
+    assert 0 < sum(model.examples.sizes) < 60
+    full = fit_toxicity(documents, labels, "doc_id", "text", "toxic", 6000, 1e-5)
+    assert abs(model.base - full.base) < 0.1
