@@ -9,6 +9,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
+from pyspark import Broadcast
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
@@ -64,16 +65,17 @@ def _example_vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
             )
 
 
-def _text_counter(vocabulary: np.ndarray):
+def _text_counter(shared: Broadcast):
     """mapInArrow function: (text) to (place, texts), for a whole task the number of texts that hold each term of the vocabulary."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocabulary = shared.value
         texts = np.zeros(len(vocabulary), np.int64)
         for batch in batches:
             for _, data, offsets in K.blocks(batch.column("text")):
                 texts += np.bincount(_known(vocabulary, data, offsets)[0], minlength=len(vocabulary))
         held = np.flatnonzero(texts)
-        yield pa.RecordBatch.from_arrays([pa.array(held), pa.array(texts[held])], ["place", "texts"])
+        yield pa.RecordBatch.from_arrays([pa.array(held.astype(np.int32)), pa.array(texts[held])], ["place", "texts"])
 
     return count
 
@@ -104,25 +106,25 @@ class BlockMaxIndex:
     @classmethod
     def build(cls, ids: np.ndarray, places: np.ndarray, weights: np.ndarray, rows: np.ndarray, n_terms: int) -> BlockMaxIndex:
         n = len(ids)
-        owner = np.repeat(np.arange(n), np.diff(rows))
-        texts, centre = np.bincount(places, minlength=n_terms), np.bincount(places, weights, n_terms) / n
+        owner = np.repeat(np.arange(n, dtype=np.int32), np.diff(rows))
+        texts, centre = np.bincount(places, minlength=n_terms), (np.bincount(places, weights, n_terms) / n).astype(np.float32)
         frequent = np.argsort(-texts, kind="stable")[:MOST_OFTEN]
         frequent = frequent[texts[frequent] > n * OFTEN]
-        slot = np.full(n_terms, -1, np.int32)
+        slot = np.full(n_terms, -1, np.int16)
         slot[frequent] = np.arange(len(frequent))
         dense = slot[places] >= 0
         often = np.zeros((n, max(len(frequent), 1)), np.float32)
         often[owner[dense], slot[places[dense]]] = weights[dense]
         order = np.lexsort((ids, -often.max(axis=1), often.argmax(axis=1)))
-        owner, often = np.argsort(order)[owner], often[order]
+        owner, often = np.argsort(order).astype(np.int32)[owner], often[order]
         blocks = -(-n // BLOCK)
         peaks = np.zeros((often.shape[1], blocks), np.float32)
         for b in range(blocks):
             peaks[:, b] = often[b * BLOCK : (b + 1) * BLOCK].max(axis=0)
         place, owner, weights = places[~dense], owner[~dense], weights[~dense]
         by_term = np.lexsort((owner, place))
-        starts = np.searchsorted(place[by_term], np.arange(n_terms + 1))
-        return cls(ids[order], starts, owner[by_term].astype(np.int32), weights[by_term].astype(np.float32), slot, often, peaks, centre)
+        starts = np.searchsorted(place[by_term], np.arange(n_terms + 1, dtype=np.int32)).astype(np.int32)
+        return cls(ids[order], starts, owner[by_term], weights[by_term].astype(np.float32), slot, often, peaks, centre)
 
     def search(self, places: np.ndarray, weights: np.ndarray, rows: np.ndarray, k: int, leave: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Cosines of the k nearest examples of each query, nearest first (-1 where there are fewer), ids of the first PROOFS,
@@ -139,7 +141,7 @@ class BlockMaxIndex:
         rare, dense = slot < 0, slot >= 0
         query = np.zeros((m, self.often.shape[1]), np.float32)
         query[who[dense], slot[dense]] = weights[dense]
-        low = self.starts[places[rare]]
+        low = self.starts[places[rare]].astype(np.int64)
         size = self.starts[places[rare] + 1] - low
         at = np.arange(size.sum()) + np.repeat(low - np.cumsum(size) + size, size)
         cell = self.owners[at] + np.repeat(who[rare] * (blocks * BLOCK), size)
@@ -225,28 +227,30 @@ class Examples:
         proof = [i[c > 0].tolist() or None for c, i in zip(cosines, ids, strict=True)]
         return vote_features(no, yes, (no_mean, yes_mean), self.sizes), proof
 
-    def judged(self, leave: bool = False):
-        """mapInArrow function: (id, ..., text) to (id, ..., features, evidence); null features where there is no evidence."""
 
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                names = batch.schema.names[:-1]
-                for row, data, offsets in K.blocks(batch.column("text")):
-                    for a in range(0, len(offsets) - 1, QUERIES):
-                        cut = offsets[a : a + QUERIES + 1]
-                        features, proof = self.judge(data[cut[0] : cut[-1]], cut - cut[0], leave)
-                        values = [f if p else None for f, p in zip(features.tolist(), proof, strict=True)]
-                        rest = [batch.column(c).slice(row + a, len(cut) - 1) for c in names]
-                        yield pa.RecordBatch.from_arrays([*rest, pa.array(values, pa.list_(pa.float64())), pa.array(proof, pa.list_(pa.int64()))], [*names, "features", "evidence"])
+def _judged(shared: Broadcast, leave: bool = False):
+    """mapInArrow function: (id, ..., text) to (id, ..., features, evidence); null features where there is no evidence."""
 
-        return run
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        examples = shared.value
+        for batch in batches:
+            names = batch.schema.names[:-1]
+            for row, data, offsets in K.blocks(batch.column("text")):
+                for a in range(0, len(offsets) - 1, QUERIES):
+                    cut = offsets[a : a + QUERIES + 1]
+                    features, proof = examples.judge(data[cut[0] : cut[-1]], cut - cut[0], leave)
+                    values = [f if p else None for f, p in zip(features.tolist(), proof, strict=True)]
+                    rest = [batch.column(c).slice(row + a, len(cut) - 1) for c in names]
+                    yield pa.RecordBatch.from_arrays([*rest, pa.array(values, pa.list_(pa.float64())), pa.array(proof, pa.list_(pa.int64()))], [*names, "features", "evidence"])
+
+    return run
 
 
 @dataclass(frozen=True)
 class ToxicityModel:
-    """Examples with the calibration of their votes; without examples of both labels every score is the base rate."""
+    """Broadcast examples with the calibration of their votes; without examples of both labels every score is the base rate."""
 
-    examples: Examples | None
+    examples: Broadcast | None
     intercept: float
     weights: tuple[float, ...]
     base: float
@@ -260,6 +264,7 @@ class ToxicityModel:
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, max_examples: int, penalty: float) -> ToxicityModel:
     """Draw the examples, weigh their terms over all documents, index them, and calibrate their votes on each other."""
+    spark = docs.sparkSession
     src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     rows = labels.where(~held_out(id_col, 5, 0) & F.col(label_col).isNotNull() & F.col(id_col).isNotNull())
     rows = rows.groupBy(F.col(id_col).cast("long").alias("id")).agg(F.max(label_col).cast("int").alias("label")).where("label in (0, 1)")
@@ -271,7 +276,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str,
     drawn = materialize(src.join(F.broadcast(drawn), "id"), "examples")
     schema = "id long, label int, terms array<long>, times array<int>"
     table = drawn.select("id", "label", "text").mapInArrow(_example_vectors, schema).orderBy("id", "label").toArrow().combine_chunks()
-    label = table.column("label").to_numpy()
+    ids, label = table.column("id").to_numpy(), table.column("label").to_numpy()
     sizes = [int((label == y).sum()) for y in (0, 1)]
     counted = [n / keep[y] for y, n in enumerate(sizes)]
     base = (counted[1] + 0.5) / (sum(counted) + 1.0)
@@ -280,19 +285,23 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str,
 
     flat, times = (pa.concat_arrays(table.column(c).chunks).flatten().to_numpy() for c in ("terms", "times"))
     ends = np.append(0, np.cumsum(pa.compute.list_value_length(table.column("terms")).to_numpy()))
-    vocabulary, places = np.unique(flat.view(np.uint64), return_inverse=True)
-    counts = src.select("text").mapInArrow(_text_counter(vocabulary), "place long, texts long").groupBy("place").agg(F.sum("texts").alias("texts")).toArrow()
+    vocabulary = np.unique(flat.view(np.uint64))
+    places = np.searchsorted(vocabulary, flat.view(np.uint64)).astype(np.int32)
+    del table, flat
+    counter = _text_counter(spark.sparkContext.broadcast(vocabulary))
+    counts = src.select("text").mapInArrow(counter, "place int, texts long").groupBy("place").agg(F.sum("texts").alias("texts")).toArrow()
     texts = np.zeros(len(vocabulary), np.int64)
     texts[counts.column("place").to_numpy()] = counts.column("texts").to_numpy()
-    idf = np.log((1.0 + src.count()) / (1.0 + texts))
-    weights, ids = unit_weights(places, times, ends, idf), table.column("id").to_numpy()
-    owner = label[np.repeat(np.arange(len(label)), np.diff(ends))]
+    idf = np.log((1.0 + src.count()) / (1.0 + texts)).astype(np.float32)
+    weights = unit_weights(places, times, ends, idf).astype(np.float32)
+    owner = label[np.repeat(np.arange(len(label), dtype=np.int32), np.diff(ends))]
     no, yes = (
         BlockMaxIndex.build(ids[label == y], places[owner == y], weights[owner == y], np.append(0, np.cumsum(np.diff(ends)[label == y])), len(vocabulary)) for y in (0, 1)
     )
-    examples = Examples(vocabulary, idf, no, yes)
+    examples = spark.sparkContext.broadcast(Examples(vocabulary, idf, no, yes))
+    del counts, texts, places, times, weights, owner, vocabulary, no, yes
 
-    judged = drawn.select("id", "label", "text").mapInArrow(examples.judged(leave=True), "id long, label int, features array<double>, evidence array<long>")
+    judged = drawn.select("id", "label", "text").mapInArrow(_judged(examples, leave=True), "id long, label int, features array<double>, evidence array<long>")
     judged = judged.where("features is not null").select(
         array_to_vector("features").alias("features"), F.col("label").cast("double").alias("label"),
         F.when(F.col("label") == 1, 1.0 / keep[1]).otherwise(1.0 / keep[0]).alias("weight"),
@@ -300,7 +309,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str,
     judged = materialize(judged, "votes")
     if judged.select("label").distinct().count() < 2:
         return ToxicityModel(examples, math.log(base / (1 - base)), (), base)
-    fit = LogisticRegression(weightCol="weight", regParam=penalty, maxIter=100).fit(judged)
+    fit = LogisticRegression(weightCol="weight", regParam=penalty / sum(sizes), maxIter=100).fit(judged)
     return ToxicityModel(examples, float(fit.intercept), tuple(fit.coefficients.toArray().tolist()), base)
 
 
@@ -311,7 +320,7 @@ def toxicity_scores(
     text_col: str = "text",
     label_col: str = "toxic",
     max_examples: int = 6_000,
-    penalty: float = 1e-5,
+    penalty: float = 0.3,
 ) -> DataFrame:
     """One row per document: id, held_out, score, predicted and evidence (ids of the nearest examples).
 
@@ -320,7 +329,7 @@ def toxicity_scores(
     the term)) over all documents. An index of each label, bounded by max_examples and so broadcast, gives the nearest
     examples of either label by exact cosine. Terms that no example holds only lengthen the text's own vector, which
     changes neither the order of its cosines nor their ratios, so they need no weight. The score is a logistic
-    calibration of the distance-weighted votes (see vote_features), fitted on the examples themselves, each judged
+    calibration of the distance-weighted votes (see vote_features), fitted on the examples themselves (``penalty`` is spread over them), each judged
     without those of its own vector and weighing by its class's rate of drawing.
 
     Null and empty texts and those that share no term with an example get the base rate and no evidence, as do all texts
@@ -334,7 +343,7 @@ def toxicity_scores(
     if model.examples is None:
         scored = src.select("id", F.lit(model.base).alias("score"), F.lit(None).cast("array<bigint>").alias("evidence"))
     else:
-        scored = src.mapInArrow(model.examples.judged(), "id long, features array<double>, evidence array<long>")
+        scored = src.mapInArrow(_judged(model.examples), "id long, features array<double>, evidence array<long>")
         scored = scored.select("id", model.score(F.col("features")).alias("score"), "evidence")
     return scored.select(
         F.col("id").alias(id_col), held_out("id", 5, 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"),

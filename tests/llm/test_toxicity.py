@@ -82,8 +82,8 @@ def test_scores_are_those_of_a_full_search(documents, labels):
         return {t: w / length for t, w in out.items()}
 
     examples = [(i, truth[i], vector(c)) for i, c in texts if i in truth and zlib.crc32(str(i).encode()) % 5]
-    model = fit_toxicity(documents, labels, "doc_id", "text", "toxic", 6000, 1e-5)
-    assert model.examples.sizes == tuple(sum(y == k for _, y, _ in examples) for k in (0, 1))
+    model = fit_toxicity(documents, labels, "doc_id", "text", "toxic", 6000, 0.3)
+    assert model.examples.value.sizes == tuple(sum(y == k for _, y, _ in examples) for k in (0, 1))
     got = {r.doc_id: r for r in toxicity_scores(documents, labels).collect()}
     for i, counts in texts:
         v = vector(counts)
@@ -116,7 +116,7 @@ def test_whole_texts_count(table, spark):
 
 def test_bound_on_examples(documents, labels):
     """Fewer examples than labels: the classes weigh by their rates of drawing."""
-    model = fit_toxicity(documents, labels, "doc_id", "text", "toxic", 20, 1e-5)
-    assert 0 < sum(model.examples.sizes) < 60
-    full = fit_toxicity(documents, labels, "doc_id", "text", "toxic", 6000, 1e-5)
+    model = fit_toxicity(documents, labels, "doc_id", "text", "toxic", 20, 0.3)
+    assert 0 < sum(model.examples.value.sizes) < 60
+    full = fit_toxicity(documents, labels, "doc_id", "text", "toxic", 6000, 0.3)
     assert abs(model.base - full.base) < 0.1
