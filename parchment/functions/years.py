@@ -8,21 +8,21 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 YEAR = r"(?<![0-9])(?:19|20)[0-9]{2}(?![0-9])"
-#: fixed values: contexts that keep or update a year; {y} is the year
+#: fixed values: contexts that keep or update a year; YEAR stands for the year
 KEEP_PATTERNS = (
-    "(?:历史|成立于|发布于|颁布于|修订于|自).{{0,8}}{y}",
-    "{y}.{{0,8}}(?:年生|年成立|年发布|年颁布|年修订|年度数据|年统计)",
-    "(?:GB|GB/T|ISO|IEC|RFC|标准|法规|条例|法律|版权|©|版本|合同|案例).{{0,16}}{y}",
+    "(?:历史|成立于|发布于|颁布于|修订于|自).{0,8}YEAR",
+    "YEAR.{0,8}(?:年生|年成立|年发布|年颁布|年修订|年度数据|年统计)",
+    "(?:GB|GB/T|ISO|IEC|RFC|标准|法规|条例|法律|版权|©|版本|合同|案例).{0,16}YEAR",
 )
 UPDATE_PATTERNS = (
-    "(?:当前|目前|现行|最新|截至|截止|今年|本年度|本年|近期|现阶段).{{0,16}}{y}",
-    "{y}.{{0,12}}(?:当前|最新版|最新版本|最新|现行|本年度|年度版)",
+    "(?:当前|目前|现行|最新|截至|截止|今年|本年度|本年|近期|现阶段).{0,16}YEAR",
+    "YEAR.{0,12}(?:当前|最新版|最新版本|最新|现行|本年度|年度版)",
 )
 _Y = r"(?:19|20|21)[0-9]{2}"
-_M = r"(?:1[0-2]|0?[1-9])"
-FULL_DATE = rf"(?<![0-9]){_Y}[-/.年]{_M}[-/.月](?:3[01]|[12][0-9]|0?[1-9])日?(?![0-9])"
-YEAR_MONTH = rf"(?<![0-9]){_Y}[-/.年]{_M}月?(?![-/.月0-9])"
-MONTH_YEAR = rf"(?<![0-9])(?:十[一二]?|[一二三四五六七八九]|{_M})月\s*{_Y}(?![0-9])"
+#: fixed values: forms of dates
+FULL_DATE = r"(?<![0-9])(?:19|20|21)[0-9]{2}[-/.年](?:1[0-2]|0?[1-9])[-/.月](?:3[01]|[12][0-9]|0?[1-9])日?(?![0-9])"
+YEAR_MONTH = r"(?<![0-9])(?:19|20|21)[0-9]{2}[-/.年](?:1[0-2]|0?[1-9])月?(?![-/.月0-9])"
+MONTH_YEAR = r"(?<![0-9])(?:十[一二]?|[一二三四五六七八九]|(?:1[0-2]|0?[1-9]))月\s*(?:19|20|21)[0-9]{2}(?![0-9])"
 
 
 def bind(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -30,15 +30,29 @@ def bind(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def running_sum(values: Column, block: int = 256) -> Column:
+    """Array of the sums of an integer array up to each place, by blocks, so that long arrays don't take quadratic time."""
+
+    def sums(a: Column) -> Column:
+        return F.aggregate(a, F.array().cast("array<bigint>"), lambda acc, x: F.concat(acc, F.array(F.coalesce(F.get(acc, F.size(acc) - 1), F.lit(0).cast("long")) + x)))
+
+    def shifted(blocks: Column) -> Column:
+        ends = sums(F.transform(blocks, lambda b: F.coalesce(F.get(b, F.size(b) - 1), F.lit(0).cast("long"))))
+        before = lambda e, i: F.coalesce(F.get(e, i - 1), F.lit(0).cast("long"))
+        return bind(ends, lambda e: F.flatten(F.transform(blocks, lambda b, i: F.transform(b, lambda x: (x + before(e, i)).cast("int")))))
+
+    starts = F.sequence(F.lit(1), F.greatest(F.size(values), F.lit(1)), F.lit(block))
+    out = bind(F.transform(starts, lambda at: sums(F.slice(values, at, F.lit(block)))), shifted)
+    return F.when(F.size(values) == 0, F.array().cast("array<int>")).otherwise(out)
+
+
 def match_places(c: Column, pattern: str) -> Column:
     """Array of (at, text) of every match, at counted from 0 in code points."""
 
     def of(found: Column) -> Column:
         def ends(gaps: Column) -> Column:
             steps = F.zip_with(F.slice(gaps, F.lit(1), F.size(found)), found, lambda g, m: F.length(g) + F.length(m))
-            last = F.aggregate(
-                steps, F.array().cast("array<int>"), lambda acc, x: F.concat(acc, F.array(F.coalesce(F.get(acc, F.size(acc) - 1), F.lit(0)) + x))
-            )
+            last = bind(steps, lambda s: running_sum(s))
             return bind(last, lambda e: F.transform(found, lambda m, i: F.struct((F.get(e, i) - F.length(m)).alias("at"), m.alias("text"))))
 
         return bind(F.split(c, pattern, -1), ends)
@@ -66,7 +80,7 @@ def classify_year(context: Column, year: Column, target: int, keep=KEEP_PATTERNS
     def any_of(patterns) -> Column:
         out = F.lit(False)
         for p in patterns:
-            a, b = p.replace("{{", "{").replace("}}", "}").split("{y}")
+            a, b = p.split("YEAR")
             out = out | F.rlike(context, F.concat(F.lit("(?i)" + a), year, F.lit(b)))
         return out
 

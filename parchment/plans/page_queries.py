@@ -248,7 +248,7 @@ def package_audit(t: Tables) -> DataFrame:
 def content_preflight(t: Tables) -> DataFrame:
     samples = verdicts(t).withColumn("project", F.col("project").cast("string"))
     docs = t.documents.select(F.pmod("doc_id", F.lit(100)).cast("string").alias("project"), F.concat(F.lit("current 1998: "), "text").alias("text"))
-    out, done = jobs.content_preflight(docs, samples, 1999, update=("(?:current).{{0,16}}{y}",))
+    out, done = jobs.content_preflight(docs, samples, 1999, update=("(?:current).{0,16}YEAR",))
     n = done.groupBy("project").agg(F.count("*").alias("texts"), F.count_if(F.get("decisions", F.lit(0))["decision"] == "UPDATE").alias("updated"))
     return out.join(n, "project", "left").na.fill(0, ["texts", "updated"])
 

@@ -11,7 +11,7 @@ from parchment.operators import gates, inventory, paragraphs, recovery, review,
 from parchment.plans.registry import Tables, query
 from parchment.streaming.progress import progress_stream
 
-KEEP, UPDATE = ("{y}.{{0,8}}(?:HIGH|LOW)", "(?:since).{{0,8}}{y}"), ("(?:current|now).{{0,16}}{y}",)
+KEEP, UPDATE = ("YEAR.{0,8}(?:HIGH|LOW)", "(?:since).{0,8}YEAR"), ("(?:current|now).{0,16}YEAR",)
 LINE_ORDER = [
     "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate",
 ]
