@@ -41,25 +41,19 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...], budget: float, ca
     return rest.select("skey", "source_size", F.when(F.col("capped"), F.col("most")).otherwise(share).alias("target"))
 
 
-def _cut(queue: DataFrame, budget: float) -> tuple | None:
-    """(finish, skey, turn) of the last queue entry that fits, when all are sorted by finish and truncated at budget.
+def _cut(entries: DataFrame, budget: float) -> tuple | None:
+    """(finish, skey) of the last entry that fits, when all are sorted by these and truncated at budget; None if none fits.
 
-    Two histograms of the finish time narrow the place of the cut to one fine bin; only its rows are sorted.
+    Entries are range-sorted over all tasks; each range adds the sizes of the ranges before it to its running sum.
     """
-    spent, rows = 0, queue
-    for scale in (1 << 10, 1 << 20):
-        bin_ = F.floor(F.least(F.col("finish"), F.lit(64.0)) * scale)
-        sums = rows.groupBy(bin_.alias("bin")).agg(F.sum("size").alias("tokens"))
-        running = F.sum("tokens").over(Window.orderBy("bin"))
-        hit = sums.withColumn("upto", running).where(F.col("upto") + spent > budget).orderBy("bin").select("bin", F.col("upto") - F.col("tokens")).first()
-        if hit is None:
-            return (math.inf, "", "")
-        spent, rows = spent + hit[1], rows.where(bin_ == hit[0])
-        low = hit[0] / scale
-    order = Window.orderBy("finish", "skey", "turn")
-    last = rows.withColumn("upto", F.sum("size").over(order) + spent).where(F.col("upto") <= budget)
-    last = last.orderBy(F.desc("finish"), F.desc("skey"), F.desc("turn")).select("finish", "skey", "turn").first()
-    return tuple(last) if last else (low, "", "")
+    parts = int(entries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = entries.repartitionByRange(parts, "finish", "skey").withColumn("part", F.spark_partition_id())
+    ranged = materialize(ranged, "mix")
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = ranged.groupBy("part").agg(F.sum("size").alias("tokens")).select("part", F.coalesce(F.sum("tokens").over(before), F.lit(0)).alias("offset"))
+    here = Window.partitionBy("part").orderBy("finish", "skey").rowsBetween(Window.unboundedPreceding, 0)
+    upto = ranged.join(F.broadcast(offsets), "part").withColumn("upto", F.col("offset") + F.sum("size").over(here))  # a row for each range
+    return upto.where(F.col("upto") <= budget).agg(F.max(F.struct("finish", "skey"))).first()[0]
 
 
 def weighted_mix(
@@ -75,15 +69,17 @@ def weighted_mix(
     """One row per document: id, source, size, source_size, target and taken (words the mix takes, repeats counted).
 
     Each source queues its documents ``passes`` times, each time in the same shuffled order (MD5 of seed and id).
-    An entry's virtual finish time is the source's running words divided by its target; all entries are sorted by
+    An entry's virtual finish time is the source's running words divided by its target; all entries are range-sorted by
     it and truncated where the running total passes the budget, so every source comes near its target.
 
     Running sums of a source are made in slices by the first digits of the shuffle key with the slices' totals
     added, so that a source with a third of all rows is many small windows. Null text has size 0 and takes nothing;
-    a null source is a source of its own, ordered last; null ids share one turn. Entries with the same finish, source
-    and turn (repeated rows) are taken together or not at all. An empty table gives no rows. Other columns are ignored.
+    a null source is a source of its own, ordered last; null ids take their turns by a hash of the text. Repeated rows are
+    entries of their own, one behind the other, so the mix may take one of them and not the next; finish times in a
+    source differ, and equal ones of two sources go by source. An empty table gives no rows. Other columns are ignored.
     """
-    turn = F.md5(F.concat(F.lit(seed + "-"), F.coalesce(F.col(id_col).cast("string"), F.lit(""))))
+    nameless = F.concat(F.lit("text-"), F.md5(F.coalesce(F.col(text_col), F.lit(""))))
+    turn = F.md5(F.concat(F.lit(seed + "-"), F.coalesce(F.col(id_col).cast("string"), nameless)))
     base = docs.select(
         F.col(id_col).alias("id"),
         F.col(source_col).alias("source"),
@@ -106,12 +102,12 @@ def weighted_mix(
     def finish(i: int | Column) -> Column:
         return F.try_divide(F.col("upto") + F.col("source_size") * i, F.col("target"))
 
-    entries = queue.where("size > 0").select("skey", "turn", "size", F.explode(F.array(*[finish(i) for i in range(passes)])).alias("finish"))
+    entries = queue.where("size > 0").select("skey", "size", F.explode(F.array(*[finish(i) for i in range(passes)])).alias("finish"))
     total = queue.agg(F.sum("size")).first()[0] or 0
-    at, skey, key = _cut(entries, total * budget)
+    at, skey = _cut(entries, total * budget) or (-1.0, "")
 
     def fits(i: int) -> Column:
-        same = (finish(i) == F.lit(at)) & (F.struct("skey", "turn") <= F.struct(F.lit(skey).alias("skey"), F.lit(key).alias("turn")))
+        same = (finish(i) == F.lit(at)) & (F.col("skey") <= F.lit(skey))
         return F.coalesce((finish(i) < F.lit(at)) | same, F.lit(False)).cast("long")
 
     taken = F.col("size") * sum((fits(i) for i in range(1, passes)), fits(0))
@@ -125,7 +121,7 @@ SQL = r"""
 WITH base AS (
   SELECT doc_id, source, coalesce('s' || source, '') AS skey,
          coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
-         md5('mix-' || coalesce(doc_id::VARCHAR, '')) AS turn
+         md5('mix-' || coalesce(doc_id::VARCHAR, 'text-' || md5(coalesce(text, '')))) AS turn
   FROM documents),
 sources AS (
   SELECT skey, source, sum(size)::BIGINT AS source_size,

@@ -66,7 +66,10 @@ def text_counts(text: Column) -> dict[str, Column]:
 
 @dataclass(frozen=True)
 class Rule:
-    """A document is rejected where ``rejects`` (SQL over text and the columns of text_counts) is true."""
+    """A document is rejected where ``rejects`` (SQL over text and the columns of text_counts) is true.
+
+    What a rule alone needs stands in its test, so that it is computed only for documents that all earlier rules pass.
+    """
 
     name: str
     rejects: str
@@ -81,14 +84,34 @@ RULES = (
 )
 
 
-def order_rules(sample: DataFrame, rules: tuple[Rule, ...] = RULES) -> list[tuple[Rule, float, float]]:
-    """Rules by rejected share per second, with both measured on the sample; ties keep the given order."""
-    measured = []
-    for rule in rules:
-        began = time.perf_counter()
-        share = sample.agg(F.avg(F.expr(rule.rejects).cast("double"))).first()[0] or 0.0
-        measured.append((rule, share, time.perf_counter() - began))
-    return sorted(measured, key=lambda x: -x[1] / max(x[2], 1e-6))
+def measure_rules(counted: DataFrame, rules: tuple[Rule, ...] = RULES, evaluations: int = 32_768, runs: int = 3) -> list[tuple[Rule, float, float]]:
+    """(rule, rejected share, seconds a row) over a written sample that has the base counts, so a cost is what the rule adds.
+
+    Rows are repeated up to about ``evaluations`` of each rule; the least of ``runs`` warm runs counts, less that of a rule that does
+    nothing. Costs under a microsecond are beyond what this can tell apart and count as one.
+    """
+    n = max(counted.count(), 1)
+    times = max(1, evaluations // n)
+    repeated = counted.withColumn("__turn", F.explode(F.sequence(F.lit(1), F.lit(times))))
+
+    def least_seconds(test: str) -> float:
+        took = []
+        for _ in range(runs + 1):
+            # a query of its own each time, as one that is run again reuses its exchange; the turn makes every row count
+            job = repeated.agg(F.count_if(F.expr(f"({test}) AND __turn > 0")))
+            began = time.perf_counter()
+            job.collect()
+            took.append(time.perf_counter() - began)
+        return min(took[1:])
+
+    shares = counted.agg(*[F.coalesce(F.avg(F.expr(r.rejects).cast("double")), F.lit(0.0)) for r in rules]).first()
+    nothing = least_seconds("text IS NOT NULL")
+    return [(r, share, max((least_seconds(r.rejects) - nothing) / (n * times), 1e-6)) for r, share in zip(rules, shares, strict=True)]
+
+
+def order_rules(measured: list[tuple[Rule, float, float]]) -> list[Rule]:
+    """Rules by rejected share per cost, greatest first; ties keep the given order."""
+    return [rule for rule, share, cost in sorted(measured, key=lambda x: -x[1] / x[2])]
 
 
 def cascade(ordered: list[Rule]) -> Column:
@@ -118,7 +141,7 @@ def quality_rules(
 
     table = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     sample = materialize(table.sample(min(1.0, sample_rows / max(table.count(), 1)), seed=1), "rules")
-    ordered = [rule for rule, _, _ in order_rules(counted(sample), rules)]
+    ordered = order_rules(measure_rules(materialize(counted(sample), "rules"), rules))
     table = counted(table)
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     kept = F.when(failed, F.lit(False)).otherwise(cascade(ordered).isNull())

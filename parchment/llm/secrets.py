@@ -7,22 +7,19 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from parchment.functions.years import running_sum
 from parchment.llm.quality_rules import bind
 from parchment.llm.storage import materialize
 
 
 @dataclass(frozen=True)
 class Kind:
-    """Leftmost non-overlapping matches of ``pattern``; the value is group ``group``, of at least ``least`` characters.
-
-    ``hint`` is a substring test that every match passes: texts without it are not scanned.
-    """
+    """Leftmost non-overlapping matches of ``pattern``; the value is group ``group``, of at least ``least`` characters."""
 
     name: str
     pattern: str
     group: int = 0
     least: int = 0
-    hint: str = ""
 
 
 #: fixed patterns and lengths; a run that is too short can't hold a longer one, so lengths may stand in the pattern
@@ -31,9 +28,10 @@ BASE = (
     Kind("access", r"AKIA[A-Z0-9]{16,}"),
     Kind("hex", r"[0-9a-f]{24,}"),
 )
-#: spans that the method adds where their value is owner-specific: long runs that mix upper case, lower case and digits
+#: spans that the method adds where their value is owner-specific: runs of 20 or more characters of Base64 (either alphabet, "/" aside, as
+#: it parts paths), of any length, that mix upper case, lower case and digits, with the padding behind them
 ADDED = (
-    Kind("opaque", r"(?<![A-Za-z0-9_-])(?=[A-Za-z_-]*+[0-9])(?=[A-Z0-9_-]*+[a-z])(?=[a-z0-9_-]*+[A-Z])[A-Za-z0-9_-]{20,}+"),
+    Kind("opaque", r"(?<![A-Za-z0-9+_-])(?=[A-Za-z+_-]*+[0-9])(?=[A-Z0-9+_-]*+[a-z])(?=[a-z0-9+_-]*+[A-Z])[A-Za-z0-9+_-]{20,}+={0,2}+"),
 )
 
 
@@ -43,11 +41,7 @@ def spans_of(text: Column, kind: Kind, rank: int) -> Column:
 
     def placed(matches: Column) -> Column:
         def at(gaps: Column) -> Column:
-            ends = F.aggregate(
-                F.zip_with(F.slice(gaps, F.lit(1), F.size(matches)), matches, lambda g, m: F.struct(F.length(g).alias("g"), F.length(m).alias("m"))),
-                F.array().cast("array<int>"),
-                lambda acc, x: F.concat(acc, F.array(F.coalesce(F.get(acc, F.size(acc) - 1), F.lit(0)) + x["g"] + x["m"])),
-            )
+            steps = F.zip_with(F.slice(gaps, F.lit(1), F.size(matches)), matches, lambda g, m: F.length(g) + F.length(m))
 
             def build(stops: Column) -> Column:
                 return F.transform(
@@ -61,7 +55,7 @@ def spans_of(text: Column, kind: Kind, rank: int) -> Column:
                     ),
                 )
 
-            return bind(ends, build)
+            return bind(bind(steps, lambda s: running_sum(s)), build)
 
         return bind(F.split(text, kind.pattern, -1), at)
 
@@ -88,34 +82,36 @@ def scan_secrets(
     text_col: str = "text",
     owner_col: str = "source",
     shared_from: int = 3,
+    copied_from: int = 10,
     base: tuple[Kind, ...] = BASE,
     added: tuple[Kind, ...] = ADDED,
+    whole: bool = False,
 ) -> DataFrame:
-    """One row per input row: rid, id, owner, spans (array with kind, start, stop, live) and the base digest.
+    """One row per input row: rid, id, owner, spans (array with kind, start, stop, live) and, with ``whole``, the row as doc.
 
     Candidates of all kinds are hashed, and each hash is counted over the whole corpus by distinct texts
-    (repositories) and distinct owners. A value that ``shared_from`` owners or more hold is a widely copied example;
-    any other is live. Base spans stay in either case, with the flag; an added span stays only if it is live and does
-    not overlap a base span. Counts are made per (hash, owner) first, so a value that a third of all rows hold is
-    a few rows per task.
+    (repositories) and distinct owners. A value of ``shared_from`` owners or more is a widely copied example, and so is
+    one of two owners that ``copied_from`` repositories or more hold; any other is live. Base spans stay in either case,
+    with the flag; an added span stays only if it is live and does not overlap a base span. Counts are made per
+    (hash, owner, repository) first, so a value that a third of all rows hold is a few rows per task.
 
     Null text is empty, a null owner is an owner of its own, and repeated rows are rows like others. An empty table
     gives no rows; columns other than the three are ignored.
     """
-    found = all_spans(F.col("text"), (*base, *added))
-    table = docs.select(F.col(id_col).alias("id"), F.col(owner_col).alias("owner"), F.col(text_col).alias("text"))
-    table = table.select("id", F.coalesce(F.concat(F.lit("o"), "owner"), F.lit("")).alias("owner"), found.alias("spans"), F.xxhash64("text").alias("repo"))
-    hashed = F.transform("spans", lambda x: x.withField("value", F.xxhash64(x["value"])))
-    table = materialize(table.select(F.monotonically_increasing_id().alias("rid"), "id", "owner", "repo", hashed.alias("spans")), "secrets")
+    found = all_spans(F.col(text_col), (*base, *added))
+    hashed = F.transform(found, lambda x: x.withField("value", F.xxhash64(x["value"])))
+    owner = F.coalesce(F.concat(F.lit("o"), F.col(owner_col)), F.lit(""))
+    row = [F.struct(*docs.columns).alias("doc")] if whole else []
+    table = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).alias("id"), owner.alias("owner"), F.xxhash64(text_col).alias("repo"), hashed.alias("spans"), *row)
+    table = materialize(table, "secrets")
 
     each = table.where(F.size("spans") > 0).select("rid", "owner", "repo", F.explode("spans").alias("span"))
     each = each.select("rid", "owner", "repo", "span", F.col("span.value").alias("value"))
     owners = each.groupBy("value", "owner", "repo").count().groupBy("value", "owner").agg(F.count("*").alias("repos"))
     owners = owners.groupBy("value").agg(F.count("*").alias("owners"), F.sum("repos").alias("repos"))
-    judged = each.join(owners, "value").withColumn("live", F.col("owners") < shared_from)
-    spans = judged.groupBy("rid").agg(
-        F.collect_list(F.struct("span.start", "span.rank", "span.stop", "span.kind", "live", "owners", "repos")).alias("all")
-    )
+    copied = (F.col("owners") >= shared_from) | ((F.col("owners") > 1) & (F.col("repos") >= copied_from))
+    judged = each.join(owners.select("value", (~copied).alias("live")), "value")
+    spans = judged.groupBy("rid").agg(F.collect_list(F.struct("span.start", "span.rank", "span.stop", "span.kind", "live")).alias("all"))
     n_base = len(base)
     firm = F.filter("all", lambda x: x["rank"] < n_base)
     extra = F.filter(
@@ -123,7 +119,9 @@ def scan_secrets(
         lambda x: (x["rank"] >= n_base) & x["live"] & ~F.exists(firm, lambda b: (b["start"] < x["stop"]) & (x["start"] < b["stop"])),
     )
     spans = spans.select("rid", F.array_sort(F.concat(firm, extra)).alias("spans"))
-    return table.select("rid", "id", "owner", "repo").join(spans, "rid", "left")
+    columns = ["rid", "id", "owner", *(["doc"] if whole else [])]
+    bare = table.where(F.size("spans") == 0).select(*columns, F.lit(None).cast(spans.schema["spans"].dataType).alias("spans"))
+    return bare.unionByName(table.where(F.size("spans") > 0).select(*columns).join(spans, "rid"))
 
 
 def secret_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", **options) -> DataFrame:
@@ -163,35 +161,30 @@ def redact_secrets(
 ) -> DataFrame:
     """docs with every live span of the text replaced by ``mark``; all rows and columns stay, in any order.
 
-    Texts without a candidate pass straight through; only the others are joined with the verdicts, by id and text.
+    Each text is scanned once; rows with a candidate are joined with their verdicts by a row number, all others pass
+    straight through. Nulls, repeated rows and empty tables are as in scan_secrets; clashing names don't matter.
     """
-    rows = scan_secrets(docs, id_col, text_col, owner_col, **options)
-    live = rows.select("id", "repo", F.filter("spans", lambda x: x["live"]).alias("__spans")).where(F.size("__spans") > 0)
-    live = live.dropDuplicates(["id", "repo"])
-    candidates = F.size(all_spans(F.col(text_col), (*BASE, *ADDED))) > 0
-    some = docs.where(candidates)
-    match = some[id_col].eqNullSafe(live["id"]) & (F.xxhash64(some[text_col]) == live["repo"])
-    masked = F.when(F.col("__spans").isNull(), F.col(text_col)).otherwise(_masked(F.col(text_col), F.col("__spans"), mark))
-    some = some.join(live, match, "left").withColumn(text_col, masked).select(*docs.columns)
-    return docs.where(~candidates).unionByName(some)
-
+    rows = scan_secrets(docs, id_col, text_col, owner_col, whole=True, **options)
+    live = F.filter("spans", lambda x: x["live"])
+    text = F.when(F.coalesce(F.size(live), F.lit(0)) > 0, _masked(F.col("doc")[text_col], live, mark)).otherwise(F.col("doc")[text_col])
+    return rows.select(*[(text if c == text_col else F.col("doc")[c]).alias(c) for c in docs.columns])
 
 
 #: the report in DuckDB SQL, which has no look-around: an added span is a whole run, tested for length and characters
 _RE2_ASSIGN = r"""(?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)"""
-_RE2 = ((_RE2_ASSIGN, 1), ("AKIA[A-Z0-9]{16,}", 0), ("[0-9a-f]{24,}", 0), ("[A-Za-z0-9_-]+", 0))
+_RE2 = ((_RE2_ASSIGN, 1), ("AKIA[A-Z0-9]{16,}", 0), ("[0-9a-f]{24,}", 0), ("[A-Za-z0-9+_-]+={0,2}", 0))
 SQL = f"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text, coalesce('o' || source, '') AS owner FROM documents),
 m AS ({" UNION ALL ".join(
     f"SELECT rid, {i} AS rank, '{kind.name}' AS kind, regexp_extract_all(text, '{pattern}') AS ms, regexp_extract_all(text, '{pattern}', {group}) AS vs, "
-    f"string_split_regex(text, '{pattern}') AS gs FROM d WHERE regexp_matches(text, '{pattern if i < 3 else '[A-Za-z0-9_-]{20,}'}')"
+    f"string_split_regex(text, '{pattern}') AS gs FROM d WHERE regexp_matches(text, '{pattern if i < 3 else '[A-Za-z0-9+_-]{20,}'}')"
     for i, (kind, (pattern, group)) in enumerate(zip((*BASE, *ADDED), _RE2, strict=True))
 )}),
 u AS (SELECT rid, rank, kind, unnest(ms) AS m, unnest(vs) AS v, unnest(gs[:len(ms)]) AS g, unnest(range(len(ms))) AS i FROM m),
 p AS (SELECT *, (sum(length(g) + length(m)) OVER (PARTITION BY rid, rank ORDER BY i ROWS UNBOUNDED PRECEDING))::BIGINT AS stop FROM u),
 f AS (SELECT rid, rank, kind, stop - length(m) AS start, stop, v FROM p WHERE CASE rank WHEN 0 THEN length(v) >= 6
-        WHEN 3 THEN length(m) BETWEEN 20 AND 200 AND regexp_matches(m, '[0-9]') AND regexp_matches(m, '[a-z]') AND regexp_matches(m, '[A-Z]') ELSE true END),
-o AS (SELECT v, count(DISTINCT owner) >= 3 AS shared FROM f JOIN d USING (rid) GROUP BY v),
+        WHEN 3 THEN length(rtrim(m, '=')) >= 20 AND regexp_matches(m, '[0-9]') AND regexp_matches(m, '[a-z]') AND regexp_matches(m, '[A-Z]') ELSE true END),
+o AS (SELECT v, count(DISTINCT owner) >= 3 OR (count(DISTINCT owner) > 1 AND count(DISTINCT text) >= 10) AS shared FROM f JOIN d USING (rid) GROUP BY v),
 j AS (SELECT f.*, shared FROM f JOIN o USING (v)),
 k AS (SELECT * FROM j WHERE rank < 3 UNION ALL SELECT * FROM j x WHERE rank = 3 AND NOT shared
         AND NOT EXISTS (SELECT 1 FROM j b WHERE b.rid = x.rid AND b.rank < 3 AND b.start < x.stop AND x.start < b.stop)),

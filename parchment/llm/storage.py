@@ -11,9 +11,11 @@ KEY = "spark.checkpoint.dir"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a new local one only where none is set (local mode)."""
+    """The cluster's shared folder; where none is set, a new local one in local mode and an error on a cluster."""
     where = spark.conf.get(KEY, None) or spark.sparkContext.getConf().get(KEY)
     if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError(f"{KEY} must name a folder that all executors and the driver share")
         where = "file://" + tempfile.mkdtemp(prefix="parchment-")
         spark.conf.set(KEY, where)
     return where.rstrip("/")

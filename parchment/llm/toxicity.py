@@ -275,7 +275,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str,
     # at most about 2 * max_examples pairs of numbers
     drawn = materialize(src.join(F.broadcast(drawn), "id"), "examples")
     schema = "id long, label int, terms array<long>, times array<int>"
-    table = drawn.select("id", "label", "text").mapInArrow(_example_vectors, schema).orderBy("id", "label").toArrow().combine_chunks()
+    table = drawn.select("id", "label", "text").mapInArrow(_example_vectors, schema).toArrow()
     ids, label = table.column("id").to_numpy(), table.column("label").to_numpy()
     sizes = [int((label == y).sum()) for y in (0, 1)]
     counted = [n / keep[y] for y, n in enumerate(sizes)]
@@ -283,7 +283,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str,
     if not all(sizes):
         return ToxicityModel(None, math.log(base / (1 - base)), (), base)
 
-    flat, times = (pa.concat_arrays(table.column(c).chunks).flatten().to_numpy() for c in ("terms", "times"))
+    flat, times = (pa.concat_arrays([x.flatten() for x in table.column(c).chunks]).to_numpy() for c in ("terms", "times"))
     ends = np.append(0, np.cumsum(pa.compute.list_value_length(table.column("terms")).to_numpy()))
     vocabulary = np.unique(flat.view(np.uint64))
     places = np.searchsorted(vocabulary, flat.view(np.uint64)).astype(np.int32)

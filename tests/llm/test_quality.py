@@ -1,11 +1,12 @@
+import math
 import re
 import zlib
 from collections import Counter
 
 from pyspark.sql import functions as F
 
-from parchment.llm.quality_classifier import RuleModel, quality_scores, statistics, tree_rules
-from parchment.llm.quality_rules import RULES, cascade, order_rules, quality_rules
+from parchment.llm.quality_classifier import RuleModel, fit_quality, quality_scores, statistics, tree_rules
+from parchment.llm.quality_rules import RULES, Rule, cascade, measure_rules, order_rules, quality_rules
 
 W = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -41,12 +42,65 @@ def test_order_changes_no_verdict(documents):
     from parchment.llm.quality_rules import text_counts
 
     rows = documents.select("text", *[c.alias(k) for k, c in text_counts(F.col("text")).items()]).select("text", "words.*", "lines.*", "word_chars", "n_symbols")
-    measured = order_rules(rows)
-    assert {m[0].name for m in measured} == {r.name for r in RULES}
-    a = [r[0] for r in rows.select(cascade([m[0] for m in measured]).isNull()).collect()]
+    measured = measure_rules(rows)
+    assert [m[0] for m in measured] == list(RULES) and all(0 <= share <= 1 and cost >= 1e-6 for _, share, cost in measured)
+    ordered = order_rules(measured)
+    gain = {rule.name: share / cost for rule, share, cost in measured}
+    assert [gain[r.name] for r in ordered] == sorted(gain.values(), reverse=True)
+    a = [r[0] for r in rows.select(cascade(ordered).isNull()).collect()]
     assert a == [r[0] for r in rows.select(cascade(list(reversed(RULES))).isNull()).collect()]
 
 
+def test_order_follows_rejection_per_cost():
+    a, b, c = RULES[:3]
+    assert order_rules([(a, 0.1, 1e-5), (b, 0.1, 1e-6), (c, 0.5, 1e-5)]) == [b, c, a]
+    assert order_rules([(a, 0.0, 1e-6), (b, 0.0, 1e-5), (c, 0.0, 1e-6)]) == [a, b, c]
+
+
+def test_an_expensive_rule_costs_more(documents):
+    """A cost is what a rule adds to counts that are there."""
+    rows = documents.where("text is not null").select("text", F.lit(1).alias("n_words"))
+    dear = Rule("dear", "length(regexp_replace(text, '[a-m]+', '-')) < 0")
+    (_, _, low), (_, _, high) = measure_rules(rows, (Rule("cheap", "n_words > 5"), dear))
+    assert high > 3 * low
+
+
+def test_rules_equal_a_plain_evaluation(documents, labels):
+    """Scores are the logistic sum of the rules that hold, and the weights are at the optimum of the lasso."""
+    model = fit_quality(documents, labels)
+    stats = {r.doc_id: r.s for r in documents.select("doc_id", statistics(F.col("text")).alias("s")).collect()}
+    holds = lambda tests, s: all((s[n] > at) if above else (s[n] <= at) for n, above, at in tests)
+    total = {i: model.intercept + sum(w for tests, w in model.rules if holds(tests, s)) for i, s in stats.items()}
+    for r in quality_scores(documents, labels).collect():
+        assert abs(r.score - 1 / (1 + math.exp(-total[r.doc_id]))) < 1e-9 and r.predicted == (r.score >= 0.5)
+    # at the optimum the loss's slope is the penalty against the weight's sign, in units of a rule's deviation
+    truth = {r.doc_id: r.quality for r in labels.collect()}
+    rows = [i for i in stats if i in truth and zlib.crc32(str(i).encode()) % 3 != 1]
+    for tests, w in model.rules:
+        flags = [float(holds(tests, stats[i])) for i in rows]
+        mean = sum(flags) / len(rows)
+        deviation = math.sqrt(sum((f - mean) ** 2 for f in flags) / (len(rows) - 1))
+        slope = sum(f * (1 / (1 + math.exp(-total[i])) - truth[i]) for f, i in zip(flags, rows, strict=True)) / len(rows)
+        assert abs(slope / deviation + math.copysign(5e-4, w)) < 3e-3
+
+
+def test_statistics_of_plain_python(documents, awkward):
+    for docs in (documents, awkward):
+        for r in docs.select("text", statistics(F.col("text")).alias("s")).collect():
+            text, s = r.text or "", r.s
+            w = W.findall(text)
+            solid, lines = sum(map(len, w)), [x for x in text.split("\n") if W.search(x)]
+            share = lambda a, b: a / b if b else 0.0
+            count = lambda kind, text=text: sum(c in kind for c in text)
+            want = {
+                "log_words": math.log1p(len(w)), "distinct_words": share(len(set(w)), len(w)), "word_length": share(solid, len(w)),
+                "twin_words": share(sum(a == b for a, b in zip(w, w[1:], strict=False)), len(w)), "symbols": share(count("#*$%&|<>"), len(w)),
+                "shouts": share(count("!"), len(w)), "stops": share(count(".,;:?"), len(w)), "digits": share(count("0123456789"), solid),
+                "capitals": share(count("ABCDEFGHIJKLMNOPQRSTUVWXYZ"), solid), "lines": len(lines), "repeated_lines": 1 - share(len(set(lines)), len(lines)) if lines else 1.0,
+            }
+            assert all(abs(s[k] - v) < 1e-9 for k, v in want.items()), (want, s)
+
+
 def test_quality_held_out(documents, labels, awkward, empty):
     rows = quality_scores(documents, labels).collect()
     truth = {r.doc_id: r.quality for r in labels.collect()}

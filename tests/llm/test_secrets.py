@@ -61,3 +61,24 @@ def test_long_runs(table):
     assert all("opaque" not in got[-i].spans for i in (1, 2, 3))
     texts = {r.doc_id: r.text for r in redact_secrets(table(rows)).collect()}
     assert all(texts[n] == "sig <secret> end" for n in sizes)
+
+
+def test_repositories_count(table):
+    """Two owners in ten distinct texts are copies; two owners in nine, or one owner in any number, are not."""
+    rows = [(i, f"token=copied_by_two {i}", f"s{i % 2}") for i in range(10)] + [(20 + i, f"token=held_by_two {i}", f"s{i % 2}") for i in range(9)]
+    rows += [(40 + i, f"token=of_one_owner {i}", "s7") for i in range(30)] + [(80 + i, "token=same_text_often", f"s{i % 2}") for i in range(30)]
+    live = {r.doc_id: r.n_live for r in secret_report(table(rows)).collect()}
+    assert live == {i: int(i >= 20) for i, _, _ in rows}
+
+
+def test_base64(table):
+    texts = ["k dG9rZW4gMSt0b2tlbiAyIGFuZA== end", "aB3+" * 6, "see/Path1/aB3+aB3+aB3+aB3+aB3+/x"]
+    got = {r.doc_id: r.spans for r in secret_report(table([(i, t, f"s{i}") for i, t in enumerate(texts)])).collect()}
+    assert got == {0: "opaque:2:30", 1: "opaque:0:24", 2: "opaque:10:30"}
+
+
+def test_many_matches(table):
+    """Places of tens of thousands of matches in one text."""
+    n = 20_000
+    (row,) = secret_report(table([(1, "token=abcdef " * n, "s")])).collect()
+    assert row.n_assign == n and row.spans.endswith(f"assign:{13 * (n - 1)}:{13 * n - 1}")
