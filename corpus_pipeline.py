@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from parchment.llm.mixing import weighted_mix
@@ -15,35 +15,62 @@ from parchment.llm.storage import materialize
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier gives label 1 stay."""
+    """Documents that the classifier gives label 1 stay, with all their columns.
+
+    Null and empty texts are judged by statistics that are all 0; texts of any length are read whole; the same text always
+    gets the same verdict, so ties and repeated rows stay or go together. Null ids are judged like others. Without labels
+    the score is 0.5 and all stay. An empty table gives no rows. Only text and, of documents and labels, doc_id are read,
+    so other columns and their names don't matter.
+    """
     model = fit_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return docs.where(bind(statistics(F.col("text")), model.score) >= 0.5)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group stays, the one with the smallest id."""
-    kept = near_duplicates(docs).where("kept").select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(kept, docs.doc_id.eqNullSafe(kept["__id"]), "left_semi")
+    """One document of each near-duplicate group stays: the one with the smallest id.
+
+    Rows that repeat an id are one document: of them the row with the least text hash, then least text, stays (any of
+    them if they are equal). Null and wordless texts are like nothing and stay, as do rows with a null id. Long texts
+    count whole. An empty table gives no rows; other columns stay as they are and aren't read.
+    """
+    kept = near_duplicates(docs).where("kept and doc_id is not null").select(F.col("doc_id").alias("__id")).distinct()
+    named = docs.where("doc_id is not null").join(kept, docs.doc_id == F.col("__id"), "left_semi")
+    first = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), "text"))
+    return named.withColumn("__first", first).where("__first = 1").drop("__first").unionByName(docs.where("doc_id is null"))
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Owner-specific secrets are masked in the texts; all documents stay."""
+    """Owner-specific secrets are masked in the texts and n_chars counts anew; all documents stay.
+
+    Null and empty texts stay as they are, long texts are scanned whole, repeated rows and null ids are rows like others,
+    a null source is an owner of its own. An empty table gives no rows; other columns stay as they are.
+    """
     return redact_secrets(docs).withColumn("n_chars", F.length("text").cast("long"))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it: not at all, once or twice."""
-    taken = weighted_mix(docs).where("taken > 0")
-    times = taken.groupBy(F.col("doc_id").alias("__id"), F.col("size").alias("__size")).agg(F.max(F.expr("taken div size")).cast("int").alias("__n"))
-    size = F.regexp_count(F.col("text"), F.lit(r"[^\x20\x09-\x0D]+"))
-    both = docs.join(times, docs.doc_id.eqNullSafe(times["__id"]) & (size == times["__size"]))
-    return both.select(*docs.columns, F.explode(F.sequence(F.lit(1), "__n")).alias("__turn")).drop("__turn")
+    """Each document as often as the mix takes it: not at all, once or twice.
+
+    Null and wordless texts have size 0 and are never taken. Rows with the same id and size (repeated rows, or null ids)
+    take in order of their text's hash what the mix takes of such rows, the greatest first, so their sum is kept. Ties are
+    as weighted_mix says. An empty table gives no rows; other columns stay as they are.
+    """
+    here = Window.partitionBy("doc_id", "size")
+    taken = weighted_mix(docs).where("size > 0").withColumn("place", F.row_number().over(here.orderBy(F.desc("taken"))))
+    taken = taken.where("taken > 0").select(F.struct("doc_id", "size", "place").alias("__key"), F.expr("taken div size").cast("int").alias("__n"))
+    size = F.regexp_count(F.col("text"), F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
+    rows = docs.select(F.struct(*docs.columns).alias("__row"), F.col("doc_id"), size.alias("size"), F.xxhash64("text").alias("hash")).where("size > 0")
+    rows = rows.withColumn("__key", F.struct("doc_id", "size", F.row_number().over(here.orderBy("hash")).alias("place")))
+    both = rows.join(taken, rows["__key"].eqNullSafe(taken["__key"])).select("__row", F.explode(F.sequence(F.lit(1), "__n")))
+    return both.select("__row.*")
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_chars, n_pieces, chunks and the pieces of every text, the text that they decode to, and round_trip.
 
     round_trip tells whether the decoded text is the text itself, null being empty; a mark U+2581 comes back as a space.
+    Empty texts have no pieces; long ones are encoded in chunks with the result of the whole; repeated rows, equal texts
+    and null ids are rows like others. An empty table gives no rows; columns other than doc_id, n_chars and text are dropped.
     """
     out = encode_documents(docs, exact=True)
     out = decode_documents(out.withColumn("ids", F.col("pieces")))
