@@ -25,8 +25,8 @@ def fold(c: Column) -> Column:
 
 
 def clean_text(c: Column) -> Column:
-    """Runs of white space become one space; ends are trimmed."""
-    return F.btrim(F.regexp_replace(c, r"(?U)\s+", " "))
+    """Line ends go, then runs of white space become one space; ends are trimmed."""
+    return F.btrim(F.regexp_replace(F.translate(c, "\r\n", ""), r"(?U)\s+", " "))
 
 
 def compact_text(c: Column) -> Column:

@@ -9,9 +9,10 @@ from parchment.functions.text import fold
 
 #: fixed values: archives that can be read, those with two suffixes, and those that can be delivered
 SUFFIXES = (
-    ".7z .rar .rarx .zip .jar .iso .cab .tar .gz .tgz .bz2 .tbz .tbz2 .xz .txz .lz4 .lzma .lz .zst .zstd .z .pax .zpaq "
-    ".ace .arj .lzh .lha .wim .msi .deb .rpm .dmg .hfs .pet .vhd .vhdx .gem"
-).split()
+    ".7z", ".rar", ".rarx", ".zip", ".jar", ".iso", ".cab", ".tar", ".gz", ".tgz", ".bz2", ".tbz", ".tbz2", ".xz",
+    ".txz", ".lz4", ".lzma", ".lz", ".zst", ".zstd", ".z", ".pax", ".zpaq", ".ace", ".arj", ".lzh", ".lha", ".wim",
+    ".msi", ".deb", ".rpm", ".dmg", ".hfs", ".pet", ".vhd", ".vhdx", ".gem",
+)
 COMPOUND = (".tar.gz", ".tar.bz2", ".tar.xz", ".tar.lz4")
 DELIVERY = (".zip", ".rar")
 #: fixed values: patterns of the roles, first match wins
@@ -110,13 +111,14 @@ def duplicate_keys(df: DataFrame, key: Column) -> DataFrame:
 
 def common_root(files: DataFrame, key: str, folder: str) -> DataFrame:
     """(key, root): the longest common leading parts of a key's folders; one part less if all files share one folder."""
-    ends = files.groupBy(key).agg(F.min(folder).alias("a"), F.max(folder).alias("b"))
-    a, b = F.split("a", "/"), F.split("b", "/")
-    # the least and greatest path bound what all share
-    same = F.transform(F.sequence(F.lit(0), F.least(F.size(a), F.size(b)) - 1), lambda i: F.get(a, i) == F.get(b, i))
-    n = F.coalesce(F.array_position(same, False) - 1, F.lit(0))
-    n = F.when(F.array_position(same, False) == 0, F.size(same)).otherwise(n)
-    n = F.when(F.col("a") == F.col("b"), n - 1).otherwise(n)
+    # what the least and the greatest list of parts share, all between share; as strings they won't do, as "-" sorts before "/"
+    parts = F.split(folder, "/")
+    ends = files.groupBy(key).agg(F.min(parts).alias("a"), F.max(parts).alias("b"))
+    a, b = F.col("a"), F.col("b")
+    both = F.arrays_zip(F.slice(a, F.lit(1), F.least(F.size(a), F.size(b))), F.slice(b, F.lit(1), F.least(F.size(a), F.size(b))))
+    unlike = F.array_position(F.transform(both, lambda x: x["0"] != x["1"]), True)
+    n = F.when(unlike > 0, unlike - 1).otherwise(F.size(both))
+    n = F.when(a == b, n - 1).otherwise(n)
     return ends.select(key, F.array_join(F.slice(a, F.lit(1), F.greatest(n, F.lit(0)).cast("int")), "/").alias("root"))
 
 

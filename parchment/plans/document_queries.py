@@ -155,7 +155,7 @@ def duplicate_texts(t: Tables) -> DataFrame:
 SELECT doc_id, contains(text, chr(65533)) AS replacement, regexp_matches(text, '[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F\\x7F]') AS control,
        contains(text, 'Ã') OR contains(text, 'Â') OR contains(text, 'â€') AS mojibake,
        regexp_matches(text, '[\\x{C0}-\\x{FF}]') AS accented, n_chars BETWEEN 700 AND 1300 AS in_band, contains(text, 'License') AS license,
-       trim(regexp_replace(text, '\\s+', ' ', 'g')) AS clean
+       trim(regexp_replace(translate(text, chr(13) || chr(10), ''), '\\s+', ' ', 'g')) AS clean
 FROM documents
 """)
 def damage_and_bands(t: Tables) -> DataFrame:
@@ -286,10 +286,12 @@ def paragraph_collapse(t: Tables) -> DataFrame:
 
 
 @query("""
-WITH a AS (SELECT doc_id, sha256(text) AS h FROM documents), b AS (SELECT doc_id, h FROM a WHERE doc_id % 4 > 0)
-SELECT doc_id, doc_id % 9 <> 0 AS preserved FROM documents WHERE doc_id % 4 > 0
+WITH a AS (SELECT doc_id, string_split(text, chr(10)) AS b, string_split(text, chr(10)) AS ps FROM documents),
+c AS (SELECT doc_id, list_transform(b, lambda x: lower(regexp_replace(x, '\\s+', '', 'g'))) AS b,
+             list_transform(CASE WHEN doc_id % 9 = 0 THEN list_concat([ps[1] || 'x'], ps[2:]) ELSE ps END, lambda x: lower(regexp_replace(' ' || x || '  ', '\\s+', '', 'g'))) AS p FROM a)
+SELECT doc_id, sha256(array_to_string(b, chr(10))) = sha256(array_to_string(p, chr(10))) AS preserved FROM c
 """)
 def content_preserved(t: Tables) -> DataFrame:
-    rows = doc_paragraphs(t).where("doc_id % 4 > 0")
+    rows = doc_paragraphs(t)
     after = rows.withColumn("para", F.when((F.col("doc_id") % 9 == 0) & (F.col("idx") == 0), F.concat("para", F.lit("x"))).otherwise(F.concat(F.lit(" "), "para", F.lit("  "))))
     return inventory.preserved(rows, after, "doc_id", "idx", "para")

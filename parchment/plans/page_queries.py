@@ -91,11 +91,22 @@ def detect_format(t: Tables) -> DataFrame:
 
 
 @query(f"""
-WITH {URLS}, f AS (SELECT DISTINCT batch, folder FROM u), g AS (SELECT batch, count(*) AS n, min(folder) AS one FROM f GROUP BY batch)
-SELECT batch, batch AS root FROM g
+WITH {URLS},
+f AS (SELECT batch, page_id, batch || CASE WHEN length(batch) % 3 = 0 THEN '/in' ELSE '' END || ['/a', '/a-b', '/a b', '/a.c', '/a/c', '/a'][
+        (CASE length(batch) % 2 WHEN 0 THEN page_id % 5 ELSE 4 + page_id % 2 END)::INTEGER + 1] AS folder FROM u),
+p AS (SELECT batch, string_split(folder, '/') AS parts, unnest(range(1, len(string_split(folder, '/')) + 1)) AS n FROM f),
+c AS (SELECT batch, n FROM p GROUP BY batch, n HAVING count(DISTINCT array_to_string(parts[1:n], '/')) = 1
+        AND count(*) = (SELECT count(*) FROM f WHERE f.batch = p.batch)),
+m AS (SELECT batch, max(n) AS n FROM c GROUP BY batch),
+g AS (SELECT batch, count(DISTINCT folder) AS folders, min(folder) AS one FROM f GROUP BY batch)
+SELECT g.batch, array_to_string(string_split(one, '/')[1:coalesce(n, 0) - CASE WHEN folders = 1 THEN 1 ELSE 0 END], '/') AS root FROM g LEFT JOIN m ON g.batch = m.batch
 """)
 def common_root(t: Tables) -> DataFrame:
-    return inventory.common_root(urls(t), "batch", "folder")
+    """Siblings whose names sort before a slash, and batches with one deeper folder."""
+    kind = F.when(F.length("batch") % 2 == 0, F.col("page_id") % 5).otherwise(F.col("page_id") % 2 + 4)
+    tail = F.element_at(F.array(*map(F.lit, ("/a", "/a-b", "/a b", "/a.c", "/a/c", "/a"))), (kind + 1).cast("int"))
+    deep = F.when(F.length("batch") % 3 == 0, "/in").otherwise("")
+    return inventory.common_root(urls(t).withColumn("folder", F.concat("batch", deep, tail)), "batch", "folder")
 
 
 @query(f"""

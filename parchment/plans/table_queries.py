@@ -143,18 +143,20 @@ def year_mentions(t: Tables) -> DataFrame:
 
 
 @query(f"""
-WITH d AS (SELECT * FROM ({DATED}) WHERE o_orderkey NOT BETWEEN 1900 AND 2099),
+WITH d AS ({DATED}),
 c AS (SELECT *, CASE WHEN y::INTEGER >= 1999 THEN 'KEEP' WHEN regexp_matches(text, y || '.{{0,8}}(HIGH|LOW)') OR regexp_matches(text, 'since.{{0,8}}' || y) THEN 'KEEP'
                      WHEN regexp_matches(text, '(current|now).{{0,16}}' || y) THEN 'UPDATE' ELSE 'REVIEW' END AS decision,
              CASE WHEN y::INTEGER >= 1999 THEN 1.0 WHEN regexp_matches(text, y || '.{{0,8}}(HIGH|LOW)') OR regexp_matches(text, 'since.{{0,8}}' || y)
-                    OR regexp_matches(text, '(current|now).{{0,16}}' || y) THEN 0.95 ELSE 0.5 END::DOUBLE AS confidence FROM d)
-SELECT o_orderkey, CASE WHEN decision = 'UPDATE' THEN replace(text, y, '1999') ELSE text END AS text, decision, confidence FROM c
+                    OR regexp_matches(text, '(current|now).{{0,16}}' || y) THEN 0.95 ELSE 0.5 END::DOUBLE AS confidence FROM d),
+r AS (SELECT *, CASE WHEN decision = 'UPDATE' THEN replace(text, y, '1999') ELSE text END AS rewritten FROM c)
+SELECT o_orderkey, rewritten AS text, 0 AS place, y AS source, decision, confidence FROM r
+UNION ALL SELECT o_orderkey, rewritten, 1, o_orderkey::VARCHAR, CASE WHEN o_orderkey >= 1999 THEN 'KEEP' ELSE 'REVIEW' END, CASE WHEN o_orderkey >= 1999 THEN 1.0 ELSE 0.5 END
+FROM r WHERE o_orderkey % 3 = 1 AND o_orderkey BETWEEN 1900 AND 2099
 """)
 def year_rewrite(t: Tables) -> DataFrame:
-    rows = dated_orders(t).where("o_orderkey not between 1900 and 2099")
-    rows = rows.select("o_orderkey", years.rewrite_years(F.col("text"), 1999, KEEP, UPDATE).alias("r"))
-    first = F.get("r.decisions", F.lit(0))
-    return rows.select("o_orderkey", "r.text", first["decision"].alias("decision"), first["confidence"].alias("confidence"))
+    rows = dated_orders(t).select("o_orderkey", years.rewrite_years(F.col("text"), 1999, KEEP, UPDATE).alias("r"))
+    rows = rows.select("o_orderkey", "r.text", F.posexplode("r.decisions").alias("place", "d"))
+    return rows.select("o_orderkey", "text", "place", "d.source", "d.decision", "d.confidence")
 
 
 def date_texts(t: Tables) -> DataFrame:

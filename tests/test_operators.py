@@ -129,6 +129,49 @@ def test_comment_scan():
     assert comments.scan_comments("#main { color: red }\n  color: #中", han)[0] == []
 
 
+def cleaned(source):
+    han = re.compile("[" + "".join(f"{chr(a)}-{chr(b)}" for a, b in HAN) + "]")
+    spans, doubts = comments.scan_comments(source, han)
+    for a, b, _ in sorted(spans, reverse=True):
+        source = source[:a] + source[b:]
+    return source, len(doubts)
+
+
+@pytest.mark.parametrize(
+    ("source", "want", "doubts"),
+    [
+        ("int x = 1; // 中文注释\n// English comment\n#中文注释\nvalue = 1  # Python行尾中文\n-- SQL中文\n/* CSS中文 */ body {}\n<!-- HTML中文 --> <p>中文页面</p>",
+         "int x = 1; \n// English comment\n\nvalue = 1  \n\n body {}\n <p>中文页面</p>", 0),
+        ("color: #fff;\nbackground: #中文;\n#中文组件 { color: red; }\ndiv#中文组件 { color: red; }\na { background: url(//中文/图.png); }", None, 0),
+        ("if ready: # 中文\nx=1# 中文\nSELECT 1-- 中文\nFROM users-- 中文\nVALUES(1)-- 中文", "if ready: \nx=1\nSELECT 1\nFROM users\nVALUES(1)", 0),
+        ("--中文主题: red;\ncolor: var(--中文主题);", None, 0),
+        ("pages = total // size  # 中文注释\nnegative = total // -size #负数\npositive = total // +2 #正数\nmasked = total // ~mask #按位取反\ntotal //= size  # 更新页数",
+         "pages = total // size  \nnegative = total // -size \npositive = total // +2 \nmasked = total // ~mask \ntotal //= size  ", 0),
+        ("count--; // 中文注释\ni--; /* 中文注释 */\n--index; // 前置递减", "count--; \ni--; \n--index; ", 0),
+        ("result = value // 中文变量", None, 1),
+        ("return a // 中文注释", None, 1),
+        ("x = 5 // 这是 注释", "x = 5 ", 0),
+        ("    // 创建场景", "    ", 0),
+        ("const state = {};\nthis.size = 200 // 视口基准尺度\nsetState(value) // 更新状态", "const state = {};\nthis.size = 200 \nsetState(value) ", 0),
+        ("// \U00020000", "", 0),
+        ('String url = "https://example.test/中文";\nconst s = `// 中文不是注释`;\nconst re = /\\/\\/ 中文/;\ntext = \'\'\'# 中文文档字符串\'\'\';\n<h1>中文页面文字</h1>', None, 0),
+        ("code(); /* 未闭合中文", None, 1),
+        ("a = `没有结束 // 中文", None, 1),
+    ],
+)
+def test_comment_cases(source, want, doubts):
+    assert cleaned(source) == (source if want is None else want, doubts)
+
+
+@pytest.mark.parametrize("unit", ["/ ", "a//b ", "# x", "-- ", "a--", "'", '"', "`a` ", "x/y/", "url(//a) ", "((", "{,#a"])
+def test_comment_scan_is_linear(unit):
+    import time
+
+    began = time.perf_counter()
+    comments.scan_comments(unit * 60_000, re.compile("中"))
+    assert time.perf_counter() - began < 10
+
+
 def test_comment_audit(spark):
     data = [("d", i, t) for i, t in enumerate(["int a; // 甲", "", "/* 乙", "丙 */", "", "b"])]
     found, cleaned = jobs.comment_audit(spark.createDataFrame(data, "doc string, i int, text string"), "doc", "i", "text", HAN)
