@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from parchment.functions.text import fold
+from parchment.runtime import materialize
 
 
 def cover_block(paras: DataFrame, doc: str, order: str, text: str, is_title: Column, is_label: Column) -> DataFrame:
@@ -83,9 +84,20 @@ def first_seen(df: DataFrame, key: str, order: list) -> DataFrame:
 
 
 def with_index(df: DataFrame, key: str | None, order: str) -> DataFrame:
-    """df with index, from 1 in folded order within the key; without a key the table itself is one ordered list."""
-    here = (Window.partitionBy(key) if key else Window.partitionBy()).orderBy(fold(F.col(order)), order)
-    return df.withColumn("index", F.row_number().over(here))
+    """df with index, from 1 in folded order within the key; without a key the table itself is one ordered list.
+
+    The whole table is numbered in ranges of the order, each beginning after the rows of those before it.
+    """
+    by = (fold(F.col(order)), F.col(order))
+    if key:
+        return df.withColumn("index", F.row_number().over(Window.partitionBy(key).orderBy(*by)))
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = materialize(df.repartitionByRange(parts, *by).withColumn("__part", F.spark_partition_id()), "index")
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    first = ranged.groupBy("__part").count().select("__part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("__first"))
+    place = F.row_number().over(Window.partitionBy("__part").orderBy(*by))
+    out = ranged.join(F.broadcast(first), "__part")  # a row for each range
+    return out.withColumn("index", (F.col("__first") + place).cast("int")).select(*df.columns, "index")
 
 
 def order_folded(df: DataFrame, c: str) -> DataFrame:

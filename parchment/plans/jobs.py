@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from parchment.functions.text import is_label
+from parchment.functions.text import MANUAL_LABELS, is_label
 from parchment.functions.years import rewrite_years
 from parchment.operators import comments, gates, inventory, paragraphs, review, similarity
 
@@ -17,34 +17,42 @@ CATEGORY_RULES = [
 ROLES = ("txt", "code_pdf", "manual_docx", "manual_pdf")
 
 
-def audit_packages(files: DataFrame, texts: DataFrame, pages: DataFrame, manuals: DataFrame, headers: DataFrame, similar: DataFrame) -> DataFrame:
-    """(project, severity, code): sure errors and candidates of every project.
+def audit_packages(
+    files: DataFrame, texts: DataFrame, pages: DataFrame, manuals: DataFrame, headers: DataFrame, similar: DataFrame,
+    rules=CATEGORY_RULES, labels: tuple[str, ...] = MANUAL_LABELS, login: str = "登录", version: str = "V1.0", band: tuple[int, int] = (70, 130),
+) -> DataFrame:
+    """(project, severity, code): sure errors, candidates for review and facts of every project.
 
     files (project, role); texts (project, text) of TXT files; pages (project, page, text) of code PDFs; manuals (project,
     idx, text) paragraphs; headers (project, text, has_page); similar (project) with an image like the first. A project
-    without all roles has that error alone.
+    without all roles has that error alone; one without paragraphs or headers lacks what they should hold. Facts tell
+    whether the first and last page hold the name and the version.
     """
+    name, flag = F.col("project"), lambda c: F.coalesce(F.bool_or(c), F.lit(False))
     whole = inventory.completeness(files, "project", "role", ROLES)
-    gap = whole.where("not complete").select("project", F.lit("error").alias("severity"), F.lit("missing_role").alias("code"))
-    rows = [similarity.category_mismatch(texts, CATEGORY_RULES, "project", "project", "text").select("project", F.lit("error").alias("severity"), F.lit("category").alias("code"))]
-    ends = pages.groupBy("project").agg(F.count("*").alias("n"))
-    rows.append(ends.where(~F.col("n").between(70, 130)).select("project", F.lit("candidate"), F.lit("page_count")))
-    body = manuals.where("idx <= 60").groupBy("project").agg(
-        F.bool_or(F.btrim("text") == F.col("project")).alias("title"), F.bool_or(is_label(F.col("text"), whole=False)).alias("label")
-    )
-    rows.append(body.where("not title").select("project", F.lit("error"), F.lit("cover_title")))
-    rows.append(body.where("not label").select("project", F.lit("error"), F.lit("cover_label")))
-    login = similarity.mentions(manuals, "project", "text", {"login": "登录"})
-    rows.append(login.where("not login").select("project", F.lit("candidate"), F.lit("login")))
-    head = headers.groupBy("project").agg(F.bool_or(F.col("text").contains(F.col("project"))).alias("title"), F.bool_or("has_page").alias("page"))
-    head = whole.select("project").join(head, "project", "left")
-    rows.append(head.where("not coalesce(title, false)").select("project", F.lit("error"), F.lit("header_title")))
-    rows.append(head.where("not coalesce(page, false)").select("project", F.lit("error"), F.lit("page_field")))
-    rows.append(similar.select("project", F.lit("candidate"), F.lit("similar_image")).distinct())
-    out = rows[0]
-    for r in rows[1:]:
-        out = out.union(r)
-    return out.join(gap.select("project"), "project", "left_anti").unionByName(gap)
+    category = similarity.category_mismatch(texts, rules, "project", "project", "text").select("project", F.lit(True).alias("category")).distinct()
+    ends = paragraphs.edges(pages.select("project", "page", F.coalesce("text", F.lit("")).alias("text")), "project", "page", "text")
+    ends = ends.join(pages.groupBy("project").agg(F.count("*").alias("pages")), "project")
+    top = F.col("idx") <= 60
+    body = manuals.groupBy("project").agg(flag(top & (F.btrim("text") == name)).alias("title"), flag(top & is_label(F.col("text"), labels, whole=False)).alias("label"))
+    body = body.join(similarity.mentions(manuals, "project", "text", {"login": login}), "project")
+    head = headers.groupBy("project").agg(flag(F.col("text").contains(name)).alias("head_title"), flag(F.col("has_page")).alias("head_page"))
+    out = whole
+    for part in (category, ends, body, head, similar.select("project", F.lit(True).alias("alike")).distinct()):
+        out = out.join(part, "project", "left")
+    lacks = lambda c: ~F.coalesce(F.col(c), F.lit(False))
+    holds = lambda c, x: F.coalesce(F.col(c).contains(x), F.lit(False))
+    found = [
+        (F.col("category"), "error", "category"), (~F.coalesce("pages", F.lit(0)).between(*band), "candidate", "page_count"),
+        (lacks("title"), "error", "cover_title"), (lacks("label"), "error", "cover_label"), (lacks("login"), "candidate", "login"),
+        (lacks("head_title"), "error", "header_title"), (lacks("head_page"), "error", "page_field"), (F.col("alike"), "candidate", "similar_image"),
+        (holds("first", name), "fact", "first_has_name"), (holds("last", name), "fact", "last_has_name"),
+        (holds("first", version), "fact", "first_has_version"), (holds("last", version), "fact", "last_has_version"),
+    ]
+    row = lambda severity, code: F.struct(F.lit(severity).alias("severity"), F.lit(code).alias("code"))
+    rows = F.array_compact(F.array(*[F.when(F.coalesce(test, F.lit(False)), row(severity, code)) for test, severity, code in found]))
+    rows = F.when(F.col("complete"), rows).otherwise(F.array(row("error", "missing_role")))
+    return out.select("project", F.explode(rows).alias("x")).select("project", "x.*")
 
 
 def content_preflight(docs: DataFrame, samples: DataFrame, target: int, can_rewrite: Column | None = None, **years) -> tuple[DataFrame, DataFrame]:

@@ -13,6 +13,7 @@ from parchment.operators import comments, inventory
 from parchment.plans import jobs
 from parchment.plans.document_queries import verdicts
 from parchment.plans.registry import Tables, query
+from parchment.runtime import new_path
 from parchment.sources import files as S
 
 SUFFIXES = (".txt", "代码.docx", "代码.pdf", "说明.docx", ".zip", ".tar.gz", ".bak.tmp")
@@ -210,11 +211,12 @@ def _nested_zip(name: str, html: str) -> bytes:
                 z.writestr(k, v)
         return out.getvalue()
 
-    return pack({"a.html": html.encode(), "../b.html": b"x", "in.zip": pack({f"{name}.txt": html[:10].encode()})})
+    return pack({"a.html": html.encode(), "../b.html": b"x", "in.zip": pack({f"{name}.txt": html.encode()})})
 
 
 @query("""
-SELECT page_id::VARCHAR AS archive, unnest(['a.html', 'in.zip', 'in.zip/' || page_id || '.txt']) AS member_path, unnest([1, 1, 2])::INTEGER AS level FROM pages
+SELECT page_id::VARCHAR AS archive, unnest(['a.html', 'in.zip', 'in.zip/' || page_id || '.txt']) AS member_path, unnest([1, 1, 2])::INTEGER AS level,
+       unnest([sha256(html), NULL, sha256(html)]) AS sha256 FROM pages
 """)
 def zip_members(t: Tables) -> DataFrame:
     from parchment.runtime import ship
@@ -222,7 +224,8 @@ def zip_members(t: Tables) -> DataFrame:
     ship(t.spark)
     make = F.udf(_nested_zip, "binary")
     path = F.col("page_id").cast("string")
-    return S.read_zip_members(t.pages.select(path.alias("path"), make(path, "html").alias("content"))).drop("content")
+    rows = S.read_zip_members(t.pages.select(path.alias("path"), make(path, "html").alias("content")))
+    return rows.select("archive", "member_path", "level", F.when(~F.col("member_path").endswith(".zip"), F.sha2("content", 256)).alias("sha256"))
 
 
 @query("""
@@ -239,20 +242,41 @@ def decoded_text(t: Tables) -> DataFrame:
 
 
 @query("""
-WITH f AS (SELECT doc_id, doc_id % 50 AS project, CASE doc_id % 5 WHEN 0 THEN 'txt' WHEN 1 THEN 'code_pdf' WHEN 2 THEN 'manual_docx' ELSE 'manual_pdf' END AS role FROM documents WHERE doc_id % 9 <> 1)
-SELECT code, count(*) AS projects FROM (
-  SELECT project::VARCHAR AS project, 'missing_role' AS code FROM f GROUP BY project HAVING count(DISTINCT role) < 4) GROUP BY code
+WITH d AS (SELECT 'p' || doc_id // 5 AS project, doc_id // 5 AS g, text, CASE WHEN doc_id % 5 = 0 AND doc_id // 5 % 7 = 3 THEN 'other'
+             ELSE ['txt', 'code_pdf', 'manual_docx', 'manual_pdf', 'manual_pdf'][doc_id % 5 + 1] END AS role FROM documents),
+w AS (SELECT project, g, count(DISTINCT role) FILTER (role <> 'other') = 4 AS complete FROM d GROUP BY ALL),
+l AS (SELECT project, g, role, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS idx FROM d),
+p AS (SELECT project, idx, CASE WHEN g % 2 = 0 AND idx = 0 THEN project || ' ' || line WHEN g % 3 = 0 THEN line || ' V1.0' ELSE line END AS line FROM l WHERE role = 'code_pdf'),
+e AS (SELECT project, count(*) AS n, arg_min(line, idx) AS first, arg_max(line, idx) AS last FROM p GROUP BY project),
+m AS (SELECT project, bool_or(idx <= 60 AND trim(line) = project) AS title, bool_or(idx <= 60 AND contains(line, 'tion')) AS label, bool_or(contains(line, 'that')) AS login
+      FROM (SELECT project, idx, CASE WHEN g % 3 > 0 AND idx = 0 THEN project ELSE line END AS line FROM l WHERE role = 'manual_docx') GROUP BY project),
+c AS (SELECT DISTINCT project FROM d WHERE role = 'txt' AND contains(text, 'License') AND NOT contains(project, '1')),
+a AS (SELECT w.*, n, title, label, login, c.project IS NOT NULL AS category, first, last FROM w LEFT JOIN e ON w.project = e.project LEFT JOIN m ON w.project = m.project LEFT JOIN c ON w.project = c.project),
+r AS (SELECT project, unnest(CASE WHEN NOT complete THEN ['error missing_role'] ELSE list_filter([
+        CASE WHEN category THEN 'error category' END, CASE WHEN n NOT BETWEEN 3 AND 30 THEN 'candidate page_count' END, CASE WHEN NOT title THEN 'error cover_title' END,
+        CASE WHEN NOT label THEN 'error cover_label' END, CASE WHEN NOT login THEN 'candidate login' END,
+        CASE WHEN g % 4 = 0 OR g % 11 = 0 THEN 'error header_title' END, CASE WHEN g % 5 = 0 OR g % 11 = 0 THEN 'error page_field' END, CASE WHEN g % 6 = 0 THEN 'candidate similar_image' END,
+        CASE WHEN contains(first, project) THEN 'fact first_has_name' END, CASE WHEN contains(last, project) THEN 'fact last_has_name' END,
+        CASE WHEN contains(first, 'V1.0') THEN 'fact first_has_version' END, CASE WHEN contains(last, 'V1.0') THEN 'fact last_has_version' END], lambda x: x IS NOT NULL) END) AS x FROM a)
+SELECT project, string_split(x, ' ')[1] AS severity, string_split(x, ' ')[2] AS code FROM r
 """)
 def package_audit(t: Tables) -> DataFrame:
-    role = F.element_at(F.array(*map(F.lit, ("txt", "code_pdf", "manual_docx", "manual_pdf", "manual_pdf"))), (F.col("doc_id") % 5 + 1).cast("int"))
-    f = t.documents.where("doc_id % 9 <> 1").select("doc_id", F.col("doc_id") % 50, role.alias("role"), "text").toDF("doc_id", "project", "role", "text")
-    f = f.withColumn("project", F.col("project").cast("string"))
-    paras = f.where("role = 'manual_docx'").select("project", F.posexplode(F.split("text", "\n")).alias("idx", "text"))
-    found = jobs.audit_packages(
-        f, f.where("role = 'txt'").select("project", "text"), f.where("role = 'code_pdf'").select("project", F.col("doc_id").alias("page"), "text"),
-        paras, paras.where("idx = 0").select("project", "text", F.lit(True).alias("has_page")), f.where("false").select("project"),
+    """Five documents in a row are the files of a project; every seventh project lacks its TXT."""
+    g, kind = F.expr("doc_id div 5"), F.col("doc_id") % 5
+    role = F.element_at(F.array(*map(F.lit, ("txt", "code_pdf", "manual_docx", "manual_pdf", "manual_pdf"))), (kind + 1).cast("int"))
+    role = F.when((kind == 0) & (g % 7 == 3), "other").otherwise(role)
+    f = t.documents.select(F.concat(F.lit("p"), g.cast("string")).alias("project"), g.alias("g"), role.alias("role"), "text")
+    lines = f.select("project", "g", "role", F.posexplode(F.split("text", "\n")).alias("idx", "line"))
+    g, line, start = F.col("g"), F.col("line"), F.col("idx") == 0
+    page = F.when((g % 2 == 0) & start, F.concat("project", F.lit(" "), "line")).when(g % 3 == 0, F.concat("line", F.lit(" V1.0"))).otherwise(line)
+    paras = lines.where("role = 'manual_docx'").select("project", "idx", F.when((g % 3 > 0) & start, F.col("project")).otherwise(line).alias("text"))
+    headers = f.where("role = 'manual_docx' and g % 11 > 0").select(
+        "project", F.when(g % 4 == 0, "other").otherwise(F.concat("project", F.lit(" V1.0"))).alias("text"), (g % 5 > 0).alias("has_page")
+    )
+    return jobs.audit_packages(
+        f, f.where("role = 'txt'").select("project", "text"), lines.where("role = 'code_pdf'").select("project", F.col("idx").alias("page"), page.alias("text")),
+        paras, headers, f.where("role = 'manual_pdf' and g % 6 = 0").select("project"), [("License", ("1",))], ("tion",), "that", band=(3, 30),
     )
-    return found.where("code = 'missing_role'").groupBy("code").agg(F.count("*").alias("projects"))
 
 
 @query()
@@ -264,34 +288,26 @@ def content_preflight(t: Tables) -> DataFrame:
     return out.join(n, "project", "left").na.fill(0, ["texts", "updated"])
 
 
-@query("""
-SELECT 'manual' AS stage, count(*) AS documents, count(*) FILTER (quality = 0) AS failed, sum(toxic)::BIGINT AS deletions,
-       CASE WHEN count(*) FILTER (quality = 0) > 0 THEN 'PARTIAL' ELSE 'COMPLETE' END AS status FROM labels
-UNION ALL SELECT 'code', count(*), 0, 0, 'COMPLETE' FROM pages
-""")
+@query()
 def unified_run(t: Tables) -> DataFrame:
-    manual = t.labels.select(F.when(F.col("quality") == 1, "READY").otherwise("FAILED").alias("status"), F.col("toxic").cast("long").alias("deletions"))
-    code = t.pages.select(F.lit("CLEANED").alias("status"), F.lit(0).cast("long").alias("deletions"))
+    """The gates of content_preflight by project and the findings of comment_audit by page, rolled up by stage."""
+    gate = F.when(F.col("status") == "PREFLIGHT_PASSED", "READY").otherwise(F.col("status"))
+    manual = content_preflight(t).select(gate.alias("status"), F.lit(0).cast("long").alias("deletions"))
+    found, _ = jobs.comment_audit(page_lines(t), "page_id", "idx", "line", LETTERS)
+    per = found.groupBy("page_id").agg(F.count_if(F.col("kind") != "uncertain").alias("deletions"), F.count_if(F.col("kind") == "uncertain").alias("doubts"))
+    code = t.pages.select("page_id").join(per, "page_id", "left").na.fill(0, ["deletions", "doubts"])
+    code = code.select(F.when(F.col("doubts") > 0, "REVIEW").otherwise("CLEANED").alias("status"), "deletions")
     return jobs.unified_run("code, manual", {"manual": manual, "code": code})
 
 
-@query("SELECT page_id, '.html' AS suffix, strlen(html)::BIGINT AS length, sha256(html) AS sha256 FROM pages")
+@query("""
+SELECT page_id // 1024 AS part, '.txt' AS suffix, strlen(string_agg(html || chr(10), '' ORDER BY page_id))::BIGINT AS length,
+       sha256(string_agg(html || chr(10), '' ORDER BY page_id)) AS sha256 FROM pages GROUP BY part
+""")
 def material_listing(t: Tables) -> DataFrame:
-    """Pages written as files to the shared folder, then listed again."""
-    import uuid
-
-    base = t.spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        import tempfile
-
-        base = "file://" + tempfile.mkdtemp(prefix="parchment-")
-        t.spark.conf.set("spark.checkpoint.dir", base)
-    root = f"{base.rstrip('/')}/material-{uuid.uuid4().hex}"
-    rows = t.pages.select(F.concat(F.lit("p"), F.col("page_id").cast("string")).alias("id"), F.encode("html", "UTF-8").alias("html"))
-    S.write_report(rows, root, applied=True)
-    parts = S.list_material(t.spark, f"{root}/applied", with_content=True).where("suffix = '.parquet'")
-    files = t.spark.read.parquet(f"{root}/applied")
-    known = parts.agg(F.count("*").alias("parts"), F.sum("length").alias("bytes")).where("parts > 0 and bytes > 0")
-    return files.crossJoin(F.broadcast(known)).select(
-        F.substring("id", 2, 20).cast("long").alias("page_id"), F.lit(".html").alias("suffix"), F.length("html").cast("long").alias("length"), F.sha2("html", 256).alias("sha256")
-    )
+    """Pages as report files of 1,024 each in the shared folder, and the listing of these files."""
+    root = new_path(t.spark, "material")
+    rows = t.pages.select(F.expr("page_id div 1024").alias("part"), "page_id", "html").repartition("part").sortWithinPartitions("part", "page_id")
+    S.write_report(rows.select("part", "html"), root, applied=True, fmt="text", parts=("part",))
+    files = S.list_material(t.spark, root, with_content=True)
+    return files.select(F.regexp_extract("path", "/part=([0-9]+)/", 1).cast("long").alias("part"), "suffix", "length", "sha256")

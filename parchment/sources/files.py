@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import io
 import zipfile
+import zlib
 from collections.abc import Iterator
 from xml.etree import ElementTree
 
@@ -12,12 +13,15 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from parchment.functions.text import is_unsafe_path
-from parchment.runtime import ship
+from parchment.runtime import materialize, ship
 
 W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 #: fixed values: image suffixes in a document's media folder
 IMAGES = (".png", ".jpg", ".jpeg", ".bmp", ".tif", ".tiff", ".webp")
 
+#: what reading a member may raise: encrypted, of an unknown method, broken or cut short
+UNREADABLE = (zipfile.BadZipFile, RuntimeError, NotImplementedError, zlib.error, EOFError, ValueError)
+
 
 def list_material(spark: SparkSession, root: str, with_content: bool = False) -> DataFrame:
     """Every file below root: path, name, suffix, length, mtime and, on demand, content and its SHA-256.
@@ -76,7 +80,7 @@ def _docx_rows(path: str, content: bytes) -> list[dict]:
                     rows.append({"part": low[5:11], "name": name, "text": text(root), "has_page": page})
                 elif low.startswith("word/media/") and low.endswith(IMAGES):
                     rows.append({"part": "media", "name": name, "content": z.read(name)})
-    except (zipfile.BadZipFile, ElementTree.ParseError, KeyError, EOFError) as e:
+    except (*UNREADABLE, ElementTree.ParseError, KeyError) as e:
         rows.append({"part": "error", "text": f"{type(e).__name__}: {e}"})
     return [{"doc": path, **r} for r in rows]
 
@@ -110,23 +114,30 @@ def docx_tables(rows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     return paragraphs, headers, media
 
 
-def read_zip_members(files: DataFrame, depth: int = 3) -> DataFrame:
+def read_zip_members(files: DataFrame, depth: int = 3, most_bytes: int = 1 << 30) -> DataFrame:
     """(archive, member_path, level, content) of ZIP files, those inside them included down to ``depth``.
 
-    Members with unsafe paths are left out. The loop over levels is bounded by depth; each level is one distributed pass.
+    Members with unsafe paths are left out, as are encrypted or broken ones and those that unpack to more than
+    ``most_bytes``. The loop over levels is bounded by depth; each level is one distributed pass over the archives that
+    the level before wrote.
     """
 
     def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
                 try:
-                    with zipfile.ZipFile(io.BytesIO(row["content"] or b"")) as z:
-                        for m in z.infolist():
-                            if not m.is_dir():
-                                path = f"{row['member_path']}/{m.filename}" if row["member_path"] else m.filename
-                                yield pa.RecordBatch.from_pylist([{"archive": row["archive"], "member_path": path, "raw": m.filename, "content": z.read(m)}], schema)
-                except zipfile.BadZipFile:
+                    archive = zipfile.ZipFile(io.BytesIO(row["content"] or b""))
+                except (zipfile.BadZipFile, ValueError):
                     continue
+                for m in archive.infolist():
+                    if m.is_dir() or m.file_size > most_bytes:
+                        continue
+                    try:
+                        content = archive.read(m)
+                    except UNREADABLE:
+                        continue
+                    path = f"{row['member_path']}/{m.filename}" if row["member_path"] else m.filename
+                    yield pa.RecordBatch.from_pylist([{"archive": row["archive"], "member_path": path, "raw": m.filename, "content": content}], schema)
 
     schema = pa.schema([("archive", pa.string()), ("member_path", pa.string()), ("raw", pa.string()), ("content", pa.binary())])
     ship(files.sparkSession)
@@ -135,7 +146,8 @@ def read_zip_members(files: DataFrame, depth: int = 3) -> DataFrame:
         level = level.mapInArrow(expand, "archive string, member_path string, raw string, content binary").where(~is_unsafe_path(F.col("raw"))).drop("raw")
         here = level.withColumn("level", F.lit(i))
         out = here if out is None else out.unionByName(here)
-        level = level.where(F.lower("member_path").endswith(".zip"))
+        if i < depth:
+            level = materialize(level.where(F.lower("member_path").endswith(".zip")), "archives")
     return out.select("archive", "member_path", "level", "content")
 
 
@@ -157,8 +169,8 @@ def last_json_status(df: DataFrame, run: str, seq: str, line: str, failed: str =
     return df.groupBy(run).agg(F.coalesce(at, F.lit(failed)).alias("status"))
 
 
-def write_report(df: DataFrame, path: str, applied: bool, fmt: str = "parquet") -> str:
-    """Write a result set under path/preview or path/applied, replacing that one only; gives the folder."""
+def write_report(df: DataFrame, path: str, applied: bool, fmt: str = "parquet", parts: tuple[str, ...] = ()) -> str:
+    """Write a result set under path/preview or path/applied, in folders by ``parts``, replacing that one only; gives the folder."""
     where = f"{path.rstrip('/')}/{'applied' if applied else 'preview'}"
-    df.write.mode("overwrite").format(fmt).save(where)
+    df.write.mode("overwrite").format(fmt).partitionBy(*parts).save(where)
     return where
