@@ -1,33 +1,5 @@
 """Tables that cut lineage, written where every executor and the driver can read them."""
 
-from __future__ import annotations
+from parchment.runtime import materialize, new_path, shared_dir
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
-
-KEY = "spark.checkpoint.dir"
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; where none is set, a new local one in local mode and an error on a cluster."""
-    where = spark.conf.get(KEY, None) or spark.sparkContext.getConf().get(KEY)
-    if not where:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError(f"{KEY} must name a folder that all executors and the driver share")
-        where = "file://" + tempfile.mkdtemp(prefix="parchment-")
-        spark.conf.set(KEY, where)
-    return where.rstrip("/")
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/parchment/{name}-{uuid.uuid4().hex}"
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write df once as Parquet in the shared folder and read it back: lost executors cost no recomputation."""
-    spark = df.sparkSession
-    path = new_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+__all__ = ["materialize", "new_path", "shared_dir"]
