@@ -132,8 +132,8 @@ def set_cosine(a: Column, b: Column) -> Column:
 
 def count_of(c: Column, term: Column) -> Column:
     """Non-overlapping occurrences of a substring; 0 for an empty one."""
-    gone = F.length(c) - F.length(F.replace(c, term, F.lit("")))
-    return F.coalesce(F.try_divide(gone, F.length(term)), F.lit(0)).cast("int")
+    gone = F.octet_length(c) - F.octet_length(F.replace(c, term, F.lit("")))  # bytes, which are known without a pass over the text
+    return F.coalesce(F.try_divide(gone, F.octet_length(term)), F.lit(0)).cast("int")
 
 
 def coalesce_keys(*c: Column) -> Column:

@@ -2,31 +2,49 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from dataclasses import dataclass
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from parchment.functions.media import hamming
 from parchment.functions.text import count_of, fold, semantic_tokens
+from parchment.runtime import materialize, ship
 
 #: terms a vocabulary may have: it is broadcast, or else its hits are made from its array
 MOST_TERMS = 10_000
+#: tokens that references may have in all to be broadcast: a few dozen MB
+MOST_TOKENS = 1_000_000
 
 
-def vocabulary(spark: SparkSession, topics: dict[str, list[str]]) -> DataFrame:
-    """(topic, term) of a small dictionary given by the user."""
+def listed_terms(topics: dict[str, list[str]]) -> list[tuple[str, str]]:
+    """(topic, term) of a small dictionary given by the user, by topic."""
     rows = [(t, x) for t, terms in sorted(topics.items()) for x in terms]
     if len(rows) > MOST_TERMS:
         raise ValueError(f"a vocabulary of {len(rows)} terms; the bound is {MOST_TERMS}")
-    return spark.createDataFrame(rows, "topic string, term string")
+    return rows
+
+
+def vocabulary(spark: SparkSession, topics: dict[str, list[str]]) -> DataFrame:
+    """(topic, term) of a small dictionary given by the user."""
+    return spark.createDataFrame(listed_terms(topics), "topic string, term string")
 
 
 def term_hits(docs: DataFrame, key: str, text: str, topics: dict[str, list[str]]) -> DataFrame:
-    """(key, topic, term, hits): folded occurrences of each term that occurs. Terms are literals, so no join is needed."""
-    low = fold(F.col(text))
-    pairs = [
-        F.struct(F.lit(t).alias("topic"), F.lit(x).alias("term"), count_of(low, F.lit(x.lower())).alias("hits")) for t, terms in sorted(topics.items()) for x in terms
-    ]
-    hits = docs.select(key, F.explode(F.array(*pairs)).alias("h")).select(key, "h.*")
+    """(key, topic, term, hits): folded occurrences of each term that occurs. Terms are literals, so no join is needed.
+
+    A text is folded once, before the terms are tried.
+    """
+    low = docs.select(key, fold(F.col(text)).alias("__low"))
+    pairs = [F.struct(F.lit(t).alias("topic"), F.lit(x).alias("term"), count_of(F.col("__low"), F.lit(x.lower())).alias("hits")) for t, x in listed_terms(topics)]
+    hits = low.select(key, F.explode(F.array(*pairs)).alias("h")).select(key, "h.*")
     return hits.where("hits > 0")
 
 
@@ -47,31 +65,120 @@ def token_sets(df: DataFrame, key: str, text: str, stop: tuple[str, ...]) -> Dat
     return sets.select(key, F.explode("tokens").alias("token"), F.size("tokens").alias("n"))
 
 
-def batch_relevance(texts: DataFrame, refs: DataFrame, key: str, own: str, ref: str, text: str, ref_text: str, stop: tuple[str, ...]) -> DataFrame:
+@dataclass(frozen=True)
+class ReferenceIndex:
+    """Token sets of the references, in ascending order of the references: which of them hold each token, and how many tokens they have."""
+
+    refs: pa.Array
+    names: pa.Array  # the references as text
+    tokens: pa.Array
+    starts: np.ndarray  # token to its first holder and the end
+    holders: np.ndarray
+    sizes: np.ndarray
+
+    @classmethod
+    def build(cls, rows: pa.Table) -> ReferenceIndex:
+        """Rows are (ref, name, tokens), ascending by ref."""
+        refs, names, sets = (rows.column(c).combine_chunks() for c in ("ref", "name", "tokens"))
+        coded = sets.flatten().dictionary_encode()
+        sizes = pc.list_value_length(sets).to_numpy()
+        place = coded.indices.to_numpy()
+        order = np.argsort(place, kind="stable")
+        starts = np.searchsorted(place[order], np.arange(len(coded.dictionary) + 1))
+        return cls(refs, names, coded.dictionary, starts, np.repeat(np.arange(len(refs)), sizes)[order], sizes)
+
+    def scores(self, sets: pa.ListArray) -> np.ndarray:
+        """(text, reference): common tokens over the geometric mean of the set sizes, 0 where none is common."""
+        sizes = pc.list_value_length(sets).to_numpy()
+        at = pc.index_in(sets.flatten(), self.tokens).fill_null(-1).to_numpy()
+        text = np.repeat(np.arange(len(sizes)), sizes)[at >= 0]
+        at = at[at >= 0]
+        n = self.starts[at + 1] - self.starts[at]
+        held = self.holders[np.arange(n.sum()) + np.repeat(self.starts[at] - np.cumsum(n) + n, n)]
+        common = np.bincount(np.repeat(text, n) * len(self.refs) + held, minlength=len(sizes) * len(self.refs)).reshape(len(sizes), -1)
+        return common / np.sqrt(np.maximum(np.outer(sizes, self.sizes), 1).astype(np.float64))
+
+    def best(self, sets: pa.ListArray, own: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Score of each text's own reference, the greatest other score and its reference, or -1; ties go to the higher one."""
+        scores, mine = self.scores(sets), pc.index_in(own, self.names).fill_null(-1).to_numpy()
+        rows = np.flatnonzero(mine >= 0)
+        own_score = np.zeros(len(scores))
+        own_score[rows] = scores[rows, mine[rows]]
+        scores[rows, mine[rows]] = 0.0
+        scores[own.is_null().to_numpy(zero_copy_only=False)] = 0.0
+        place = scores.shape[1] - 1 - scores[:, ::-1].argmax(axis=1)
+        other = scores[np.arange(len(scores)), place]
+        return own_score, other, np.where(other > 0, place, -1)
+
+
+def _scored_by(shared: Broadcast, ref_type: pa.DataType):
+    """mapInArrow function: (row, own, tokens) to (row, own_score, best_other, best_ref), in steps of bounded memory."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = shared.value
+        step = max(1, 1_000_000 // len(index.refs))
+        for batch in batches:
+            for i in range(0, batch.num_rows, step):
+                rows, own, sets = batch.slice(i, step).columns
+                mine, other, place = index.best(sets, own)
+                found = index.refs.take(pa.array(place, mask=place < 0)).cast(ref_type)
+                yield pa.RecordBatch.from_arrays([rows, pa.array(mine), pa.array(other), found], ["row", "own_score", "best_other", "best_ref"])
+
+    return run
+
+
+def _scored_by_join(rows: DataFrame, sets: DataFrame) -> DataFrame:
+    """As _scored_by, by a join on tokens, for references of any number."""
+    a = rows.withColumn("id", F.monotonically_increasing_id())
+    a = materialize(a, "relevance")
+    each = a.select("id", F.explode("tokens").alias("token"), F.size("tokens").alias("x"))
+    held = sets.select("ref", "name", F.explode("tokens").alias("token"), F.size("tokens").alias("y"))
+    pairs = each.join(held, "token").groupBy("id", "ref", "name").agg(F.count("*").alias("common"), F.first("x").alias("x"), F.first("y").alias("y"))
+    score = F.col("common") / F.sqrt((F.col("x") * F.col("y")).cast("double"))
+    pairs = pairs.join(a.select("id", "own"), "id").select("id", "ref", score.alias("score"), (F.col("name") == F.col("own")).alias("mine"))
+    mine, other = F.max(F.when(F.col("mine"), F.col("score"))), F.max(F.when(~F.col("mine"), F.struct("score", "ref")))
+    best = pairs.groupBy("id").agg(mine.alias("own_score"), other.alias("other"))
+    out = a.select("id", "row").join(best, "id", "left")
+    none = F.lit(0.0)
+    return out.select("row", F.coalesce("own_score", none).alias("own_score"), F.coalesce("other.score", none).alias("best_other"), F.col("other.ref").alias("best_ref"))
+
+
+def batch_relevance(
+    texts: DataFrame, refs: DataFrame, key: str, own: str, ref: str, text: str, ref_text: str, stop: tuple[str, ...], most_tokens: int = MOST_TOKENS
+) -> DataFrame:
     """(key, own_score, best_other, best_ref, status, confidence) of each text against all references.
 
-    texts have ``own``, the reference they belong to. Scores are common tokens over the geometric mean of the set sizes,
-    by a join on tokens. Ties between others go to the higher reference.
+    texts have ``own``, the reference they belong to. Scores are common tokens over the geometric mean of the set sizes.
+    Ties between others go to the higher reference. References with up to ``most_tokens`` tokens in all are broadcast as an
+    index, so that texts are scored where they are, without a shuffle; more are joined on tokens.
+
+    Null and blank texts score 0 and are unknown; long texts count whole. Rows that repeat a key are rows of their own; rows
+    that repeat a reference are one with the tokens of all; null references are left out, and a text whose ``own`` is null
+    has neither an own score nor another. Without references all scores are 0.
     """
-    a = token_sets(texts, key, text, stop).withColumnRenamed("n", "n_text")
-    b = token_sets(refs, ref, ref_text, stop).withColumnRenamed("n", "n_ref")
-    pairs = a.join(b, "token").groupBy(key, ref).agg(F.count("*").alias("common"), F.first("n_text").alias("x"), F.first("n_ref").alias("y"))
-    score = F.col("common") / F.sqrt((F.col("x") * F.col("y")).cast("double"))
-    pairs = pairs.select(key, ref, score.alias("score"))
-    base = texts.select(key, F.col(own).alias("__own"), (F.coalesce(F.btrim(text), F.lit("")) == "").alias("__blank"))
-    joined = base.join(pairs, key, "left")
-    mine = F.max(F.when(F.col(ref) == F.col("__own"), F.col("score")))
-    other = F.max(F.when(F.col(ref) != F.col("__own"), F.struct("score", ref)))
-    out = joined.groupBy(key, "__blank").agg(F.coalesce(mine, F.lit(0.0)).alias("own_score"), other.alias("__other"))
-    out = out.select(key, "__blank", "own_score", F.coalesce(F.col("__other.score"), F.lit(0.0)).alias("best_other"), F.col(f"__other.{ref}").alias("best_ref"))
+    sets = refs.where(F.col(ref).isNotNull()).select(F.col(ref).alias("ref"), semantic_tokens(F.col(ref_text), stop).alias("tokens"))
+    sets = sets.groupBy("ref").agg(F.array_distinct(F.flatten(F.collect_list(F.coalesce("tokens", F.array().cast("array<string>"))))).alias("tokens"))
+    sets = materialize(sets.select("ref", F.col("ref").cast("string").alias("name"), "tokens"), "references")
+    tokens = F.coalesce(semantic_tokens(F.col(text), stop), F.array().cast("array<string>"))
+    rows = texts.select(F.struct(F.col(key).alias("key"), (F.coalesce(F.btrim(text), F.lit("")) == "").alias("blank")).alias("row"), F.col(own).cast("string").alias("own"), tokens.alias("tokens"))
+    size = sets.agg(F.count("*").alias("refs"), F.coalesce(F.sum(F.size("tokens") + 1), F.lit(0)).alias("tokens")).first()
+    if 0 < size.refs and size.tokens <= most_tokens:
+        spark = texts.sparkSession
+        ship(spark)
+        index = spark.sparkContext.broadcast(ReferenceIndex.build(sets.orderBy("ref").toArrow()))
+        schema = StructType([rows.schema["row"], *(StructField(x, DoubleType()) for x in ("own_score", "best_other")), StructField("best_ref", sets.schema["ref"].dataType)])
+        out = rows.mapInArrow(_scored_by(index, to_arrow_type(sets.schema["ref"].dataType)), schema)
+    else:
+        out = _scored_by_join(rows, sets)
+    blank = F.col("row.blank")
     relevant = F.col("own_score") >= 0.08
     foreign = (F.col("best_other") >= 0.08) & (F.col("best_other") - F.col("own_score") >= 0.05)
-    status = F.when(F.col("__blank"), "unknown").when(relevant, "relevant").when(foreign, "irrelevant").otherwise("unknown")
+    status = F.when(blank, "unknown").when(relevant, "relevant").when(foreign, "irrelevant").otherwise("unknown")
     confidence = (
-        F.when(F.col("__blank"), 0.0).when(relevant, F.least(F.lit(0.99), F.col("own_score") + 0.85))
+        F.when(blank, 0.0).when(relevant, F.least(F.lit(0.99), F.col("own_score") + 0.85))
         .when(foreign, F.least(F.lit(0.99), F.col("best_other") + 0.86)).otherwise(0.4)
     )
-    return out.select(key, "own_score", "best_other", "best_ref", status.alias("status"), confidence.alias("confidence"))
+    return out.select(F.col("row.key").alias(key), "own_score", "best_other", "best_ref", status.alias("status"), confidence.alias("confidence"))
 
 
 def similar_to_first(media: DataFrame, key: str, order: str, hash_: str, max_dist: int = 6) -> DataFrame:
@@ -94,16 +201,13 @@ def topic_conflict(
     body = strip(F.array_join(paragraphs, "\n"))
     late = strip(F.array_join(F.slice(paragraphs, early + 1, 1 << 30), "\n"))
     rows = docs.select(key, low_title.alias("__title"), body.alias("__body"), late.alias("__late"))
-    counted = []
-    for topic, terms in sorted(topics.items()):
-        for x in terms:
-            x = x.lower()
-            counted.append(
-                F.struct(
-                    F.lit(topic).alias("topic"), F.col("__title").contains(x).alias("titled"),
-                    count_of(F.col("__body"), F.lit(x)).alias("hits"), count_of(F.col("__late"), F.lit(x)).alias("late"),
-                )
-            )
+    counted = [
+        F.struct(
+            F.lit(topic).alias("topic"), F.col("__title").contains(x.lower()).alias("titled"), count_of(F.col("__body"), F.lit(x.lower())).alias("hits"),
+            F.when(F.col("__title").contains(x.lower()), count_of(F.col("__late"), F.lit(x.lower()))).otherwise(0).alias("late"),
+        )
+        for topic, x in listed_terms(topics)
+    ]
     ops = [count_of(F.col("__body"), F.lit(x.lower())) for x in generic]
     rows = rows.select(
         key, (F.length(F.btrim("__body")) < least_chars).alias("short"), F.array(*counted).alias("c"),

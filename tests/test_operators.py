@@ -86,6 +86,33 @@ def test_relevance(spark):
     assert (got[3].status, got[3].confidence) == ("unknown", 0.0) and got[4].status == "unknown" and got[5].status == "relevant"
 
 
+def test_relevance_joined(spark):
+    texts = [(1, 0, "alpha beta gamma", "x"), (1, 9, "Alpha beta", "x"), (None, 1, "delta zeta", "x"), (4, None, "delta", "x"), (5, 2, None, "x"), (6, 2, "word " * 9000 + "zeta", "x")]
+    texts = spark.createDataFrame(texts, "k int, own int, text string, score string")
+    refs = spark.createDataFrame([(0, "alpha beta"), (2, "delta"), (2, "zeta delta"), (None, "alpha"), (3, None), (1, "zeta delta")], "ref long, rt string")
+
+    def scored(refs, **options):
+        return sorted(map(tuple, similarity.batch_relevance(texts, refs, "k", "own", "ref", "text", "rt", (), **options).collect()), key=str)
+
+    got = scored(refs)
+    assert got == scored(refs, most_tokens=0)
+    short = {(r[0], round(r[1], 4), round(r[2], 4), r[3], r[4]) for r in got}
+    assert short == {
+        (1, 0.8165, 0.0, None, "relevant"), (1, 0.0, 1.0, 0, "irrelevant"), (None, 1.0, 1.0, 2, "relevant"), (4, 0.0, 0.0, None, "unknown"),
+        (5, 0.0, 0.0, None, "unknown"), (6, 0.5, 0.5, 1, "relevant"),
+    }
+    assert {r[1:4] for r in scored(refs.where("false"))} == {(0.0, 0.0, None)}
+    assert similarity.batch_relevance(texts.where("false"), refs, "k", "own", "ref", "text", "rt", ()).count() == 0
+
+
+def test_vocabulary_bound(spark):
+    docs = spark.createDataFrame([(1, "Straße ab ab ABAB"), (2, None), (3, "")], "k int, text string")
+    got = rows(similarity.term_hits(docs, "k", "text", {"t": ["ab", "straße", "zz"]}))
+    assert sorted(got) == [(1, "t", "ab", 4), (1, "t", "straße", 1)]
+    with pytest.raises(ValueError, match="bound"):
+        similarity.term_hits(docs, "k", "text", {"t": [f"x{i}" for i in range(similarity.MOST_TERMS + 1)]})
+
+
 TRADES = {"lighting": ["lamp", "pole", "dimming"], "storage": ["battery", "charging"]}
 
 
