@@ -43,7 +43,8 @@ def running_sum(values: Column, block: int = 256) -> Column:
 
     starts = F.sequence(F.lit(1), F.greatest(F.size(values), F.lit(1)), F.lit(block))
     out = bind(F.transform(starts, lambda at: sums(F.slice(values, at, F.lit(block)))), shifted)
-    return F.when(F.size(values) == 0, F.array().cast("array<int>")).otherwise(out)
+    few = F.transform(sums(values), lambda x: x.cast("int"))
+    return F.when(F.size(values) == 0, F.array().cast("array<int>")).when(F.size(values) <= block, few).otherwise(out)
 
 
 def match_places(c: Column, pattern: str) -> Column:
@@ -55,7 +56,8 @@ def match_places(c: Column, pattern: str) -> Column:
             last = bind(steps, lambda s: running_sum(s))
             return bind(last, lambda e: F.transform(found, lambda m, i: F.struct((F.get(e, i) - F.length(m)).alias("at"), m.alias("text"))))
 
-        return bind(F.split(c, pattern, -1), ends)
+        # most texts have no match, and then no places to work out
+        return F.when(F.size(found) == 0, F.array().cast("array<struct<at:int,text:string>>")).otherwise(bind(F.split(c, pattern, -1), ends))
 
     return bind(F.regexp_extract_all(c, F.lit(pattern), F.lit(0)), of)
 
@@ -173,11 +175,20 @@ def date_year_spans(c: Column, target: int) -> Column:
     return F.array_sort(F.array_distinct(F.transform(early, lambda s: F.struct(s["at"].alias("at"), s["stop"].alias("stop")))))
 
 
-def rewrite_date_years(c: Column, target: int) -> Column:
-    """c with the years of date_year_spans replaced by the target year; nothing else changes."""
+def date_years(c: Column, target: int) -> Column:
+    """Struct of text, c with the years of date_year_spans replaced by the target year and nothing else changed, and spans."""
     new = F.lit(str(target))
-    spans = F.transform(date_year_spans(c, target), lambda s: F.struct(s["at"].alias("at"), F.lit(4).alias("size"), new.alias("text")))
-    return bind(spans, lambda x: splice(c, x))
+
+    def build(spans: Column) -> Column:
+        edits = F.transform(spans, lambda s: F.struct(s["at"].alias("at"), F.lit(4).alias("size"), new.alias("text")))
+        return F.struct(F.when(F.size(spans) == 0, c).otherwise(bind(edits, lambda x: splice(c, x))).alias("text"), spans.alias("spans"))
+
+    return bind(date_year_spans(c, target), build)
+
+
+def rewrite_date_years(c: Column, target: int) -> Column:
+    """The text of date_years."""
+    return date_years(c, target)["text"]
 
 
 def line_date_fields(polygon: Column, text: Column, target: int) -> Column:

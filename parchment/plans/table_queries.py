@@ -184,9 +184,9 @@ WITH d AS ({DATE_TEXTS}) SELECT o_orderkey, text, CASE WHEN ok THEN pos::INTEGER
   CASE WHEN ok THEN substr(text, 1, pos) || '1999' || substr(text, pos + 5) ELSE text END AS rewritten FROM d
 """)
 def date_year_rewrite(t: Tables) -> DataFrame:
-    c = F.col("text")
-    at = F.coalesce(F.get(years.date_year_spans(c, 1999), F.lit(0))["at"], F.lit(-1))
-    return date_texts(t).select("o_orderkey", "text", at.alias("at"), years.rewrite_date_years(c, 1999).alias("rewritten"))
+    rows = date_texts(t).select("o_orderkey", "text", years.date_years(F.col("text"), 1999).alias("done"))
+    at = F.coalesce(F.get("done.spans", F.lit(0))["at"], F.lit(-1))
+    return rows.select("o_orderkey", "text", at.alias("at"), F.col("done.text").alias("rewritten"))
 
 
 @query(f"""
