@@ -40,18 +40,21 @@ def list_material(spark: SparkSession, root: str, with_content: bool = False) ->
 def decode_text(content: Column) -> Column:
     """Struct of encoding and text, by BOM, then UTF-8, then GB18030; undecodable bytes are replaced under 'unknown'."""
 
-    @F.udf("string")
-    def gb(raw):  # Spark's decode refuses this charset; only texts that aren't UTF-8 get here
-        try:
-            return None if raw is None else bytes(raw).decode("gb18030")
-        except UnicodeDecodeError:
-            return None
+    @F.arrow_udf("string")
+    def gb(raws: pa.Array) -> pa.Array:  # Spark's decode refuses this charset
+        out = []
+        for raw in raws.to_pylist():
+            try:
+                out.append(None if raw is None else raw.decode("gb18030"))
+            except UnicodeDecodeError:
+                out.append(None)
+        return pa.array(out, pa.string())
 
     start = lambda n: F.hex(F.substring(content, 1, n))
     rest = F.substring(content, F.lit(4), F.greatest(F.length(content) - 3, F.lit(0)))
     utf16 = start(2).isin("FFFE", "FEFF")
     valid = F.is_valid_utf8(content.cast("string"))
-    other = F.when(~valid & ~utf16, gb(content))
+    other = gb(F.when(~valid & ~utf16, content))  # others are nulls on the way to Python
     encoding = (
         F.when((start(3) == "EFBBBF") & valid, "utf-8-sig").when(utf16, "utf-16").when(valid, "utf-8").when(other.isNotNull(), "gb18030").otherwise("unknown")
     )

@@ -164,3 +164,10 @@ def test_places_are_code_points(spark, form):
     value = unicodedata.normalize(form, "é😀 2019 é")
     (m,) = column(spark, [value], years.year_mentions(val()))[0]
     assert value[m.at : m.at + 4] == "2019"
+
+
+def test_running_sum(spark):
+    """Either side of the block size, and arrays of no elements."""
+    data = [(n, list(range(n))) for n in (0, 1, 2, 255, 256, 257, 1000)]
+    got = spark.createDataFrame(data, "n int, a array<int>").select("n", "a", years.running_sum(F.col("a")).alias("s")).collect()
+    assert all(r.s == [sum(r.a[: i + 1]) for i in range(r.n)] for r in got) and len(got) == len(data)
