@@ -55,14 +55,16 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     take in order of their text's hash what the mix takes of such rows, the greatest first, so their sum is kept. Ties are
     as weighted_mix says. An empty table gives no rows; other columns stay as they are.
     """
-    here = Window.partitionBy("doc_id", "size")
-    taken = weighted_mix(docs).where("size > 0").withColumn("place", F.row_number().over(here.orderBy(F.desc("taken"))))
-    taken = taken.where("taken > 0").select(F.struct("doc_id", "size", "place").alias("__key"), F.expr("taken div size").cast("int").alias("__n"))
+    taken = weighted_mix(docs).where("taken > 0").select(F.struct("doc_id", "size").alias("__key"), F.expr("taken div size").alias("n"))
+    # of the rows with a key, how many the mix takes at least once and twice: the first rows are those
+    taken = taken.groupBy("__key").agg(F.count("*").alias("__once"), F.count_if(F.col("n") > 1).alias("__twice"))
     size = F.regexp_count(F.col("text"), F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
-    rows = docs.select(F.struct(*docs.columns).alias("__row"), F.col("doc_id"), size.alias("size"), F.xxhash64("text").alias("hash")).where("size > 0")
-    rows = rows.withColumn("__key", F.struct("doc_id", "size", F.row_number().over(here.orderBy("hash")).alias("place")))
-    both = rows.join(taken, rows["__key"].eqNullSafe(taken["__key"])).select("__row", F.explode(F.sequence(F.lit(1), "__n")))
-    return both.select("__row.*")
+    rows = docs.select(F.struct(*docs.columns).alias("__row"), F.struct("doc_id", size.alias("size")).alias("__key"), F.xxhash64("text").alias("__hash"))
+    # numbered and joined by the same key, so that texts are exchanged once
+    place = F.row_number().over(Window.partitionBy("__key").orderBy("__hash"))
+    both = rows.where("__key.size > 0").withColumn("__place", place).join(taken, "__key").where("__place <= __once")
+    times = F.when(F.col("__place") <= F.col("__twice"), 2).otherwise(1)
+    return both.select("__row", F.explode(F.sequence(F.lit(1), times))).select("__row.*")
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
