@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from parchment.llm import fingerprints, html_extraction, mixing, near_dedup, periodic_runs, pieces, quality_classifier, quality_rules, secrets, sharding, token_counts, toxicity
+from parchment.llm import fingerprints, html_extraction, mixing, near_dedup, periodic_runs, pieces, quality_classifier, quality_rules, secrets, sharding, token_counts, toxicity, whitening
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,6 +55,10 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(_documents(spark, sf_dir))
 
 
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def op12_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extraction.extract_text(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
@@ -65,7 +69,7 @@ def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _ALL = (
     op1_mixing, op2_simhash, op3_toxicity, op4_sentencepiece, op5_near_dedup, op6_quality_classifier,
-    op7_quality_rules, op8_secret_scan, op9_token_counts, op10_sharding, op12_html_extraction, op13_periodic_runs,
+    op7_quality_rules, op8_secret_scan, op9_token_counts, op10_sharding, op11_embedding_whitening, op12_html_extraction, op13_periodic_runs,
 )
 QUERIES = {f.__name__: f for f in _ALL}
 
