@@ -25,6 +25,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from parchment.llm import kernels as K
+from parchment.llm.quality_rules import bind
 from parchment.runtime import ship
 
 #: places that are compared at once
@@ -249,13 +250,20 @@ def periodic_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 def with_repeated_tails(text: Column, doc_id: Column) -> Column:
     """The text; with h = crc32 of the decimal id and h % 10 = 0, one that repeats its words from a place on with a period, both dealt by h."""
-    words = F.filter(F.split(text, "[\\x20\\x09-\\x0D]+"), lambda x: x != "")
     h = F.crc32(doc_id.cast("string").cast("binary"))
-    n, g = F.size(words).cast("long"), F.floor(h / 10)
-    a = F.when(n > 0, g % n)
-    p = 1 + F.floor((n - a) / (3 + g % 8))
-    edited = F.transform(F.sequence(F.lit(0).cast("long"), n - 1), lambda i: words[F.when(i < a, i).otherwise(a + (i - a) % p).cast("int")])
-    return F.when((h % 10 == 0) & text.rlike("[^\\x20\\x09-\\x0D]"), F.array_join(edited, " ")).otherwise(text)
+    g = F.floor(h / 10)
+
+    def edited(words: Column) -> Column:
+        n = F.size(words).cast("long")
+        a = g % n
+        return bind(F.struct(a.alias("a"), (1 + F.floor((n - a) / (3 + g % 8))).alias("p"), n.alias("n")), lambda x: F.array_join(repeated(words, x), " "))
+
+    def repeated(words: Column, x: Column) -> Column:
+        tail = F.transform(F.sequence(x["a"], x["n"] - 1), lambda i: F.get(words, (x["a"] + (i - x["a"]) % x["p"]).cast("int")))
+        return F.concat(F.slice(words, F.lit(1), x["a"].cast("int")), tail)
+
+    words = F.filter(F.split(text, "[\\x20\\x09-\\x0D]+"), lambda x: x != "")
+    return F.when((h % 10 == 0) & text.rlike("[^\\x20\\x09-\\x0D]"), bind(words, edited)).otherwise(text)
 
 
 def run_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
