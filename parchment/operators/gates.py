@@ -5,23 +5,37 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from parchment.operators import ordered
 
-def sample_indexes(total: Column, ratio: float = 0.25, minimum: int = 4) -> Column:
-    """Zero-based places of an equidistant sample with both ends; half-way places go to the even one."""
-    n = F.least(total, F.greatest(F.lit(minimum), F.ceil(total * F.lit(float(ratio)))))
-    step = F.transform(
-        F.sequence(F.lit(0).cast("long"), F.greatest(n.cast("long") - 1, F.lit(0))),
-        lambda i: F.bround(i * (total - 1) / F.greatest(n - 1, F.lit(1)), 0).cast("long"),
-    )
-    return F.when(total <= 0, F.array().cast("array<bigint>")).when(n == 0, F.array().cast("array<bigint>")).otherwise(F.array_distinct(step))
+
+def sample_size(total: Column, ratio: float = 0.25, minimum: int = 4) -> Column:
+    """How many rows of ``total`` a sample takes: the share rounded up, at least the minimum, at most all."""
+    return F.least(total, F.greatest(F.lit(minimum), F.ceil(total * F.lit(float(ratio))))).cast("long")
+
+
+def is_sampled(place: Column, total: Column, n: Column) -> Column:
+    """Whether a place (from 0) is one of n equidistant places with both ends, half-way ones at the even place; n = 1 takes the first.
+
+    Sample i stands at the rounded i * (total - 1) / (n - 1). Steps are at least 1, so only three samples can stand at a place: those
+    beside place * (n - 1) / (total - 1). In whole numbers, whatever the size of the group.
+    """
+    steps, last = F.greatest(n - 1, F.lit(1)), F.greatest(total - 1, F.lit(1))
+    near = F.call_function("div", place * steps, last)
+
+    def stands(i: Column) -> Column:
+        down, rest = F.call_function("div", i * (total - 1), steps), i * (total - 1) % steps
+        up = (2 * rest > steps) | ((2 * rest == steps) & (down % 2 == 1))
+        return (i >= 0) & (i < n) & (down + up.cast("long") == place)
+
+    found = stands(near - 1) | stands(near) | stands(near + 1)
+    return (total > 0) & (n > 0) & F.when(n == 1, place == 0).otherwise(found)
 
 
-def equidistant_sample(df: DataFrame, key: str | list[str], order: list, ratio: float = 0.25, minimum: int = 4) -> DataFrame:
-    """Rows at the equidistant places of each group in the given total order, with their 0-based place."""
-    keys = [key] if isinstance(key, str) else key
-    here = Window.partitionBy(*keys)
-    rows = df.withColumn("__total", F.count("*").over(here)).withColumn("place", F.row_number().over(here.orderBy(*order)).cast("long") - 1)
-    return rows.where(F.array_contains(sample_indexes(F.col("__total"), ratio, minimum), F.col("place"))).drop("__total")
+def equidistant_sample(df: DataFrame, key: str | list[str], order: list, ratio: float = 0.25, minimum: int = 4, window_rows: int = ordered.WINDOW_ROWS) -> DataFrame:
+    """Rows at the equidistant places of each group in the given total order, with their 0-based place. See ordered.places for large groups."""
+    rows = ordered.places(df, [key] if isinstance(key, str) else key, order, window_rows)
+    n = sample_size(F.col("total"), ratio, minimum)
+    return rows.where(is_sampled(F.col("place"), F.col("total"), n)).drop("total")
 
 
 def bounded_review_sample(df: DataFrame, key: str | list[str], order: list, k: int, undecided: Column) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from parchment.functions.text import fold
+from parchment.operators import ordered
 
 #: fixed values: archives that can be read, those with two suffixes, and those that can be delivered
 SUFFIXES = (
@@ -158,10 +159,9 @@ def unique_names(df: DataFrame, base: str, order: str) -> DataFrame:
     return df.withColumn("unique_name", F.when(n == 1, F.col(base)).otherwise(F.concat_ws("_", base, n.cast("string"))))
 
 
-def fingerprint(df: DataFrame, key: str, order: str, value: str) -> DataFrame:
-    """(key, n, fingerprint): SHA-256 over a key's values in order, one a line."""
-    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, value))), lambda x: x[value].cast("string")), "\n")
-    return df.groupBy(key).agg(F.count("*").alias("n"), F.sha2(joined, 256).alias("fingerprint"))
+def fingerprint(df: DataFrame, key: str, order: str, value: str, chunk: int = ordered.CHUNK) -> DataFrame:
+    """(key, n, fingerprint): SHA-256 over a key's values in order, one a line; of more than ``chunk`` values as a tree, see ordered.digest_tree."""
+    return ordered.digest_tree(df, [key], [order], F.col(value), chunk=chunk)
 
 
 def version_diff(before: DataFrame, after: DataFrame, keys: list[str], digest: str) -> DataFrame:

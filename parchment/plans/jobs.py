@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from parchment.functions.text import MANUAL_LABELS, is_label
 from parchment.functions.years import rewrite_years
-from parchment.operators import comments, gates, inventory, paragraphs, review, similarity
+from parchment.operators import comments, gates, inventory, ordered, paragraphs, review, similarity
 
 #: fixed values: option phrases and the title keywords that justify them
 CATEGORY_RULES = [
@@ -87,12 +87,14 @@ def unified_run(stages: str, results: dict[str, DataFrame]) -> DataFrame:
     return out
 
 
-def delivery_manifest(files: DataFrame, selection: DataFrame, batch: str = "batch", folder: str = "folder", path: str = "path") -> DataFrame:
-    """(batch, folder, files, bytes, fingerprint) of the approved projects' files to deliver.
+def delivery_manifest(
+    files: DataFrame, selection: DataFrame, batch: str = "batch", folder: str = "folder", path: str = "path", chunk: int = ordered.CHUNK
+) -> DataFrame:
+    """(batch, folder, files, bytes, fingerprint) of the approved projects' files to deliver, in folded path order.
 
-    files (batch, folder, path, length, sha256); selection (batch, folder), folders folded.
+    files (batch, folder, path, length, sha256); selection (batch, folder), folders folded. See ordered.digest_tree for large folders.
     """
-    rows = inventory.delivery_files(files, path).join(selection.select(batch, F.lower(folder).alias("__f")).distinct(), batch)
-    rows = rows.where(F.lower(folder) == F.col("__f"))
-    lines = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.lower(path).alias("o"), F.col("sha256").alias("v")))), lambda x: x["v"]), "\n")
-    return rows.groupBy(batch, folder).agg(F.count("*").alias("files"), F.sum("length").alias("bytes"), F.sha2(lines, 256).alias("fingerprint"))
+    wanted = selection.select(F.col(batch).alias("__b"), F.lower(folder).alias("__f")).distinct()
+    rows = inventory.delivery_files(files, path).join(wanted, (F.col(batch) == F.col("__b")) & (F.lower(folder) == F.col("__f")), "left_semi")
+    out = ordered.digest_tree(rows, [batch, folder], [F.lower(path).alias("o"), path], F.col("sha256"), {"bytes": F.col("length")}, chunk)
+    return out.select(batch, folder, F.col("n").alias("files"), "bytes", "fingerprint")

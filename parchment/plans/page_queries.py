@@ -117,6 +117,23 @@ def batch_fingerprint(t: Tables) -> DataFrame:
     return inventory.fingerprint(urls(t).withColumn("digest", F.sha2("html", 256)), "batch", "page_id", "digest")
 
 
+def _tree_sql(levels: int, chunk: int) -> str:
+    node = f"CASE WHEN count(*) = 1 AND c // {chunk} = 0 THEN min(v) ELSE sha256(array_to_string(list(v ORDER BY c), chr(10))) END"
+    return ",\n".join(f"l{i} AS (SELECT batch, c // {chunk} AS c, {node} AS v, sum(n)::BIGINT AS n FROM l{i - 1} GROUP BY batch, c // {chunk})" for i in range(1, levels))
+
+
+@query(f"""
+WITH r AS (SELECT page_id % 3 AS batch, sha256(html) AS d, row_number() OVER (PARTITION BY page_id % 3 ORDER BY page_id) - 1 AS place FROM pages),
+l0 AS (SELECT batch, place // 8 AS c, sha256(array_to_string(list(d ORDER BY place), chr(10))) AS v, count(*) AS n FROM r GROUP BY batch, place // 8),
+{_tree_sql(4, 8)}
+SELECT batch, n, v AS fingerprint FROM l3
+""")
+def fingerprint_tree(t: Tables) -> DataFrame:
+    """Pages in three batches, their digests in chunks of eight."""
+    rows = t.pages.select((F.col("page_id") % 3).alias("batch"), "page_id", F.sha2("html", 256).alias("digest"))
+    return inventory.fingerprint(rows, "batch", "page_id", "digest", chunk=8)
+
+
 @query(f"""
 WITH {URLS} SELECT batch, folder, count(*) AS files, sum(length)::BIGINT AS bytes, sha256(array_to_string(list(sha256(html) ORDER BY lower(folder || '/' || name)), chr(10))) AS fingerprint
 FROM u WHERE role <> 'temp' AND folder NOT LIKE '%/d2' GROUP BY ALL

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from parchment.functions import media, text, years
 from parchment.operators import inventory
-from parchment.operators.gates import sample_indexes
+from parchment.operators.gates import is_sampled, sample_size
 
 
 def column(spark, values, c, kind="string"):
@@ -27,11 +27,17 @@ def test_sampling(spark):
         k = min(n, max(least, math.ceil(n * ratio)))
         return [] if n <= 0 else [0] if k == 1 else sorted({round(i * (n - 1) / (k - 1)) for i in range(k)})
 
+    def sampled(totals, **how):
+        every = spark.createDataFrame([(t, p) for t in totals for p in range(t)], "total long, place long")
+        rows = every.where(is_sampled(F.col("place"), F.col("total"), sample_size(F.col("total"), **how))).collect()
+        return [sorted(r.place for r in rows if r.total == t) for t in totals]
+
     totals = [0, 1, 2, 3, 8, 20, *range(21, 90, 7)]
-    got = column(spark, totals, sample_indexes(val()), "int")
+    got = sampled(totals)
     assert got == [plain(n) for n in totals]
     assert got[3:5] == [[0, 1, 2], [0, 2, 5, 7]] and len(got[5]) == 5
-    assert column(spark, [8], sample_indexes(val(), 0.0, 2), "int") == [[0, 7]]
+    assert sampled([8], ratio=0.0, minimum=2) == [[0, 7]]
+    assert sampled([300], ratio=0.6, minimum=1) == [plain(300, 0.6, 1)]
 
 
 def test_normal_forms(spark):
