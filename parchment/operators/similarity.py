@@ -9,45 +9,20 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import Broadcast
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from parchment.functions.media import hamming
-from parchment.functions.text import count_of, fold, semantic_tokens
+from parchment.functions.text import fold, semantic_tokens
+from parchment.operators.terms import TermIndex, index_of, listed_terms, shared_terms, term_hits
 from parchment.runtime import materialize, ship
 
-#: terms a vocabulary may have: it is broadcast, or else its hits are made from its array
-MOST_TERMS = 10_000
 #: tokens that references may have in all to be broadcast: a few dozen MB
 MOST_TOKENS = 1_000_000
 
 
-def listed_terms(topics: dict[str, list[str]]) -> list[tuple[str, str]]:
-    """(topic, term) of a small dictionary given by the user, by topic."""
-    rows = [(t, x) for t, terms in sorted(topics.items()) for x in terms]
-    if len(rows) > MOST_TERMS:
-        raise ValueError(f"a vocabulary of {len(rows)} terms; the bound is {MOST_TERMS}")
-    return rows
-
-
-def vocabulary(spark: SparkSession, topics: dict[str, list[str]]) -> DataFrame:
-    """(topic, term) of a small dictionary given by the user."""
-    return spark.createDataFrame(listed_terms(topics), "topic string, term string")
-
-
-def term_hits(docs: DataFrame, key: str, text: str, topics: dict[str, list[str]]) -> DataFrame:
-    """(key, topic, term, hits): folded occurrences of each term that occurs. Terms are literals, so no join is needed.
-
-    A text is folded once, before the terms are tried.
-    """
-    low = docs.select(key, fold(F.col(text)).alias("__low"))
-    pairs = [F.struct(F.lit(t).alias("topic"), F.lit(x).alias("term"), count_of(F.col("__low"), F.lit(x.lower())).alias("hits")) for t, x in listed_terms(topics)]
-    hits = low.select(key, F.explode(F.array(*pairs)).alias("h")).select(key, "h.*")
-    return hits.where("hits > 0")
-
-
 def category_mismatch(docs: DataFrame, rules: list[tuple[str, tuple[str, ...]]], key: str, title: str, text: str) -> DataFrame:
     """(key, category): the text holds the category's phrase, but the title none of its keywords."""
     found = []
@@ -188,50 +163,74 @@ def similar_to_first(media: DataFrame, key: str, order: str, hash_: str, max_dis
     return rows.select(key, "first", order, hamming(F.col(hash_), F.col("__hash")).alias("distance")).where(F.col("distance") <= max_dist)
 
 
+def _counter(shared: Broadcast, topics: list[str], vocabulary: int):
+    """mapInArrow function: (key, title, body, late) to key, terms of title or body, hits of topics, and counts of generic terms.
+
+    The broadcast terms are those of the topics, then the generic ones. One pass over the body, and one over its late part if the
+    title holds a term.
+    """
+
+    def row(index: TermIndex, title: str, body: str, late: str):
+        titled, hits = index.counts(title), index.counts(body)
+        after = index.counts(late) if any(i < vocabulary for i in titled) else {}
+        terms = [{"topic": topics[i], "hits": hits.get(i, 0), "late": after.get(i, 0)} for i in sorted(titled) if i < vocabulary]
+        per: dict[str, int] = {}
+        for i, n in hits.items():
+            if i < vocabulary:
+                per[topics[i]] = per.get(topics[i], 0) + n
+        return terms, [{"topic": t, "hits": n} for t, n in per.items()], [hits.get(i, 0) for i in range(vocabulary, index.size)]
+
+    kinds = [pa.list_(pa.struct([("topic", pa.string()), ("hits", pa.int32()), ("late", pa.int32())])), pa.list_(pa.struct([("topic", pa.string()), ("hits", pa.int32())])), pa.list_(pa.int32())]
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = index_of(shared)
+        for batch in batches:
+            texts = zip(*(batch.column(i) for i in (1, 2, 3)), strict=True)
+            rows = [row(index, *(x.as_py() or "" for x in r)) for r in texts]
+            values = [pa.array([r[j] for r in rows], kind) for j, kind in enumerate(kinds)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *values], ["key", "titled", "topics", "generic"])
+
+    return count
+
+
 def topic_conflict(
     docs: DataFrame, key: str, title: str, paragraphs: str, topics: dict[str, list[str]], generic: tuple[str, ...], early: int = 10, least_chars: int = 80
 ) -> DataFrame:
-    """(key, status, title_hits, absent, strongest_other): whether the body speaks of another topic than the title.
+    """(key, status, reason, title_hits, absent, strongest_other): whether the body speaks of another topic than the title.
 
     docs have an array of paragraphs. The title's own repetitions are removed (case aside) before counting. Evidence for a
-    reviewer only: unknown, or review_topic_mismatch.
+    reviewer only: unknown, or review_topic_mismatch; reason says why. All terms are counted in one pass over a text, so neither
+    plan nor cost grow with the vocabulary.
     """
     low_title = fold(F.coalesce(F.col(title), F.lit("")))
     strip = lambda c: F.when(low_title == "", fold(c)).otherwise(F.replace(fold(c), low_title, F.lit("")))
     body = strip(F.array_join(paragraphs, "\n"))
     late = strip(F.array_join(F.slice(paragraphs, early + 1, 1 << 30), "\n"))
-    rows = docs.select(key, low_title.alias("__title"), body.alias("__body"), late.alias("__late"))
-    counted = [
-        F.struct(
-            F.lit(topic).alias("topic"), F.col("__title").contains(x.lower()).alias("titled"), count_of(F.col("__body"), F.lit(x.lower())).alias("hits"),
-            F.when(F.col("__title").contains(x.lower()), count_of(F.col("__late"), F.lit(x.lower()))).otherwise(0).alias("late"),
-        )
-        for topic, x in listed_terms(topics)
-    ]
-    ops = [count_of(F.col("__body"), F.lit(x.lower())) for x in generic]
-    rows = rows.select(
-        key, (F.length(F.btrim("__body")) < least_chars).alias("short"), F.array(*counted).alias("c"),
-        sum(ops[1:], ops[0]).alias("ops"), F.least(*ops, *ops[:1]).alias("least_op"),
-    )
+    listed = listed_terms(topics)
+    shared = shared_terms(docs.sparkSession, [x for _, x in listed] + list(generic))
+    head = F.struct(F.col(key).alias("key"), (F.length(F.btrim(body)) < least_chars).alias("short"))
+    rows = docs.select(head.alias("key"), low_title.alias("title"), body.alias("body"), late.alias("late"))
+    kind = rows.schema["key"].dataType.simpleString()
+    schema = f"key {kind}, titled array<struct<topic: string, hits: int, late: int>>, topics array<struct<topic: string, hits: int>>, generic array<int>"
+    rows = rows.mapInArrow(_counter(shared, [t for t, _ in listed], len(listed)), schema)
     total = lambda a, f: F.aggregate(F.transform(a, f), F.lit(0), lambda s, x: s + x)
-    titled = F.filter("c", lambda x: x["titled"])
-    own = F.array_distinct(F.transform(titled, lambda x: x["topic"]))
-
-    def foreign(topic: str) -> Column:
-        return total(F.filter("c", lambda x: (x["topic"] == topic) & ~F.array_contains(own, topic)), lambda x: x["hits"])
-
-    rows = rows.select(key, "short", "ops", "least_op", titled.alias("t"), *[foreign(x).alias(f"o_{i}") for i, x in enumerate(sorted(topics))])
-    others = F.array(*[F.when(F.col(f"o_{i}") >= 5, F.col(f"o_{i}")).otherwise(0) for i in range(len(topics))])
+    own = F.transform("titled", lambda x: x["topic"])
+    strongest = F.array_max(F.transform("topics", lambda x: F.when((x["hits"] >= 5) & ~F.array_contains(own, x["topic"]), x["hits"]).otherwise(0)))
     rows = rows.select(
-        key, "short", "ops", "least_op", F.size("t").alias("terms"), total(F.col("t"), lambda x: x["hits"]).alias("title_hits"),
-        F.size(F.filter("t", lambda x: x["hits"] == 0)).alias("absent"), total(F.col("t"), lambda x: x["late"]).alias("late_hits"),
-        F.array_max(others).alias("strongest_other"),
+        F.col("key.key").alias(key), F.col("key.short").alias("short"), F.size("titled").alias("terms"), total(F.col("titled"), lambda x: x["hits"]).alias("title_hits"),
+        F.size(F.filter("titled", lambda x: x["hits"] == 0)).alias("absent"), total(F.col("titled"), lambda x: x["late"]).alias("late_hits"),
+        F.coalesce(strongest, F.lit(0)).alias("strongest_other"), total(F.col("generic"), lambda x: x).alias("ops"), F.coalesce(F.array_min("generic"), F.lit(0)).alias("least_op"),
     )
     strong, hits = F.col("strongest_other"), F.col("title_hits")
     conflict = (strong > 0) & ((F.col("absent") >= 2) | ((hits <= 3) & (strong >= 8)) | ((strong >= 8) & (strong > hits) & (F.col("late_hits") <= 1)))
     bland = (F.col("absent") == F.col("terms")) & (F.col("ops") >= 20) & (F.col("least_op") > 0)
-    status = F.when(~F.col("short") & (F.col("terms") > 0) & (conflict | bland), "review_topic_mismatch").otherwise("unknown")
-    return rows.select(key, status.alias("status"), "title_hits", "absent", "strongest_other")
+    judged = ~F.col("short") & (F.col("terms") > 0)
+    status = F.when(judged & (conflict | bland), "review_topic_mismatch").otherwise("unknown")
+    reason = (
+        F.when(F.col("short"), "too little text").when(F.col("terms") == 0, "no term in the title").when(conflict, "another topic is stronger than the title's")
+        .when(bland, "only generic terms, none of the title's").otherwise("no conflict found")
+    )
+    return rows.select(key, status.alias("status"), reason.alias("reason"), "title_hits", "absent", "strongest_other")
 
 
 def mentions(df: DataFrame, key: str, text: str, terms: dict[str, str]) -> DataFrame:

@@ -104,6 +104,9 @@ j AS (SELECT t.*, coalesce(strongest, 0) AS strong, list_sum(ops) AS n_ops, list
 SELECT doc_id, CASE WHEN NOT short AND terms > 0 AND (strong > 0 AND (absent >= 2 OR (title_hits <= 3 AND strong >= 8)
          OR (strong >= 8 AND strong > title_hits AND late_hits <= 1)) OR (absent = terms AND n_ops >= 20 AND least_op > 0))
        THEN 'review_topic_mismatch' ELSE 'unknown' END AS status,
+       CASE WHEN short THEN 'too little text' WHEN terms = 0 THEN 'no term in the title'
+         WHEN strong > 0 AND (absent >= 2 OR (title_hits <= 3 AND strong >= 8) OR (strong >= 8 AND strong > title_hits AND late_hits <= 1)) THEN 'another topic is stronger than the title''s'
+         WHEN absent = terms AND n_ops >= 20 AND least_op > 0 THEN 'only generic terms, none of the title''s' ELSE 'no conflict found' END AS reason,
        title_hits::INTEGER AS title_hits, absent::INTEGER AS absent, strong::INTEGER AS strongest_other
 FROM j
 """

@@ -2,12 +2,13 @@
 
 import datetime as dt
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
 from parchment.functions.text import HAN
-from parchment.operators import comments, gates, inventory, paragraphs, recovery, review, similarity
+from parchment.operators import comments, gates, inventory, paragraphs, recovery, review, similarity, terms
 from parchment.plans import jobs
 
 
@@ -110,7 +111,28 @@ def test_vocabulary_bound(spark):
     got = rows(similarity.term_hits(docs, "k", "text", {"t": ["ab", "straße", "zz"]}))
     assert sorted(got) == [(1, "t", "ab", 4), (1, "t", "straße", 1)]
     with pytest.raises(ValueError, match="bound"):
-        similarity.term_hits(docs, "k", "text", {"t": [f"x{i}" for i in range(similarity.MOST_TERMS + 1)]})
+        similarity.term_hits(docs, "k", "text", {"t": [f"x{i}" for i in range(terms.MOST_TERMS + 1)]})
+
+
+def test_terms_overlap_and_repeat(spark):
+    words = ["a", "aa", "aba", "b", "", "B", "ab"]
+    texts = ["aaaa abab ABA", "b", "", None, "x" * 50_000 + "aa" * 1000, "aabaabaa"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "k int, text string")
+    got = {(r.k, r.topic, r.term): r.hits for r in terms.term_hits(docs, "k", "text", {"t": words, "u": ["a"]}).collect()}
+    every = [(t, x) for t, xs in (("t", words), ("u", ["a"])) for x in xs if x]
+    assert got == {(k, t, x): n for k, v in enumerate(texts) for t, x in every if (n := (v or "").lower().count(x.lower()))}
+    assert terms.term_hits(docs, "k", "text", {}).count() == 0
+
+
+def test_cost_of_terms_is_flat():
+    text = "lorem ipsum dolor sit amet " * 40_000
+    took = []
+    for n in (20, 10_000):
+        index = terms.TermIndex([f"w{i} x" for i in range(n)] + ["dolor"])
+        began = time.perf_counter()
+        assert index.counts(text) == {n: 40_000}
+        took.append(time.perf_counter() - began)
+    assert took[1] < 5 * took[0] + 0.5
 
 
 TRADES = {"lighting": ["lamp", "pole", "dimming"], "storage": ["battery", "charging"]}
@@ -127,8 +149,9 @@ def test_topic_conflict(spark):
         (6, "lamp", ["a lamp b lamp"] + [filler] * 10 + ["battery " * 9]),
     ]
     docs = spark.createDataFrame(cases, "k int, title string, ps array<string>")
-    got = {r.k: r.status for r in similarity.topic_conflict(docs, "k", "title", "ps", TRADES, ("add", "drop")).collect()}
-    assert {k for k, s in got.items() if s != "unknown"} == {1, 6}
+    got = {r.k: r for r in similarity.topic_conflict(docs, "k", "title", "ps", TRADES, ("add", "drop")).collect()}
+    assert {k for k, r in got.items() if r.status != "unknown"} == {1, 6}
+    assert {k: r.reason.split()[0] for k, r in got.items()} == {1: "another", 2: "no", 3: "too", 4: "no", 5: "no", 6: "another"}
 
 
 def test_similar_to_first(spark):
