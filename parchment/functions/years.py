@@ -30,23 +30,52 @@ def bind(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def running_sum(values: Column, block: int = 256) -> Column:
-    """Array of the sums of an integer array up to each place, by blocks, so that long arrays don't take quadratic time."""
+#: places of a running sum, and characters of a text, that are worked on at once
+BLOCK, TEXT_BLOCK = 256, 1024
 
-    def sums(a: Column) -> Column:
-        return F.aggregate(a, F.array().cast("array<bigint>"), lambda acc, x: F.concat(acc, F.array(F.coalesce(F.get(acc, F.size(acc) - 1), F.lit(0).cast("long")) + x)))
+
+def _running(values: Column, block: int, add: Callable[[Column, Column], Column]) -> Column:
+    """Array of ``add`` over the values of an integer array up to each place, from 0 on, by blocks, so that long arrays don't take quadratic time."""
+    zero = F.lit(0).cast("long")
+
+    def folded(a: Column) -> Column:
+        return F.aggregate(a, F.array().cast("array<bigint>"), lambda acc, x: F.concat(acc, F.array(add(F.coalesce(F.get(acc, F.size(acc) - 1), zero), x))))
 
     def shifted(blocks: Column) -> Column:
-        ends = sums(F.transform(blocks, lambda b: F.coalesce(F.get(b, F.size(b) - 1), F.lit(0).cast("long"))))
-        before = lambda e, i: F.coalesce(F.get(e, i - 1), F.lit(0).cast("long"))
-        return bind(ends, lambda e: F.flatten(F.transform(blocks, lambda b, i: F.transform(b, lambda x: (x + before(e, i)).cast("int")))))
+        ends = _running(F.transform(blocks, lambda b: F.coalesce(F.get(b, F.size(b) - 1), zero)), 0, add)
+        before = lambda e, i: F.coalesce(F.get(e, i - 1), zero)
+        return bind(ends, lambda e: F.flatten(F.transform(blocks, lambda b, i: F.transform(b, lambda x: add(before(e, i), x).cast("int")))))
 
+    few = F.transform(folded(values), lambda x: x.cast("int"))
+    if not block:
+        return few
     starts = F.sequence(F.lit(1), F.greatest(F.size(values), F.lit(1)), F.lit(block))
-    out = bind(F.transform(starts, lambda at: sums(F.slice(values, at, F.lit(block)))), shifted)
-    few = F.transform(sums(values), lambda x: x.cast("int"))
+    out = bind(F.transform(starts, lambda at: folded(F.slice(values, at, F.lit(block)))), shifted)
     return F.when(F.size(values) == 0, F.array().cast("array<int>")).when(F.size(values) <= block, few).otherwise(out)
 
 
+def running_sum(values: Column, block: int = BLOCK) -> Column:
+    """Array of the sums of an integer array up to each place."""
+    return _running(values, block, lambda a, x: a + x)
+
+
+def running_max(values: Column, block: int = BLOCK) -> Column:
+    """Array of the greatest of the values, none below 0, of an integer array up to each place."""
+    return _running(values, block, lambda a, x: F.greatest(a, x.cast("long")))
+
+
+def text_blocks(c: Column) -> Column:
+    """c in parts of TEXT_BLOCK characters, for cut; made once, so that cutting doesn't count characters from the start each time."""
+    return F.regexp_extract_all(c, F.lit(f"(?s).{{1,{TEXT_BLOCK}}}"), F.lit(0))
+
+
+def cut(blocks: Column, at: Column, size: Column) -> Column:
+    """The characters from ``at`` (from 0) on of a text in blocks, at most ``size`` and none for a negative size."""
+    first, last = (at / TEXT_BLOCK).cast("int"), ((at + size - 1) / TEXT_BLOCK).cast("int")
+    few = F.slice(blocks, first + 1, F.greatest(last - first + 1, F.lit(0)))
+    return F.when(size > 0, F.substring(F.array_join(few, ""), at - first * TEXT_BLOCK + 1, size)).otherwise("")
+
+
 def match_places(c: Column, pattern: str) -> Column:
     """Array of (at, text) of every match, at counted from 0 in code points."""
 
@@ -64,20 +93,21 @@ def match_places(c: Column, pattern: str) -> Column:
 
 def year_mentions(c: Column, side: int = 32) -> Column:
     """Array of (at, year, context) of every year from 1900 to 2099 that stands alone; context has ``side`` characters either way."""
-    return F.transform(
-        match_places(c, YEAR),
-        lambda m: F.struct(
-            m["at"].alias("at"),
-            m["text"].alias("year"),
-            F.substring(
-                c, F.greatest(m["at"] - side, F.lit(0)) + 1, F.least(m["at"], F.lit(side)) + F.length(m["text"]) + side
-            ).alias("context"),
-        ),
-    )
+
+    def with_context(found: Column) -> Column:
+        def built(blocks: Column) -> Column:
+            low = lambda m: F.greatest(m["at"] - side, F.lit(0))
+            whole = lambda m: F.least(m["at"], F.lit(side)) + F.length(m["text"]) + side
+            return F.transform(found, lambda m: F.struct(m["at"].alias("at"), m["text"].alias("year"), cut(blocks, low(m), whole(m)).alias("context")))
+
+        none = F.array().cast("array<struct<at:int,year:string,context:string>>")
+        return F.when(F.size(found) == 0, none).otherwise(bind(text_blocks(c), built))
+
+    return bind(match_places(c, YEAR), with_context)
 
 
 def classify_year(context: Column, year: Column, target: int, keep=KEEP_PATTERNS, update=UPDATE_PATTERNS) -> Column:
-    """Struct of decision (KEEP, UPDATE, REVIEW) and confidence; keep patterns win over update patterns."""
+    """Struct of decision (KEEP, UPDATE, REVIEW), confidence and reason; keep patterns win over update patterns."""
 
     def any_of(patterns) -> Column:
         out = F.lit(False)
@@ -90,7 +120,8 @@ def classify_year(context: Column, year: Column, target: int, keep=KEEP_PATTERNS
     kept, updated = any_of(keep), any_of(update)
     decision = F.when(late | kept, "KEEP").when(updated, "UPDATE").otherwise("REVIEW")
     confidence = F.when(late, 1.0).when(kept | updated, 0.95).otherwise(0.5)
-    return F.struct(decision.alias("decision"), confidence.alias("confidence"))
+    reason = F.when(late, "target year or later").when(kept, "context of a fixed record").when(updated, "context of the present").otherwise("context says too little")
+    return F.struct(decision.alias("decision"), confidence.alias("confidence"), reason.alias("reason"))
 
 
 def normalise_decision(decision: Column, confidence: Column, threshold: float = 0.85) -> Column:
@@ -102,31 +133,35 @@ def normalise_decision(decision: Column, confidence: Column, threshold: float =
 
 
 def splice(c: Column, spans: Column) -> Column:
-    """c with each (at, size, text) of spans, in ascending order without overlaps, replaced by text."""
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    """c with each (at, size, text) of spans, in ascending order without overlaps, replaced by text. Each gap is cut once, the parts joined once."""
 
-    def step(done: Column, x: Column) -> Column:
-        gap = F.substring(c, done["at"] + 1, x["at"] - done["at"])
-        return F.struct((x["at"] + x["size"]).alias("at"), F.concat(done["out"], gap, x["text"]).alias("out"))
+    def built(spans: Column, blocks: Column) -> Column:
+        end = lambda i: F.coalesce(F.get(spans, i)["at"] + F.get(spans, i)["size"], F.lit(0))
+        parts = F.transform(spans, lambda x, i: F.concat(cut(blocks, end(i - 1), x["at"] - end(i - 1)), x["text"]))
+        rest = end(F.size(spans) - 1)
+        return F.concat(F.array_join(parts, ""), cut(blocks, rest, F.length(c) - rest))
 
-    return F.aggregate(spans, start, step, lambda done: F.concat(done["out"], F.substring(c, done["at"] + 1, F.length(c))))
+    return bind(spans, lambda x: F.when(F.size(x) == 0, c).otherwise(bind(text_blocks(c), lambda b: built(x, b))))
 
 
-def rewrite_years(c: Column, target: int, keep=KEEP_PATTERNS, update=UPDATE_PATTERNS, threshold: float = 0.85, classifier=None) -> Column:
-    """Struct of the text with updated years and of the decisions (source, replacement, context, decision, confidence).
+def rewrite_years(c: Column, target: int, keep=KEEP_PATTERNS, update=UPDATE_PATTERNS, threshold: float = 0.85, classifier=None, explains: bool = False) -> Column:
+    """Struct of the text with updated years and of the decisions (source, replacement, context, decision, confidence, reason).
 
-    classifier maps (context, year) to a struct of decision and confidence; the default is classify_year.
+    classifier maps (context, year) to a struct of decision and confidence, and of reason if it ``explains``; the default is
+    classify_year. A year that is not before the target stays, whatever the classifier says.
     """
 
     def decide(m: Column) -> Column:
         raw = classifier(m["context"], m["year"]) if classifier else classify_year(m["context"], m["year"], target, keep, update)
 
         def judged(r: Column) -> Column:
-            d = normalise_decision(F.when(m["year"].cast("int") >= target, "KEEP").otherwise(r["decision"]), r["confidence"], threshold)
+            late = m["year"].cast("int") >= target
+            d = normalise_decision(F.when(late, "KEEP").otherwise(r["decision"]), r["confidence"], threshold)
+            reason = F.when(late, "target year or later").otherwise(F.coalesce(r["reason"], F.lit("")) if explains or not classifier else F.lit("said by the classifier"))
             new = F.when(d["decision"] == "UPDATE", F.lit(str(target))).otherwise(m["year"])
             return F.struct(
                 m["at"].alias("at"), m["year"].alias("source"), new.alias("replacement"), m["context"].alias("context"),
-                d["decision"].alias("decision"), d["confidence"].alias("confidence"),
+                d["decision"].alias("decision"), d["confidence"].alias("confidence"), reason.alias("reason"),
             )
 
         return bind(raw, judged)
@@ -139,12 +174,14 @@ def rewrite_years(c: Column, target: int, keep=KEEP_PATTERNS, update=UPDATE_PATT
     return bind(F.transform(year_mentions(c), decide), build)
 
 
+def distinct_sorted(a: Column) -> Column:
+    """The sorted distinct elements; unlike array_distinct in n log n also for structs."""
+    return bind(F.array_sort(a), lambda x: F.filter(x, lambda v, i: (i == 0) | (v != F.get(x, i - 1))))
+
+
 def union_spans(*arrays: Column) -> Column:
     """Distinct spans of several arrays, sorted."""
-    out = arrays[0]
-    for a in arrays[1:]:
-        out = F.array_union(out, a)
-    return F.array_sort(F.array_distinct(out))
+    return distinct_sorted(F.concat(*arrays))
 
 
 def date_year_spans(c: Column, target: int) -> Column:
@@ -172,7 +209,7 @@ def date_year_spans(c: Column, target: int) -> Column:
     )
     both = union_spans(full, F.transform(match_places(c, YEAR_MONTH), span), tail)
     early = F.filter(both, lambda s: s["year"] < target)
-    return F.array_sort(F.array_distinct(F.transform(early, lambda s: F.struct(s["at"].alias("at"), s["stop"].alias("stop")))))
+    return distinct_sorted(F.transform(early, lambda s: F.struct(s["at"].alias("at"), s["stop"].alias("stop"))))
 
 
 def date_years(c: Column, target: int) -> Column:
