@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from parchment.functions.years import running_sum
+from parchment.functions.years import cut, running_max, running_sum, text_blocks
 from parchment.llm.quality_rules import bind
 from parchment.llm.storage import materialize
 
@@ -111,14 +111,15 @@ def scan_secrets(
     owners = owners.groupBy("value").agg(F.count("*").alias("owners"), F.sum("repos").alias("repos"))
     copied = (F.col("owners") >= shared_from) | ((F.col("owners") > 1) & (F.col("repos") >= copied_from))
     judged = each.join(owners.select("value", (~copied).alias("live")), "value")
-    spans = judged.groupBy("rid").agg(F.collect_list(F.struct("span.start", "span.rank", "span.stop", "span.kind", "live")).alias("all"))
-    n_base = len(base)
-    firm = F.filter("all", lambda x: x["rank"] < n_base)
-    extra = F.filter(
-        "all",
-        lambda x: (x["rank"] >= n_base) & x["live"] & ~F.exists(firm, lambda b: (b["start"] < x["stop"]) & (x["start"] < b["stop"])),
-    )
-    spans = spans.select("rid", F.array_sort(F.concat(firm, extra)).alias("spans"))
+    # a base span that begins before an added one overlaps it if it goes on beyond its start; one that begins later, if it begins before its end
+    is_base = F.col("span.rank") < len(base)
+    of_row = Window.partitionBy("rid")
+    earlier = of_row.orderBy("span.start", "span.rank").rowsBetween(Window.unboundedPreceding, -1)
+    later = of_row.orderBy(F.desc("span.start"), F.desc("span.rank")).rowsBetween(Window.unboundedPreceding, -1)
+    judged = judged.withColumn("reach", F.max(F.when(is_base, F.col("span.stop"))).over(earlier)).withColumn("next", F.min(F.when(is_base, F.col("span.start"))).over(later))
+    alone = F.coalesce(F.col("reach") <= F.col("span.start"), F.lit(True)) & F.coalesce(F.col("next") >= F.col("span.stop"), F.lit(True))
+    kept = F.when(is_base | (F.col("live") & alone), F.struct("span.start", "span.rank", "span.stop", "span.kind", "live"))
+    spans = judged.groupBy("rid").agg(F.array_sort(F.collect_list(kept)).alias("spans"))
     columns = ["rid", "id", "owner", *(["doc"] if whole else [])]
     bare = table.where(F.size("spans") == 0).select(*columns, F.lit(None).cast(spans.schema["spans"].dataType).alias("spans"))
     return bare.unionByName(table.where(F.size("spans") > 0).select(*columns).join(spans, "rid"))
@@ -144,16 +145,16 @@ def secret_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 def _masked(text: Column, spans: Column, mark: str) -> Column:
-    """text with each span replaced; spans that overlap are one."""
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    """text with each of the sorted spans replaced; spans that overlap are one. Each gap is cut once, the parts joined once."""
 
-    def step(done: Column, x: Column) -> Column:
-        gap = F.substring(text, done["at"] + 1, F.greatest(x["start"] - done["at"], F.lit(0)))
-        out = F.when(x["start"] < done["at"], done["out"]).otherwise(F.concat(done["out"], gap, F.lit(mark)))
-        return F.struct(F.greatest(done["at"], x["stop"]).alias("at"), out.alias("out"))
+    def built(spans: Column, ends: Column, blocks: Column) -> Column:
+        end = lambda i: F.coalesce(F.get(ends, i), F.lit(0))
+        part = lambda x, i: F.when(x["start"] >= end(i - 1), F.concat(cut(blocks, end(i - 1), x["start"] - end(i - 1)), F.lit(mark))).otherwise("")
+        rest = end(F.size(spans) - 1)
+        return F.concat(F.array_join(F.transform(spans, part), ""), cut(blocks, rest, F.length(text) - rest))
 
-    rest = lambda done: F.concat(done["out"], F.substring(text, done["at"] + 1, F.greatest(F.length(text) - done["at"], F.lit(0))))
-    return F.aggregate(spans, start, step, rest)
+    stops = lambda s: running_max(F.transform(s, lambda x: x["stop"]))
+    return bind(spans, lambda s: bind(stops(s), lambda e: bind(text_blocks(text), lambda b: built(s, e, b))))
 
 
 def redact_secrets(

@@ -1,5 +1,6 @@
 import hashlib
 import re
+import time
 
 from parchment.llm.secrets import redact_secrets, secret_report
 
@@ -82,3 +83,21 @@ def test_many_matches(table):
     n = 20_000
     (row,) = secret_report(table([(1, "token=abcdef " * n, "s")])).collect()
     assert row.n_assign == n and row.spans.endswith(f"assign:{13 * (n - 1)}:{13 * n - 1}")
+
+
+def test_many_spans_of_both_kinds(table):
+    """Base and added spans of one text, side by side and overlapping, are compared and masked in about linear time."""
+    n = 50_000
+    parts = [f"token=abc{i:06d} Zq8{i:06d}Zq8Zq8Zq8Zq8 " for i in range(n)]
+    began = time.perf_counter()
+    docs = table([(1, "".join(parts), "s")])
+    (row,) = secret_report(docs).collect()
+    assert (row.n_assign, row.spans.count("opaque:"), row.n_live) == (n, n, 2 * n)
+    (text,) = redact_secrets(docs).collect()
+    assert text.text == "<secret> <secret> " * n
+    assert time.perf_counter() - began < 40
+    over = "password=" + "aB3" * 9 + " x " + "aB3" * 8 + " AKIA" + "A1" * 9 + "z9" * 9
+    (row,) = secret_report(table([(1, over, "s")])).collect()
+    assert row.spans == "assign:0:36,opaque:39:63,access:64:86"
+    (text,) = redact_secrets(table([(1, over, "s")])).collect()
+    assert text.text == "<secret> x <secret> <secret>" + "z9" * 9
