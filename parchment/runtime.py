@@ -35,8 +35,19 @@ def shared_dir(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
+def _home(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/parchment/{spark.sparkContext.applicationId}"
+
+
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/parchment/{name}-{uuid.uuid4().hex}"
+    return f"{_home(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def sweep(spark: SparkSession) -> bool:
+    """Delete all intermediate tables of this application. Call it when the results that read them are written; True if there were any."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(_home(spark))
+    return bool(path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True))
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:

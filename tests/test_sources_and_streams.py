@@ -100,3 +100,16 @@ def test_progress_streams(spark, tmp_path):
         q.awaitTermination(120)
     assert [(r.current, r.failures, r.status) for r in spark.table("progress_p").collect()] == [(9, 1, "LATE")]
     assert [r.current for r in spark.table("progress_w").collect()] == [3]
+
+
+def test_sweep(spark):
+    """Intermediate tables lie in one folder of the application, and go when it is swept."""
+    import pathlib
+
+    from parchment import runtime
+
+    table = runtime.materialize(spark.range(5).toDF("n"), "swept")
+    files = [pathlib.Path(f.removeprefix("file://").removeprefix("file:")) for f in table.inputFiles()]
+    assert table.count() == 5 and all(f.exists() and spark.sparkContext.applicationId in str(f) for f in files)
+    assert runtime.sweep(spark) and not any(f.exists() for f in files)
+    assert runtime.materialize(spark.range(3).toDF("n"), "again").count() == 3
