@@ -56,6 +56,12 @@ def _cut(entries: DataFrame, budget: float) -> tuple | None:
     return upto.where(F.col("upto") <= budget).agg(F.max(F.struct("finish", "skey"))).first()[0]
 
 
+def turn_of(doc_id: Column, text: Column, seed: str = "mix") -> Column:
+    """The shuffle key of a document: MD5 of seed and id, or of the text where the id is null."""
+    nameless = F.concat(F.lit("text-"), F.md5(F.coalesce(text, F.lit(""))))
+    return F.md5(F.concat(F.lit(seed + "-"), F.coalesce(doc_id.cast("string"), nameless)))
+
+
 def weighted_mix(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -65,8 +71,9 @@ def weighted_mix(
     budget: float = 1.5,
     passes: int = 2,
     seed: str = "mix",
+    with_turn: bool = False,
 ) -> DataFrame:
-    """One row per document: id, source, size, source_size, target and taken (words the mix takes, repeats counted).
+    """One row per document: id, source, size, source_size, target and taken (words the mix takes, repeats counted); turn, its shuffle key, on demand.
 
     Each source queues its documents ``passes`` times, each time in the same shuffled order (MD5 of seed and id).
     An entry's virtual finish time is the source's running words divided by its target; all entries are range-sorted by
@@ -78,14 +85,12 @@ def weighted_mix(
     entries of their own, one behind the other, so the mix may take one of them and not the next; finish times in a
     source differ, and equal ones of two sources go by source. An empty table gives no rows. Other columns are ignored.
     """
-    nameless = F.concat(F.lit("text-"), F.md5(F.coalesce(F.col(text_col), F.lit(""))))
-    turn = F.md5(F.concat(F.lit(seed + "-"), F.coalesce(F.col(id_col).cast("string"), nameless)))
     base = docs.select(
         F.col(id_col).alias("id"),
         F.col(source_col).alias("source"),
         F.coalesce(F.concat(F.lit("s"), F.col(source_col)), F.lit("")).alias("skey"),
         F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
-        turn.alias("turn"),
+        turn_of(F.col(id_col), F.col(text_col), seed).alias("turn"),
     )
     base = materialize(base, "mix")
     digits = max(0, math.ceil(math.log(max(base.count(), 1) / SLICE_ROWS, 16)))
@@ -112,7 +117,7 @@ def weighted_mix(
 
     taken = F.col("size") * sum((fits(i) for i in range(1, passes)), fits(0))
     return queue.select(
-        F.col("id").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target", taken.alias("taken")
+        F.col("id").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target", taken.alias("taken"), *(["turn"] if with_turn else [])
     )
 
 

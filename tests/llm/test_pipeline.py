@@ -76,3 +76,67 @@ def test_encode_stage(spark, documents, awkward, sf):
         got = sorted(((r.doc_id, r.text, r.pieces, r.round_trip) for r in rows), key=key)
         assert got == want and all(r.n_pieces == len(r.pieces) for r in rows)
     assert [r.round_trip for r in rows if r.doc_id == 7] == [False]
+
+
+def test_null_ids_are_many_keys(spark, table, sf):
+    """Rows without ids are told apart by their texts, so no task gets them all."""
+    docs = table([(None, " ".join(f"w{i}x{j}" for j in range(10)), "ab"[i % 2]) for i in range(400)])
+    taken = weighted_mix(docs, with_turn=True)
+    assert taken.select("turn").distinct().count() == 400
+    got = corpus_pipeline.mix(spark, docs, sf).collect()
+    assert len(got) * 10 == taken.agg({"taken": "sum"}).first()[0]
+    want = sorted((r.turn, r.taken // r.size) for r in taken.where("taken > 0").collect())
+    from collections import Counter
+
+    from parchment.llm.mixing import turn_of
+
+    turns = {r.text: r.turn for r in docs.select("text", turn_of(docs.doc_id, docs.text).alias("turn")).collect()}
+    assert sorted(Counter(turns[r.text] for r in got).items()) == want
+
+
+def test_whole_run_against_plain_version(spark, sf):
+    """run() on the smallest tables, stage by stage in plain Python from what the operators' own reports say of the same rows."""
+    sentencepiece = pytest.importorskip("sentencepiece")
+    whole = sentencepiece.SentencePieceProcessor(model_file=MODEL)
+    from parchment.llm.secrets import scan_secrets
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    good = {r.doc_id for r in quality_scores(docs, spark.read.parquet(f"{sf}/labels.parquet")).where("predicted = 1").collect()}
+    rows = {r.doc_id: r for r in docs.collect() if r.doc_id in good}
+
+    def shingles(text):
+        import re
+
+        words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+        return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+    sets, kept = {i: shingles(r.text) for i, r in rows.items()}, {}
+    root = {i: i for i in rows}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    order = sorted(rows)
+    for a, i in enumerate(order):
+        for j in order[:a]:
+            both = len(sets[i] & sets[j])
+            if both and 100 * both >= 75 * len(sets[i] | sets[j]):
+                x, y = sorted((find(i), find(j)))
+                root[y] = x
+    kept = [rows[i] for i in order if find(i) == i]
+    frame = spark.createDataFrame(kept, docs.schema)
+    masked = {}
+    for r in scan_secrets(frame, whole=True).collect():
+        text, end, out = r.doc.text, 0, ""
+        for s in sorted((s for s in r.spans or () if s.live), key=lambda s: s.start):
+            if s.start >= end:
+                out += text[end : s.start] + "<secret>"
+            end = max(end, s.stop)
+        masked[r.id] = out + (text or "")[end:] if end else text
+    frame = spark.createDataFrame([r.asDict() | {"text": masked[r.doc_id]} for r in kept], docs.schema)
+    want = sorted((r.doc_id, masked[r.doc_id]) for r in weighted_mix(frame).collect() for _ in range(r.taken // r.size if r.size else 0))
+    out = corpus_pipeline.run(spark, sf).collect()
+    assert sorted((r.doc_id, r.text) for r in out) == [(i, whole.decode(whole.encode(t))) for i, t in want]
+    assert all(r.pieces == whole.encode(masked[r.doc_id]) for r in out)
