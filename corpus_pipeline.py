@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from parchment.llm.mixing import weighted_mix
+from parchment.llm.mixing import turn_of, weighted_mix
 from parchment.llm.near_dedup import near_duplicates
 from parchment.llm.pieces import decode_documents, encode_documents
 from parchment.llm.quality_classifier import fit_quality, statistics
@@ -51,15 +51,15 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it: not at all, once or twice.
 
-    Null and wordless texts have size 0 and are never taken. Rows with the same id and size (repeated rows, or null ids)
-    take in order of their text's hash what the mix takes of such rows, the greatest first, so their sum is kept. Ties are
-    as weighted_mix says. An empty table gives no rows; other columns stay as they are.
+    Null and wordless texts have size 0 and are never taken. Rows with the same id, or without an id the same text, and the
+    same size take in order of their text's hash what the mix takes of such rows, the greatest first, so their sum is kept.
+    Ties are as weighted_mix says. An empty table gives no rows; other columns stay as they are.
     """
-    taken = weighted_mix(docs).where("taken > 0").select(F.struct("doc_id", "size").alias("__key"), F.expr("taken div size").alias("n"))
+    taken = weighted_mix(docs, with_turn=True).where("taken > 0").select(F.struct("turn", "size").alias("__key"), F.expr("taken div size").alias("n"))
     # of the rows with a key, how many the mix takes at least once and twice: the first rows are those
     taken = taken.groupBy("__key").agg(F.count("*").alias("__once"), F.count_if(F.col("n") > 1).alias("__twice"))
     size = F.regexp_count(F.col("text"), F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
-    rows = docs.select(F.struct(*docs.columns).alias("__row"), F.struct("doc_id", size.alias("size")).alias("__key"), F.xxhash64("text").alias("__hash"))
+    rows = docs.select(F.struct(*docs.columns).alias("__row"), F.struct(turn_of(F.col("doc_id"), F.col("text")).alias("turn"), size.alias("size")).alias("__key"), F.xxhash64("text").alias("__hash"))
     # numbered and joined by the same key, so that texts are exchanged once
     place = F.row_number().over(Window.partitionBy("__key").orderBy("__hash"))
     both = rows.where("__key.size > 0").withColumn("__place", place).join(taken, "__key").where("__place <= __once")
@@ -89,7 +89,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents, each written and read again by the next."""
+    """All stages over documents, each written and read again by the next. parchment.runtime.sweep deletes their tables once the result is written."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for i, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
