@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from parchment.functions.text import MANUAL_LABELS, is_label
 from parchment.functions.years import rewrite_years
 from parchment.operators import comments, gates, inventory, ordered, paragraphs, review, similarity
+from parchment.runtime import materialize
 
 #: fixed values: option phrases and the title keywords that justify them
 CATEGORY_RULES = [
@@ -68,13 +69,24 @@ def content_preflight(docs: DataFrame, samples: DataFrame, target: int, can_rewr
 
 
 def comment_audit(paras: DataFrame, doc: str, order: str, text: str, ranges) -> tuple[DataFrame, DataFrame]:
-    """(findings, cleaned): comments of each document in the script, and its paragraphs without them and without doubled blanks."""
+    """(spans, cleaned): comments of each document in the script, and its paragraphs without them and without doubled blanks.
+
+    comments.comment_findings makes of these what a reviewer reads.
+    """
     spans = comments.comment_spans(comments.joined_text(paras, doc, order, text), doc, text, ranges)
     cut = comments.strip_spans(paras, spans.where("kind <> 'uncertain'"), doc, order, text)
     cleaned = paragraphs.collapse_blanks(cut, doc, order, text, "emptied")
     return spans, cleaned
 
 
+def comment_findings(paras: DataFrame, doc: str, order: str, text: str, ranges) -> DataFrame:
+    """The findings of comment_audit: paragraphs that lose comments, with their text before and after, and unclear places with a reason."""
+    spans = comments.comment_spans(comments.joined_text(paras, doc, order, text), doc, text, ranges)
+    spans = materialize(spans, "spans")
+    cut = comments.strip_spans(paras, spans.where("kind <> 'uncertain'"), doc, order, text)
+    return comments.comment_findings(paras, spans, cut, doc, order, text)
+
+
 def unified_run(stages: str, results: dict[str, DataFrame]) -> DataFrame:
     """(stage, documents, failed, deletions, status) of the chosen stages, from their document rows (status, deletions)."""
     out = None
