@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from parchment.llm import kernels as K
 from parchment.llm.components import star_components
 from parchment.llm.storage import materialize
-from parchment.runtime import ship
+from parchment.runtime import lean, ship
 
 #: rows of a bucket that one task compares with another such block at once
 BLOCK_ROWS = 256
@@ -213,11 +213,11 @@ def near_duplicates(
     ship(docs.sparkSession)
     src = docs.select(F.col(id_col).cast("long").alias("rid"), F.col(text_col).alias("text"))
     schema = "rid long, n long, key1 long, key2 long, sig binary"
-    sketch = materialize(src.mapInArrow(_sketcher(width, signature), schema), "sketch")
+    sketch = materialize(src.mapInArrow(lean(_sketcher(width, signature)), schema), "sketch")
     full = sketch.where("n > 0 and rid is not null")
     same = full.groupBy("n", "key1", "key2").agg(F.min("rid").alias("rep"), F.min("sig").alias("sig"))
     same = materialize(same, "sets")
-    keys = same.select(F.col("rep").alias("rid"), "sig").mapInArrow(_keyer(signature), "key long, rid long")
+    keys = same.select(F.col("rep").alias("rid"), "sig").mapInArrow(lean(_keyer(signature)), "key long, rid long")
 
     shared = keys.groupBy("key").agg(F.min("rid").alias("low"), F.max("rid").alias("high")).where("low < high")
     member = materialize(keys.join(shared.select("key", "low"), "key"), "buckets")
@@ -225,17 +225,17 @@ def near_duplicates(
 
     sigs = same.select(F.col("rep").alias("rid"), "n", "sig")
     both = pairs.join(sigs.toDF("u", "nu", "su"), "u").join(sigs.toDF("v", "nv", "sv"), "v")
-    pairs = materialize(both.mapInArrow(_likely(signature, percent), "u long, v long"), "pairs")
+    pairs = materialize(both.mapInArrow(lean(_likely(signature, percent)), "u long, v long"), "pairs")
 
     def shingle_sets(ids: DataFrame) -> DataFrame:
         """Full sets of the ids. Up to MOST_IDS of them are broadcast; beyond that the texts are exchanged."""
         ids = F.broadcast(ids) if ids.count() <= MOST_IDS else ids
         some = src.where("rid is not null").join(ids, "rid", "left_semi")
-        return materialize(some.mapInArrow(_sketcher(width, None), "rid long, shingles binary"), "shingles")
+        return materialize(some.mapInArrow(lean(_sketcher(width, None)), "rid long, shingles binary"), "shingles")
 
     sets = shingle_sets(materialize(pairs.select(F.explode(F.array("u", "v")).alias("rid")).distinct(), "ids"))
     paired = pairs.join(sets.toDF("u", "su"), "u").join(sets.toDF("v", "sv"), "v")
-    links = materialize(paired.select("u", "v", "su", "sv").mapInArrow(_verifier(percent), "u long, v long"), "links")
+    links = materialize(paired.select("u", "v", "su", "sv").mapInArrow(lean(_verifier(percent)), "u long, v long"), "links")
     first = materialize(star_components(links), "components")
 
     member = member.join(first.withColumnRenamed("node", "rid"), "rid", "left").select("key", "rid", F.coalesce("component", "rid").alias("comp"))

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from parchment.llm.storage import materialize
-from parchment.runtime import ship
+from parchment.runtime import lean, ship
 
 #: a public BPE model with byte fallback; any model of the library may stand in its place
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -316,14 +316,14 @@ def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     binary, digest_of = read_model(model), _exact_digest if exact else _digest
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     length = F.length(F.coalesce("text", F.lit("")))
-    short = rows.where(length < chunk).mapInArrow(_encode(binary, digest_of), "id long, n_chars long, digest string, pieces array<int>")
+    short = rows.where(length < chunk).mapInArrow(lean(_encode(binary, digest_of)), "id long, n_chars long, digest string, pieces array<int>")
     giant = rows.where(length >= chunk).select(F.monotonically_increasing_id().alias("rid"), "id", "text")
     schema = "rid long, id long, n_chars long, digest string, chunk int, text string, low int, high int"
-    giant = materialize(giant.mapInArrow(_split(binary, chunk, digest_of), schema).repartition("rid", "chunk"), "chunks")
-    matrix = giant.mapInArrow(_transfers(binary), "rid long, chunk int, reach int, last string, to_reach int, to_last string, weight double")
+    giant = materialize(giant.mapInArrow(lean(_split(binary, chunk, digest_of)), schema).repartition("rid", "chunk"), "chunks")
+    matrix = giant.mapInArrow(lean(_transfers(binary)), "rid long, chunk int, reach int, last string, to_reach int, to_last string, weight double")
     paths = matrix.groupBy("rid").applyInArrow(_paths, "rid long, chunk int, skip int, over int")
     traced = giant.join(paths, ["rid", "chunk"]).select("rid", "id", "n_chars", "digest", "chunk", "text", "low", "high", "skip", "over")
-    traced = traced.mapInArrow(_backtrace(binary), "rid long, id long, n_chars long, digest string, chunk int, ids array<int>")
+    traced = traced.mapInArrow(lean(_backtrace(binary)), "rid long, id long, n_chars long, digest string, chunk int, ids array<int>")
     whole = traced.groupBy("rid", "id", "n_chars", "digest").agg(F.array_sort(F.collect_list(F.struct("chunk", "ids"))).alias("all"))
     whole = whole.select("id", "n_chars", "digest", F.flatten("all.ids").alias("pieces"), F.size("all").alias("chunks"))
     out = short.withColumn("chunks", F.lit(1)).unionByName(whole)
@@ -362,7 +362,7 @@ def decode_documents(encoded: DataFrame, model: str = MODEL) -> DataFrame:
     ship(encoded.sparkSession)
     rest = encoded.drop("pieces", "text")
     schema = T.StructType([*rest.schema.fields, T.StructField("text", T.StringType())])
-    return encoded.select(*rest.columns, "pieces").mapInArrow(_decode(read_model(model), True), schema)
+    return encoded.select(*rest.columns, "pieces").mapInArrow(lean(_decode(read_model(model), True)), schema)
 
 
 def piece_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str = MODEL, chunk: int = CHUNK) -> DataFrame:
@@ -373,6 +373,6 @@ def piece_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     encoded = encode_documents(docs, id_col, text_col, model, chunk)
     rest = encoded.drop("pieces")
     schema = T.StructType([*rest.schema.fields, *T._parse_datatype_string("n_pieces long, pieces_sha256 string, decoded string").fields])
-    checked = encoded.select(*rest.columns, "pieces").mapInArrow(_decode(read_model(model), False), schema)
+    checked = encoded.select(*rest.columns, "pieces").mapInArrow(lean(_decode(read_model(model), False)), schema)
     same = (F.col("decoded") == F.col("digest")).alias("round_trip")
     return checked.select(id_col, "n_chars", "n_pieces", "chunks", "pieces_sha256", same)
