@@ -2,15 +2,10 @@
 
 from __future__ import annotations
 
-import difflib
-from collections.abc import Iterator
-
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from parchment.functions.text import fold
-from parchment.runtime import ship
 
 #: fixed values: stages in their canonical order
 STAGES = ("manual", "code", "txt")
@@ -92,26 +87,6 @@ def plan_actions(rules=COVER_RULES) -> Column:
     return F.array_distinct(F.array_compact(F.array(*[F.when(F.coalesce(F.expr(test), F.lit(False)), F.lit(action)) for test, action in rules])))
 
 
-def _opcodes(before: str, after: str) -> list[dict]:
-    ops = difflib.SequenceMatcher(None, before, after, autojunk=False).get_opcodes()
-    return [{"op": tag, "before": before[a:b], "after": after[c:d]} for tag, a, b, c, d in ops]
-
-
-def text_diff(pairs: DataFrame, key: str, before: str, after: str) -> DataFrame:
-    """pairs' key with changes, an array of (op, before, after), and their edit distance. Null texts are empty."""
-    kind = pa.list_(pa.struct([("op", pa.string()), ("before", pa.string()), ("after", pa.string())]))
-
-    def diff(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ops = [_opcodes(a or "", b or "") for a, b in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ops, kind), batch.column(3)], [key, "changes", "distance"])
-
-    ship(pairs.sparkSession)
-    far = F.levenshtein(F.coalesce(before, F.lit("")), F.coalesce(after, F.lit("")))
-    rows = pairs.select(key, before, after, far.alias("distance"))
-    return rows.mapInArrow(diff, f"{key} {dict(pairs.dtypes)[key]}, changes array<struct<op:string,before:string,after:string>>, distance int")
-
-
 def review_table(audit: DataFrame, results: DataFrame, issues: DataFrame, accepted: tuple[str, ...], folder: str = "folder", name: str = "name", final: str = "final") -> DataFrame:
     """One row a project: index (folded folder order), its errors after attribution, and pass or fail of its final label."""
     from parchment.functions.text import result_status

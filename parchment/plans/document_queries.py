@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from parchment.functions import text as X
-from parchment.operators import gates, inventory, paragraphs, review, similarity
+from parchment.operators import diff, gates, inventory, paragraphs, review, similarity
 from parchment.plans.registry import Tables, query
 
 #: a vocabulary of frequent words by language, in place of one of trades
@@ -198,6 +198,34 @@ def field_repair(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", X.repair_field(F.col("text")).alias("r")).select("doc_id", "r.*")
 
 
+@query("""
+WITH r AS (SELECT doc_id, text AS before, regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '(?m)^\\s*[0-9]+[.)、]\\s*', '', 'g'), '[()（）]', ',', 'g'), '["“”]', '', 'g'),
+    '(,),+|(\\.)\\.+|(;);+|(:):+|(!)!+|(\\?)\\?+', '\\1\\2\\3\\4\\5\\6', 'g') AS after FROM documents)
+SELECT doc_id, before, after, true AS shrinks FROM r WHERE before <> after
+""")
+def repair_changes(t: Tables) -> DataFrame:
+    """What field repair changes in a text, and both texts as the changes give them: repairs never make a text longer."""
+    pairs = t.documents.select("doc_id", "text", X.repair_field(F.col("text"))["text"].alias("repaired")).where("text <> repaired")
+    out = diff.text_diff(pairs, "doc_id", "text", "repaired")
+    side = lambda name: F.array_join(F.transform("changes", lambda x: x[name]), "")
+    shrinks = F.forall("changes", lambda x: F.length(x["after"]) <= F.length(x["before"]))
+    return out.select("doc_id", side("before").alias("before"), side("after").alias("after"), (shrinks & (F.col("edits") > 0)).alias("shrinks"))
+
+
+@query("""
+WITH w AS (SELECT conv_id, turn, list_distinct(list_transform(regexp_extract_all(text, '[A-Za-z][A-Za-z0-9_-]+'), lambda x: lower(x))) AS s FROM conversations),
+p AS (SELECT conv_id, turn, s, lag(s) OVER (PARTITION BY conv_id ORDER BY turn) AS before FROM w)
+SELECT conv_id, turn, round(CASE WHEN len(s) = 0 OR len(before) = 0 THEN 0.0 ELSE len(list_intersect(s, before)) / sqrt((len(s) * len(before))::DOUBLE) END, 6)::DOUBLE AS likeness
+FROM p WHERE before IS NOT NULL
+""")
+def turn_likeness(t: Tables) -> DataFrame:
+    """Likeness of each turn to the one before, by the cosine of their word sets."""
+    rows = t.conversations.select("conv_id", "turn", X.semantic_tokens(F.col("text"), ("",)).alias("s"))
+    before = F.lag("s").over(Window.partitionBy("conv_id").orderBy("turn"))
+    rows = rows.withColumn("before", before).where("before is not null")
+    return rows.select("conv_id", "turn", F.round(X.set_cosine(F.col("s"), F.col("before")), 6).alias("likeness"))
+
+
 @query("""
 SELECT doc_id, CASE WHEN trim(text) <> '' AND list_bool_or(list_transform(regexp_extract_all(lang || ' ' || source, '[A-Za-z0-9]{2,}'),
          lambda x: contains(lower(text), lower(x)))) THEN 'relevant' ELSE 'unknown' END AS status,

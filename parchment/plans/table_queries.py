@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from parchment.functions import media, years
 from parchment.functions import text as X
-from parchment.operators import gates, inventory, paragraphs, recovery, review, similarity
+from parchment.operators import diff, gates, inventory, paragraphs, recovery, review, similarity
 from parchment.plans.registry import Tables, query
 from parchment.streaming.progress import progress_stream
 
@@ -229,7 +229,7 @@ def version_diff(t: Tables) -> DataFrame:
 @query()
 def text_diff(t: Tables) -> DataFrame:
     pairs = customer_notes(t, False).join(customer_notes(t, True).withColumnRenamed("note", "new_note"), "c_custkey")
-    return review.text_diff(pairs.where("note <> new_note"), "c_custkey", "note", "new_note")
+    return diff.text_diff(pairs.where("note <> new_note"), "c_custkey", "note", "new_note")
 
 
 EVENT_STEPS = "(json_extract_string(props, '$.k')::INTEGER)"

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from parchment.functions.text import HAN
-from parchment.operators import comments, gates, inventory, paragraphs, recovery, review, similarity, terms
+from parchment.operators import comments, diff, gates, inventory, paragraphs, recovery, review, similarity, terms
 from parchment.plans import jobs
 
 
@@ -263,7 +263,7 @@ def test_attribution(spark):
 
 
 def test_text_diff(spark):
-    (r,) = review.text_diff(spark.createDataFrame([(1, "abc", "axc")], "k int, a string, b string"), "k", "a", "b").collect()
+    (r,) = diff.text_diff(spark.createDataFrame([(1, "abc", "axc")], "k int, a string, b string"), "k", "a", "b").collect()
     assert [tuple(c) for c in r.changes] == [("equal", "a", "a"), ("replace", "b", "x"), ("equal", "c", "c")] and r.distance == 1
 
 
