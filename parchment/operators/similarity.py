@@ -73,6 +73,20 @@ class ReferenceIndex:
         common = np.bincount(np.repeat(text, n) * len(self.refs) + held, minlength=len(sizes) * len(self.refs)).reshape(len(sizes), -1)
         return common / np.sqrt(np.maximum(np.outer(sizes, self.sizes), 1).astype(np.float64))
 
+    def steps(self, sets: pa.ListArray, cells: int = 1_000_000) -> list[tuple[int, int]]:
+        """(first text, number of texts) of steps whose scores, and whose tokens times holders, are at most ``cells``, or that are one text."""
+        sizes = pc.list_value_length(sets).to_numpy()
+        at = pc.index_in(sets.flatten(), self.tokens).fill_null(-1).to_numpy()
+        n = np.where(at >= 0, self.starts[at + 1] - self.starts[at], 0)
+        ends = np.append(0, np.cumsum(n))[np.append(0, np.cumsum(sizes))]
+        out, i, wide = [], 0, max(1, cells // len(self.refs))
+        while i < len(sizes):
+            stop = int(np.searchsorted(ends, ends[i] + cells, "right")) - 1
+            stop = min(max(stop, i + 1), i + wide, len(sizes))
+            out.append((i, stop - i))
+            i = stop
+        return out
+
     def best(self, sets: pa.ListArray, own: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Score of each text's own reference, the greatest other score and its reference, or -1; ties go to the higher one."""
         scores, mine = self.scores(sets), pc.index_in(own, self.names).fill_null(-1).to_numpy()
@@ -91,9 +105,8 @@ def _scored_by(shared: Broadcast, ref_type: pa.DataType):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = shared.value
-        step = max(1, 1_000_000 // len(index.refs))
         for batch in batches:
-            for i in range(0, batch.num_rows, step):
+            for i, step in index.steps(batch.column(2)):
                 rows, own, sets = batch.slice(i, step).columns
                 mine, other, place = index.best(sets, own)
                 found = index.refs.take(pa.array(place, mask=place < 0)).cast(ref_type)
@@ -102,30 +115,62 @@ def _scored_by(shared: Broadcast, ref_type: pa.DataType):
     return run
 
 
-def _scored_by_join(rows: DataFrame, sets: DataFrame) -> DataFrame:
-    """As _scored_by, by a join on tokens, for references of any number."""
-    a = rows.withColumn("id", F.monotonically_increasing_id())
-    a = materialize(a, "relevance")
-    each = a.select("id", F.explode("tokens").alias("token"), F.size("tokens").alias("x"))
-    held = sets.select("ref", "name", F.explode("tokens").alias("token"), F.size("tokens").alias("y"))
-    pairs = each.join(held, "token").groupBy("id", "ref", "name").agg(F.count("*").alias("common"), F.first("x").alias("x"), F.first("y").alias("y"))
-    score = F.col("common") / F.sqrt((F.col("x") * F.col("y")).cast("double"))
-    pairs = pairs.join(a.select("id", "own"), "id").select("id", "ref", score.alias("score"), (F.col("name") == F.col("own")).alias("mine"))
-    mine, other = F.max(F.when(F.col("mine"), F.col("score"))), F.max(F.when(~F.col("mine"), F.struct("score", "ref")))
-    best = pairs.groupBy("id").agg(mine.alias("own_score"), other.alias("other"))
-    out = a.select("id", "row").join(best, "id", "left")
-    none = F.lit(0.0)
-    return out.select("row", F.coalesce("own_score", none).alias("own_score"), F.coalesce("other.score", none).alias("best_other"), F.col("other.ref").alias("best_ref"))
+#: rarest tokens of a text that the first round looks up; each round reaches four times as far
+FIRST_TOKENS = 8
+
+
+def _scored_by_rounds(rows: DataFrame, sets: DataFrame, emitted: list[int] | None = None, first: int = FIRST_TOKENS) -> DataFrame:
+    """As _scored_by, for references of any number: the best other reference of each text by rounds over its tokens, the rarest first.
+
+    A reference y whose score with text x reaches t shares at least t * t * |x| tokens with it, as the score is at most sqrt(common / |x|).
+    So it holds one of the text's tokens but for the last ceil(t * t * |x|) - 1, the most frequent ones. Each round looks up the next
+    tokens of those texts whose best score so far doesn't rule them out, scores the references found in full, and raises the bound.
+    Frequent tokens are thus looked up only for texts that are like nothing. ``emitted`` gets the number of pairs of each round.
+    """
+    a = materialize(rows.withColumn("id", F.monotonically_increasing_id()), "relevance")
+    held = materialize(sets.select("ref", "name", F.explode("tokens").alias("token")), "tokens")
+    often = held.groupBy("token").agg(F.count("*").alias("often"))
+    each = a.select("id", F.explode("tokens").alias("token")).join(often, "token")
+    ranked = each.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("often", "token"))).alias("ranked"))
+    none = F.array().cast(ranked.schema["ranked"].dataType)
+    size = F.size("tokens")
+    share = F.size(F.array_intersect("tokens", "other")) / F.sqrt((size * F.size("other")).cast("double"))
+    names = sets.groupBy("name").agg(F.array_distinct(F.flatten(F.collect_list("tokens"))).alias("other"))
+    mine = F.when((size > 0) & (F.size("other") > 0), share)
+    state = a.join(ranked, "id", "left").join(names, a.own == names.name, "left").select("id", "own", "tokens", F.coalesce("ranked", none).alias("ranked"), mine.alias("own_score"))
+    kind = sets.schema["ref"].dataType.simpleString()
+    state = materialize(state.withColumn("best", F.lit(None).cast(f"struct<score: double, ref: {kind}>")), "scores")
+    score = F.coalesce("best.score", F.lit(0.0))
+    # a hair less, so that rounding rules out nothing
+    reach = F.size("ranked") + 1 - F.ceil(score * score * size * (1 - 1e-9)).cast("int")
+    low, high = 0, first
+    while True:
+        more = state.where((F.col("own").isNotNull()) & (F.size("ranked") > low) & (reach > low))
+        if more.isEmpty():
+            break
+        few = F.slice("ranked", F.lit(low + 1), F.least(reach, F.lit(high)) - low)
+        pairs = more.select("id", "own", F.explode(few).alias("x")).select("id", "own", F.col("x.token").alias("token")).join(held, "token")
+        pairs = materialize(pairs.where("name <> own").select("id", "ref").distinct(), "pairs")
+        if emitted is not None:
+            emitted.append(pairs.count())
+        scored = pairs.join(sets.select("ref", F.col("tokens").alias("other")), "ref").join(more.select("id", "tokens"), "id")
+        found = scored.groupBy("id").agg(F.max(F.struct(share.alias("score"), "ref")).alias("found"))
+        better = F.greatest("best", F.col("found").cast(f"struct<score: double, ref: {kind}>"))
+        state = materialize(state.join(found, "id", "left").withColumn("best", better).drop("found"), "scores")
+        low, high = high, 4 * high
+    zero = F.lit(0.0)
+    out = a.select("id", "row").join(state.select("id", "own_score", "best"), "id")
+    return out.select("row", F.coalesce("own_score", zero).alias("own_score"), F.coalesce("best.score", zero).alias("best_other"), F.col("best.ref").alias("best_ref"))
 
 
 def batch_relevance(
     texts: DataFrame, refs: DataFrame, key: str, own: str, ref: str, text: str, ref_text: str, stop: tuple[str, ...], most_tokens: int = MOST_TOKENS
 ) -> DataFrame:
-    """(key, own_score, best_other, best_ref, status, confidence) of each text against all references.
+    """(key, own_score, best_other, best_ref, status, confidence, reason) of each text against all references.
 
     texts have ``own``, the reference they belong to. Scores are common tokens over the geometric mean of the set sizes.
     Ties between others go to the higher reference. References with up to ``most_tokens`` tokens in all are broadcast as an
-    index, so that texts are scored where they are, without a shuffle; more are joined on tokens.
+    index, so that texts are scored where they are, without a shuffle; more are looked up by the rarest tokens first, see _scored_by_rounds.
 
     Null and blank texts score 0 and are unknown; long texts count whole. Rows that repeat a key are rows of their own; rows
     that repeat a reference are one with the tokens of all; null references are left out, and a text whose ``own`` is null
@@ -144,7 +189,7 @@ def batch_relevance(
         schema = StructType([rows.schema["row"], *(StructField(x, DoubleType()) for x in ("own_score", "best_other")), StructField("best_ref", sets.schema["ref"].dataType)])
         out = rows.mapInArrow(_scored_by(index, to_arrow_type(sets.schema["ref"].dataType)), schema)
     else:
-        out = _scored_by_join(rows, sets)
+        out = _scored_by_rounds(rows, sets)
     blank = F.col("row.blank")
     relevant = F.col("own_score") >= 0.08
     foreign = (F.col("best_other") >= 0.08) & (F.col("best_other") - F.col("own_score") >= 0.05)
@@ -153,7 +198,11 @@ def batch_relevance(
         F.when(blank, 0.0).when(relevant, F.least(F.lit(0.99), F.col("own_score") + 0.85))
         .when(foreign, F.least(F.lit(0.99), F.col("best_other") + 0.86)).otherwise(0.4)
     )
-    return out.select(F.col("row.key").alias(key), "own_score", "best_other", "best_ref", status.alias("status"), confidence.alias("confidence"))
+    reason = (
+        F.when(blank, "no text").when(relevant, F.format_string("like its own reference (%.3f)", "own_score"))
+        .when(foreign, F.format_string("more like %s (%.3f) than its own reference (%.3f)", F.col("best_ref").cast("string"), "best_other", "own_score")).otherwise("too little in common with any")
+    )
+    return out.select(F.col("row.key").alias(key), "own_score", "best_other", "best_ref", status.alias("status"), confidence.alias("confidence"), reason.alias("reason"))
 
 
 def similar_to_first(media: DataFrame, key: str, order: str, hash_: str, max_dist: int = 6) -> DataFrame:

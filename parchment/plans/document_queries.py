@@ -138,13 +138,15 @@ s AS (SELECT t.doc_id, blank, coalesce(max(score) FILTER (item_id = own), 0.0) A
 SELECT doc_id, round(own_score, 6) AS own_score, round(best_other, 6) AS best_other, coalesce(other[2], -1) AS best_ref,
        CASE WHEN blank THEN 'unknown' WHEN own_score >= 0.08 THEN 'relevant' WHEN best_other >= 0.08 AND best_other - own_score >= 0.05 THEN 'irrelevant' ELSE 'unknown' END AS status,
        round(CASE WHEN blank THEN 0.0 WHEN own_score >= 0.08 THEN least(0.99, own_score + 0.85)
-             WHEN best_other >= 0.08 AND best_other - own_score >= 0.05 THEN least(0.99, best_other + 0.86) ELSE 0.4 END, 6)::DOUBLE AS confidence
+             WHEN best_other >= 0.08 AND best_other - own_score >= 0.05 THEN least(0.99, best_other + 0.86) ELSE 0.4 END, 6)::DOUBLE AS confidence,
+       CASE WHEN blank THEN 'no text' WHEN own_score >= 0.08 THEN 'like its own reference' WHEN best_other >= 0.08 AND best_other - own_score >= 0.05
+            THEN 'more like ' || other[2] ELSE 'too little in common with any' END AS reason
 FROM s
 """)
 def batch_relevance(t: Tables) -> DataFrame:
     docs = t.documents.select("doc_id", "text", F.pmod("doc_id", F.lit(40)).alias("own"))
     out = similarity.batch_relevance(docs, t.benchmark.withColumnRenamed("text", "ref_text"), "doc_id", "own", "item_id", "text", "ref_text", X.GENERIC_TERMS)
-    return out.select("doc_id", F.round("own_score", 6).alias("own_score"), F.round("best_other", 6).alias("best_other"), F.coalesce("best_ref", F.lit(-1)).alias("best_ref"), "status", F.round("confidence", 6).alias("confidence"))
+    return out.select("doc_id", F.round("own_score", 6).alias("own_score"), F.round("best_other", 6).alias("best_other"), F.coalesce("best_ref", F.lit(-1)).alias("best_ref"), "status", F.round("confidence", 6).alias("confidence"), F.regexp_replace("reason", r" \(.*", "").alias("reason"))
 
 
 @query("""
