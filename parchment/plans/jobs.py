@@ -71,9 +71,9 @@ def content_preflight(docs: DataFrame, samples: DataFrame, target: int, can_rewr
 def comment_audit(paras: DataFrame, doc: str, order: str, text: str, ranges) -> tuple[DataFrame, DataFrame]:
     """(spans, cleaned): comments of each document in the script, and its paragraphs without them and without doubled blanks.
 
-    comments.comment_findings makes of these what a reviewer reads.
+    The spans are written once, as both read them. comments.comment_findings makes of these what a reviewer reads.
     """
-    spans = comments.comment_spans(comments.joined_text(paras, doc, order, text), doc, text, ranges)
+    spans = materialize(comments.comment_spans(comments.joined_text(paras, doc, order, text), doc, text, ranges), "spans")
     cut = comments.strip_spans(paras, spans.where("kind <> 'uncertain'"), doc, order, text)
     cleaned = paragraphs.collapse_blanks(cut, doc, order, text, "emptied")
     return spans, cleaned

@@ -10,10 +10,10 @@ from pyspark.sql import functions as F
 
 from parchment.functions import text as X
 from parchment.operators import comments, inventory
-from parchment.plans import jobs
-from parchment.plans.document_queries import verdicts
+from parchment.plans import jobs, stages
+from parchment.plans.document_queries import GATES, verdicts
 from parchment.plans.registry import Tables, query
-from parchment.runtime import new_path
+from parchment.runtime import materialize, new_path
 from parchment.sources import files as S
 
 SUFFIXES = (".txt", "代码.docx", "代码.pdf", "说明.docx", ".zip", ".tar.gz", ".bak.tmp")
@@ -245,6 +245,34 @@ def zip_members(t: Tables) -> DataFrame:
     return rows.select("archive", "member_path", "level", F.when(~F.col("member_path").endswith(".zip"), F.sha2("content", 256)).alias("sha256"))
 
 
+@query("""
+SELECT page_id // 64 AS part, 'p' || page_id || '.html' AS member_path, 1 AS level, strlen(html)::BIGINT AS length, 1::BIGINT AS parts, sha256(sha256(html)) AS fingerprint FROM pages
+""")
+def zip_stream(t: Tables) -> DataFrame:
+    """Pages in archives of 64 in the shared folder, read back member by member."""
+    import pyarrow as pa
+    import pyarrow.fs
+
+    from parchment.runtime import ship
+
+    ship(t.spark)
+    root = new_path(t.spark, "archives")
+
+    def pack(rows: pa.Table) -> pa.Table:
+        where, inside = pyarrow.fs.FileSystem.from_uri(root if "://" in root else f"file://{root}")
+        where.create_dir(inside)
+        name = f"{inside}/{rows.column('part')[0]}.zip"
+        with where.open_output_stream(name) as raw, zipfile.ZipFile(raw, "w", zipfile.ZIP_DEFLATED) as out:
+            for r in rows.to_pylist():
+                out.writestr(f"p{r['page_id']}.html", r["html"])
+        return pa.table({"path": [f"{root}/{rows.column('part')[0]}.zip"]})
+
+    rows = t.pages.select(F.expr("page_id div 64").alias("part"), "page_id", "html")
+    paths = materialize(rows.groupBy("part").applyInArrow(pack, "path string"), "paths")  # written once
+    out = S.member_digests(S.stream_zip_members(paths, members_a_task=20))
+    return out.select(F.regexp_extract("archive", r"/([0-9]+)[.]zip$", 1).cast("long").alias("part"), "member_path", "level", "length", "parts", "fingerprint")
+
+
 @query("""
 SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'utf-8' WHEN 1 THEN 'utf-8-sig' WHEN 2 THEN 'utf-16' ELSE 'gb18030' END AS encoding,
        CASE page_id % 4 WHEN 3 THEN '汉字' ELSE html END AS text FROM pages
@@ -296,7 +324,11 @@ def package_audit(t: Tables) -> DataFrame:
     )
 
 
-@query()
+@query(f"""
+WITH g AS ({GATES.format(limit=0.2)}), d AS (SELECT doc_id % 100 AS project, count(*) AS texts FROM documents GROUP BY ALL)
+SELECT g.project::VARCHAR AS project, samples, relevant, irrelevant, blocked, fused, status, CASE WHEN status = 'PREFLIGHT_PASSED' THEN texts ELSE 0 END AS texts,
+       CASE WHEN status = 'PREFLIGHT_PASSED' THEN texts ELSE 0 END AS updated FROM g JOIN d ON g.project = d.project
+""")
 def content_preflight(t: Tables) -> DataFrame:
     samples = verdicts(t).withColumn("project", F.col("project").cast("string"))
     docs = t.documents.select(F.pmod("doc_id", F.lit(100)).cast("string").alias("project"), F.concat(F.lit("current 1998: "), "text").alias("text"))
@@ -317,6 +349,31 @@ def unified_run(t: Tables) -> DataFrame:
     return jobs.unified_run("code, manual", {"manual": manual, "code": code})
 
 
+@query(f"""
+WITH {URLS}, g AS ({GATES.format(limit=0.2)}),
+m AS (SELECT count(*) AS documents, (count(*) FILTER (status <> 'PREFLIGHT_PASSED') + count(*) FILTER (project % 17 = 0))::BIGINT AS failures FROM g),
+c AS (SELECT count(*) AS documents, count(*) FILTER (regexp_matches(p_name, '[a-z]')) AS deletions FROM part),
+f AS (SELECT count(*) AS documents FROM u WHERE role = 'txt')
+SELECT 0 AS position, 'manual' AS stage, CASE WHEN failures > 0 THEN 'PARTIAL' ELSE 'APPLIED' END AS status, documents, failures, 0::BIGINT AS deletions FROM m
+UNION ALL SELECT 1, 'code', 'APPLIED', documents, 0, deletions FROM c
+UNION ALL SELECT 2, 'txt', 'REGISTERED', documents, 0, 0 FROM f
+UNION ALL SELECT 3, 'total', CASE WHEN m.failures > 0 THEN 'DOCUMENT_PROCESSING_PARTIAL' ELSE 'DOCUMENT_PROCESSING_OK' END, m.documents + c.documents + f.documents, m.failures, c.deletions FROM m, c, f
+""")
+def combined_run(t: Tables) -> DataFrame:
+    """All stages, applied: projects of documents, parts as code with a comment each and here and there an open one, pages as files. The committed report."""
+    project = F.pmod("doc_id", F.lit(100)).cast("string").alias("project")
+    texts = t.documents.select(project, F.concat(F.lit("current 1998: "), "text").alias("text"))
+    samples = verdicts(t).withColumn("project", F.col("project").cast("string"))
+    n = F.col("project").cast("int")
+    flags = {"cover_found": n % 3 > 0, "duplicate_cover": n % 5 == 0, "residual_label": F.lit(False), "cover_style_ok": n % 2 == 0, "title_has_version": n % 7 == 0, "header_ok": n % 4 > 0, "body_style_differs": F.lit(None).cast("boolean"), "first_heading_differs": n % 11 == 0}
+    covers = texts.select("project").distinct().select("project", F.when(n % 17 == 0, "not a document").alias("error"), *[c.alias(k) for k, c in flags.items()])
+    lines = F.array(F.concat(F.lit("int a = 1; // "), "p_name"), F.when(F.col("p_partkey") % 5 == 0, "/* open").otherwise("b();"))
+    code = t.part.select(F.col("p_partkey").alias("doc"), F.posexplode(lines).alias("idx", "text"))
+    parts = stages.document_stages(samples, texts, covers, code, urls(t).select("path", "role"), 1999, LETTERS, apply=True, update=("(?:current).{0,16}YEAR",))
+    run = stages.combined_run(t.spark, parts, "manual, code, txt", apply=True, target=new_path(t.spark, "run"))
+    return t.spark.read.parquet(f"{run.output}/report")
+
+
 @query("""
 SELECT page_id // 1024 AS part, '.txt' AS suffix, strlen(string_agg(html || chr(10), '' ORDER BY page_id))::BIGINT AS length,
        sha256(string_agg(html || chr(10), '' ORDER BY page_id)) AS sha256 FROM pages GROUP BY part

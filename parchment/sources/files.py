@@ -3,16 +3,20 @@
 from __future__ import annotations
 
 import io
+import re
+import tempfile
 import zipfile
 import zlib
 from collections.abc import Iterator
 from xml.etree import ElementTree
 
 import pyarrow as pa
+import pyarrow.fs
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from parchment.functions.text import is_unsafe_path
+from parchment.operators.ordered import digest_tree
 from parchment.runtime import materialize, ship
 
 W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
@@ -154,6 +158,97 @@ def read_zip_members(files: DataFrame, depth: int = 3, most_bytes: int = 1 << 30
     return out.select("archive", "member_path", "level", "content")
 
 
+#: bytes of a member that one row holds, and of a nested archive that is kept in memory before it goes to the task's own disk
+PART_BYTES, SPOOL_BYTES = 4 << 20, 16 << 20
+
+
+def _opened(path: str):
+    """A file of any file system that Arrow knows, for reading at any place; a path without a scheme is local."""
+    if re.match(r"^file:/", path) or "://" not in path:
+        return open(re.sub(r"^file:/+", "/", path), "rb")
+    where, inside = pa.fs.FileSystem.from_uri(path)
+    return where.open_input_file(inside)
+
+
+def _member_parts(file, prefix: str, level: int, depth: int, chosen: tuple[int, int] | None, part_bytes: int) -> Iterator[tuple[str, int, int, bytes]]:
+    """(member_path, level, part, content) of a ZIP file's members, of those numbered from chosen[0] to chosen[1] only if given.
+
+    Only the directory at its end, and one part of one member, are in memory; a nested archive is copied to a spooled file to be read in turn.
+    """
+    try:
+        archive = zipfile.ZipFile(file)
+    except (zipfile.BadZipFile, ValueError, OSError):
+        return
+    low, high = chosen or (0, len(archive.infolist()))
+    for m in archive.infolist()[low:high]:
+        if m.is_dir() or _unsafe(m.filename):
+            continue
+        path = f"{prefix}{m.filename}"
+        nested = tempfile.SpooledTemporaryFile(SPOOL_BYTES) if level < depth and m.filename.lower().endswith(".zip") else None
+        try:
+            with archive.open(m) as stream:
+                part = 0
+                while (content := stream.read(part_bytes)) or not part:
+                    yield path, level, part, content
+                    part += 1
+                    if nested:
+                        nested.write(content)
+        except UNREADABLE:
+            continue  # parts that were read stay: digests of members tell by their length
+        if nested:
+            with nested:
+                nested.seek(0)
+                yield from _member_parts(nested, f"{path}/", level + 1, depth, None, part_bytes)
+
+
+def _unsafe(name: str) -> bool:
+    p = name.replace("\\", "/")
+    return p.startswith("/") or bool(re.match("[A-Za-z]:", p)) or ".." in p.split("/")
+
+
+def stream_zip_members(paths: DataFrame, path: str = "path", depth: int = 3, part_bytes: int = PART_BYTES, members_a_task: int = 256) -> DataFrame:
+    """(archive, member_path, level, part, content) of ZIP files by path, in parts of at most ``part_bytes``; an empty member is one empty part.
+
+    First the directory of each archive is read, a few bytes at its end, and dealt out in ranges of members; each range is then read by
+    its own task, so neither archives nor members need fit in memory, and one archive is many tasks. Archives inside archives down to
+    ``depth`` are read by the task that meets them, through a spooled file. Members with unsafe paths are left out, as are encrypted and
+    broken ones from where they can't be read, and files that are no ZIP files. Paths are of file systems that Arrow can open.
+    """
+
+    def ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name in batch.column(0).to_pylist():
+                try:
+                    with _opened(name) as file:
+                        n = len(zipfile.ZipFile(file).infolist())
+                except (zipfile.BadZipFile, ValueError, OSError):
+                    continue
+                starts = list(range(0, n, members_a_task))
+                yield pa.RecordBatch.from_arrays([pa.array([name] * len(starts), pa.string()), pa.array(starts, pa.int32())], ["archive", "first"])
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in batch.to_pylist():
+                with _opened(r["archive"]) as file:
+                    for member, level, part, content in _member_parts(file, "", 1, depth, (r["first"], r["first"] + members_a_task), part_bytes):
+                        row = {"archive": r["archive"], "member_path": member, "level": level, "part": part, "content": content}
+                        yield pa.RecordBatch.from_pylist([row], _MEMBER_PART)
+
+    ship(paths.sparkSession)
+    dealt = paths.select(F.col(path).alias("archive")).distinct().mapInArrow(ranges, "archive string, first int")
+    return dealt.repartition("archive", "first").mapInArrow(read, "archive string, member_path string, level int, part int, content binary")
+
+
+_MEMBER_PART = pa.schema([("archive", pa.string()), ("member_path", pa.string()), ("level", pa.int32()), ("part", pa.int32()), ("content", pa.binary())])
+
+
+def member_digests(parts: DataFrame) -> DataFrame:
+    """(archive, member_path, level, length, parts, fingerprint) of streamed members: a digest of their parts' digests, as a tree. See ordered.digest_tree."""
+    rows = parts.select("archive", "member_path", "level", "part", F.sha2("content", 256).alias("digest"), F.length("content").cast("long").alias("bytes"))
+    out = digest_tree(rows, ["archive", "member_path", "level"], ["part"], F.col("digest"), {"length": F.col("bytes")})
+    return out.select("archive", "member_path", "level", "length", F.col("n").alias("parts"), "fingerprint")
+
+
 def parse_fields(df: DataFrame, key: str, text: str) -> DataFrame:
     """Lines 'name：value' (or ':') of each text as (key, line, field, value, is_empty, is_duplicate); other lines are left out."""
     lines = df.select(key, F.posexplode(F.split(text, "\r?\n")).alias("line", "raw"))
