@@ -1,4 +1,4 @@
-"""Toxicity by nearest labelled examples: exact TF-IDF cosine over block-max inverted indexes, and calibrated distance-weighted votes."""
+"""Toxicity by nearest labelled examples: exact TF-IDF cosine over block-max inverted indexes, and calibrated votes that weigh by cosine."""
 
 from __future__ import annotations
 
@@ -12,6 +12,7 @@ import pyarrow.compute
 from pyspark import Broadcast
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.functions import array_to_vector
+from pyspark.ml.linalg import DenseMatrix
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,15 +22,13 @@ from parchment.llm.storage import materialize
 from parchment.runtime import ship
 
 #: examples in a block of an index
-BLOCK = 256
-#: terms that more than this share of an index's examples hold have no posting list: they are read block by block
+BLOCK = 64
+#: terms that more than this share of the examples hold have no posting list: they are read block by block
 OFTEN, MOST_OFTEN = 1 / 32, 256
 #: texts that are searched for at once
 QUERIES = 64
-#: numbers of nearest examples of both labels that vote
-PLACES = (10, 25, 50, 100, 200, 400)
-#: shares of each label's examples whose mean cosines are compared
-SHARES = (0.2, 0.1, 0.05, 0.02, 0.01)
+#: nearest examples that vote: a few, which tell where there are few examples at all, and more
+NEAREST = (10, 75)
 PROOFS = 3
 
 
@@ -89,25 +88,25 @@ def unit_weights(places: np.ndarray, times: np.ndarray, rows: np.ndarray, idf: n
 
 @dataclass(frozen=True)
 class BlockMaxIndex:
-    """Unit vectors of one label's examples, in blocks of examples that share their heaviest frequent term.
+    """Unit vectors of the examples, in blocks of examples that share their heaviest frequent term.
 
     Rare terms have posting lists. Frequent ones are rows of a matrix, with their greatest weight in each block.
     """
 
     ids: np.ndarray
+    labels: np.ndarray
     starts: np.ndarray  # term to its first posting and the end
     owners: np.ndarray
     weights: np.ndarray
     slot: np.ndarray  # term to its column among the frequent ones, or -1
     often: np.ndarray  # (example, frequent term): weight
     peaks: np.ndarray  # (frequent term, block): greatest weight
-    centre: np.ndarray  # mean of the vectors
 
     @classmethod
-    def build(cls, ids: np.ndarray, places: np.ndarray, weights: np.ndarray, rows: np.ndarray, n_terms: int) -> BlockMaxIndex:
+    def build(cls, ids: np.ndarray, labels: np.ndarray, places: np.ndarray, weights: np.ndarray, rows: np.ndarray, n_terms: int) -> BlockMaxIndex:
         n = len(ids)
         owner = np.repeat(np.arange(n, dtype=np.int32), np.diff(rows))
-        texts, centre = np.bincount(places, minlength=n_terms), (np.bincount(places, weights, n_terms) / n).astype(np.float32)
+        texts = np.bincount(places, minlength=n_terms)
         frequent = np.argsort(-texts, kind="stable")[:MOST_OFTEN]
         frequent = frequent[texts[frequent] > n * OFTEN]
         slot = np.full(n_terms, -1, np.int16)
@@ -124,11 +123,10 @@ class BlockMaxIndex:
         place, owner, weights = places[~dense], owner[~dense], weights[~dense]
         by_term = np.lexsort((owner, place))
         starts = np.searchsorted(place[by_term], np.arange(n_terms + 1, dtype=np.int32)).astype(np.int32)
-        return cls(ids[order], starts, owner[by_term], weights[by_term].astype(np.float32), slot, often, peaks, centre)
+        return cls(ids[order], labels[order], starts, owner[by_term], weights[by_term].astype(np.float32), slot, often, peaks)
 
-    def search(self, places: np.ndarray, weights: np.ndarray, rows: np.ndarray, k: int, leave: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Cosines of the k nearest examples of each query, nearest first (-1 where there are fewer), ids of the first PROOFS,
-        and the mean cosine with all.
+    def search(self, places: np.ndarray, weights: np.ndarray, rows: np.ndarray, k: int, leave: bool) -> tuple[np.ndarray, np.ndarray]:
+        """(text, example) cosines, those of the k nearest examples exact and -1 where a block could not hold one of them; and which blocks were read.
 
         Rare terms are summed from their posting lists. What frequent terms can add is bounded by their peaks in each
         block: the blocks with the greatest bounds are read first, then those whose bound reaches the k-th best cosine
@@ -149,87 +147,82 @@ class BlockMaxIndex:
         cosines = cosines.astype(np.float32).reshape(m, blocks, BLOCK)
         cosines[:, -1, n - blocks * BLOCK or BLOCK :] = -1.0
         bound = cosines.max(axis=2) + query @ self.peaks
-        total, own = n * np.bincount(who, weights * self.centre[places], m), np.zeros(m)
+        done = np.zeros((m, blocks), bool)
 
         def read(wanted: np.ndarray) -> None:
             for b in np.flatnonzero(wanted.any(axis=0)):
                 q, rows_of = np.flatnonzero(wanted[:, b]), self.often[b * BLOCK : (b + 1) * BLOCK]
                 found = cosines[q, b, : len(rows_of)] + query[q] @ rows_of.T
                 if leave:
-                    same = found > 1.0 - 1e-5
-                    own[q] += same.sum(axis=1)
-                    found[same] = -1.0
+                    found[found > 1.0 - 1e-5] = -1.0
                 cosines[q, b, : len(rows_of)] = found
+            done[wanted] = True
 
+        def floor() -> np.ndarray:
+            """The k-th best cosine among the blocks read."""
+            known = np.where(done[:, :, None], cosines, np.float32(-1.0)).reshape(m, -1)
+            return np.partition(known, known.shape[1] - k, axis=1)[:, -k, None]
+
+        ranked, step = np.argsort(-bound, axis=1), -(-k // BLOCK) + 1
         first = np.zeros((m, blocks), bool)
-        np.put_along_axis(first, np.argsort(-bound, axis=1)[:, : -(-k // BLOCK) + 1], True, axis=1)
+        np.put_along_axis(first, ranked[:, :step], True, axis=1)
         read(first)
-        floor = np.sort(np.where(first[:, :, None], cosines, np.float32(-1.0)).reshape(m, -1), axis=1)[:, -k, None]
-        more = (bound >= floor - 1e-5) & ~first
-        read(more)
-        cosines[~(first | more)] = -1.0
-        cosines = cosines.reshape(m, -1).round(6)
-        proof = np.empty((m, min(PROOFS, n)), np.int64)
-        near = -np.sort(-cosines, axis=1)[:, :k]
-        for j in range(proof.shape[1]):
-            proof[:, j] = cosines.argmax(axis=1)
-            cosines[np.arange(m), proof[:, j]] = -2.0
-        return near, self.ids[proof], (total - own) / np.maximum(n - own, 1)
-
-
-def vote_features(no: np.ndarray, yes: np.ndarray, means: tuple[np.ndarray, np.ndarray], sizes: tuple[int, int]) -> np.ndarray:
-    """What the votes say, from descending cosines with the nearest examples of label 0 and of label 1, a row a text,
-    and the mean cosines with all examples of either.
-
-    For each of PLACES, the log odds of the label among so many nearest examples of both labels, each vote weighing its
-    cosine over the greatest; examples that tie with the last share the places left. For each of SHARES, the log ratio
-    of the mean cosines with that share of either label's examples, and with all. Only ratios count, so a text's own length does not.
+        # the next best blocks raise the floor before the rest is held against it
+        more = np.zeros((m, blocks), bool)
+        np.put_along_axis(more, ranked[:, step : 3 * step], True, axis=1)
+        read(more & (bound >= floor() - 1e-5) & ~done)
+        read((bound >= floor() - 1e-5) & ~done)
+        cosines[~done] = -1.0
+        return cosines.reshape(m, -1)[:, :n].round(6), done
+
+
+def vote_odds(cosines: np.ndarray, labels: np.ndarray, k: int) -> np.ndarray:
+    """Log odds of label 1 among the k nearest examples of each text: each votes with its cosine over the greatest.
+
+    Examples that tie with the last share the places left. Three votes of the examples' own rate keep the odds finite.
     """
-    base = sizes[1] / sum(sizes)
-    top = np.maximum(no[:, :1], yes[:, :1])
-    no, yes = (np.maximum(x, 0.0) / np.where(top > 0, top, 1.0) for x in (no, yes))
-    both = -np.sort(-np.concatenate((no, yes), axis=1), axis=1)
-    out = []
-    for k in PLACES:
-        last = both[:, min(k, both.shape[1]) - 1, None]
-        left = (k - (both > last).sum(axis=1)) / np.maximum((both == last).sum(axis=1), 1)
-        votes = [(x * (x > last)).sum(axis=1) + (x == last).sum(axis=1) * np.minimum(left, 1.0) * last[:, 0] for x in (no, yes)]
-        share = (votes[1] + 3 * base) / (votes[0] + votes[1] + 3)
-        out.append(np.log(share / (1 - share)))
-    pairs = [[x[:, : math.ceil(share * n)].mean(axis=1) for x, n in zip((no, yes), sizes, strict=True)] for share in SHARES]
-    pairs.append([np.maximum(x, 0.0) / np.where(top > 0, top, 1.0)[:, 0] for x in means])
-    out += [np.log((b + 1e-6) / (a + 1e-6)) for a, b in pairs]
-    return np.stack(out, axis=1)
+    base, k = labels.mean(), min(k, cosines.shape[1])
+    last = np.partition(cosines, cosines.shape[1] - k, axis=1)[:, -k, None]
+    above, level = cosines > last, cosines == last
+    left = (k - above.sum(axis=1)) / np.maximum(level.sum(axis=1), 1)
+    top = np.maximum(cosines.max(axis=1), 0.0)
+    weigh = np.maximum(cosines, 0.0) / np.where(top > 0, top, 1.0)[:, None] * (above + level * left[:, None])
+    yes, total = weigh @ labels, weigh.sum(axis=1)
+    share = (yes + 3 * base) / (total + 3)
+    return np.log(share / (1 - share))
 
 
 @dataclass(frozen=True)
 class Examples:
-    """Labelled examples: the vocabulary with its weights, and the index of either label."""
+    """Labelled examples: the vocabulary with its weights, and the index."""
 
     vocabulary: np.ndarray
     idf: np.ndarray
-    no: BlockMaxIndex
-    yes: BlockMaxIndex
+    index: BlockMaxIndex
 
     @property
     def sizes(self) -> tuple[int, int]:
-        return len(self.no.ids), len(self.yes.ids)
+        return int((self.index.labels == 0).sum()), int((self.index.labels == 1).sum())
 
     def judge(self, data: np.ndarray, offsets: np.ndarray, leave: bool) -> tuple[np.ndarray, list[list[int] | None]]:
-        """(vote features, ids of the nearest examples) of each text; no ids where no example shares a weighing term."""
+        """(vote odds for each of NEAREST, ids of the nearest examples) of each text; no ids where no example shares a weighing term."""
         places, times, rows = _known(self.vocabulary, data, offsets)
         weights = unit_weights(places, times, rows, self.idf)
-        near = [x.search(places, weights, rows, max(PLACES[-1], math.ceil(SHARES[0] * n)), leave) for x, n in zip((self.no, self.yes), self.sizes, strict=True)]
-        (no, no_ids, no_mean), (yes, yes_ids, yes_mean) = near
-        some = [np.concatenate(x, axis=1) for x in ((no[:, : no_ids.shape[1]], yes[:, : yes_ids.shape[1]]), (no_ids, yes_ids))]
-        order = np.lexsort((some[1], -some[0]), axis=1)[:, :PROOFS]
-        cosines, ids = (np.take_along_axis(x, order, axis=1) for x in some)
-        proof = [i[c > 0].tolist() or None for c, i in zip(cosines, ids, strict=True)]
-        return vote_features(no, yes, (no_mean, yes_mean), self.sizes), proof
+        cosines, _ = self.index.search(places, weights, rows, NEAREST[-1], leave)
+        labels = self.index.labels.astype(np.float64)
+        odds, proof = np.stack([vote_odds(cosines, labels, k) for k in NEAREST], axis=1), []
+        near = np.argpartition(-cosines, min(PROOFS * 4, cosines.shape[1] - 1), axis=1)[:, : PROOFS * 4]
+        # all that tie with the last of the proofs compete by their ids
+        for i, row in enumerate(cosines):
+            least = np.sort(row[near[i]])[-PROOFS:][0]
+            some = near[i] if (row[near[i]] < least).any() else np.flatnonzero(row >= least)
+            some = some[np.lexsort((self.index.ids[some], -row[some]))][:PROOFS]
+            proof.append(self.index.ids[some[row[some] > 0]].tolist() or None)
+        return odds, proof
 
 
 def _judged(shared: Broadcast, leave: bool = False):
-    """mapInArrow function: (id, ..., text) to (id, ..., features, evidence); null features where there is no evidence."""
+    """mapInArrow function: (id, ..., text) to (id, ..., odds, evidence); null odds where there is no evidence."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         examples = shared.value
@@ -238,38 +231,41 @@ def _judged(shared: Broadcast, leave: bool = False):
             for row, data, offsets in K.blocks(batch.column("text")):
                 for a in range(0, len(offsets) - 1, QUERIES):
                     cut = offsets[a : a + QUERIES + 1]
-                    features, proof = examples.judge(data[cut[0] : cut[-1]], cut - cut[0], leave)
-                    values = [f if p else None for f, p in zip(features.tolist(), proof, strict=True)]
+                    odds, proof = examples.judge(data[cut[0] : cut[-1]], cut - cut[0], leave)
+                    values = [f if p else None for f, p in zip(odds.tolist(), proof, strict=True)]
                     rest = [batch.column(c).slice(row + a, len(cut) - 1) for c in names]
-                    yield pa.RecordBatch.from_arrays([*rest, pa.array(values, pa.list_(pa.float64())), pa.array(proof, pa.list_(pa.int64()))], [*names, "features", "evidence"])
+                    yield pa.RecordBatch.from_arrays([*rest, pa.array(values, pa.list_(pa.float64())), pa.array(proof, pa.list_(pa.int64()))], [*names, "odds", "evidence"])
 
     return run
 
 
 @dataclass(frozen=True)
 class ToxicityModel:
-    """Broadcast examples with the calibration of their votes; without examples of both labels every score is the base rate."""
+    """Broadcast examples with the calibration of their votes, slopes of at least 0; without examples of both labels every score is the base rate."""
 
     examples: Broadcast | None
     intercept: float
-    weights: tuple[float, ...]
+    slopes: tuple[float, ...]
     base: float
 
-    def score(self, features: Column) -> Column:
+    def score(self, odds: Column) -> Column:
         total = F.lit(self.intercept)
-        for i, w in enumerate(self.weights):
-            total = total + F.get(features, F.lit(i)) * F.lit(w)
-        return F.coalesce(1.0 / (1.0 + F.exp(-total)), F.lit(self.base))
+        for i, slope in enumerate(self.slopes):
+            total = total + F.lit(slope) * F.get(odds, F.lit(i))
+        return F.when(odds.isNull(), F.lit(self.base)).otherwise(1.0 / (1.0 + F.exp(-total)))
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, max_examples: int, penalty: float) -> ToxicityModel:
+def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, max_examples: int, max_bytes: int) -> ToxicityModel:
     """Draw the examples, weigh their terms over all documents, index them, and calibrate their votes on each other."""
     spark = docs.sparkSession
+    ship(spark)
     src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     rows = labels.where(~held_out(id_col, 5, 0) & F.col(label_col).isNotNull() & F.col(id_col).isNotNull())
     rows = rows.groupBy(F.col(id_col).cast("long").alias("id")).agg(F.max(label_col).cast("int").alias("label")).where("label in (0, 1)")
-    labelled = {r.label: r["count"] for r in rows.groupBy("label").count().collect()}
-    keep = {y: min(1.0, max_examples / max(labelled.get(y, 0), 1)) for y in (0, 1)}
+    # what the labelled texts hold, so that long ones draw fewer examples
+    held = src.select("id", F.coalesce(F.octet_length("text"), F.lit(0)).alias("bytes")).join(rows, "id")
+    found = {r.label: r for r in held.groupBy("label").agg(F.count("*").alias("rows"), F.sum("bytes").alias("bytes")).collect()}
+    keep = {y: min(1.0, max_examples / found[y].rows, max_bytes / 2 / max(found[y].bytes, 1)) if y in found else 1.0 for y in (0, 1)}
     draw = F.pmod(F.xxhash64(F.lit("example"), "id"), F.lit(1 << 20)) / float(1 << 20)
     drawn = rows.where(draw < F.when(F.col("label") == 1, keep[1]).otherwise(keep[0]))
     # at most about 2 * max_examples pairs of numbers
@@ -294,22 +290,19 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str,
     texts[counts.column("place").to_numpy()] = counts.column("texts").to_numpy()
     idf = np.log((1.0 + src.count()) / (1.0 + texts)).astype(np.float32)
     weights = unit_weights(places, times, ends, idf).astype(np.float32)
-    owner = label[np.repeat(np.arange(len(label), dtype=np.int32), np.diff(ends))]
-    no, yes = (
-        BlockMaxIndex.build(ids[label == y], places[owner == y], weights[owner == y], np.append(0, np.cumsum(np.diff(ends)[label == y])), len(vocabulary)) for y in (0, 1)
-    )
-    examples = spark.sparkContext.broadcast(Examples(vocabulary, idf, no, yes))
-    del counts, texts, places, times, weights, owner, vocabulary, no, yes
-
-    judged = drawn.select("id", "label", "text").mapInArrow(_judged(examples, leave=True), "id long, label int, features array<double>, evidence array<long>")
-    judged = judged.where("features is not null").select(
-        array_to_vector("features").alias("features"), F.col("label").cast("double").alias("label"),
+    index = BlockMaxIndex.build(ids, label, places, weights, ends, len(vocabulary))
+    examples = spark.sparkContext.broadcast(Examples(vocabulary, idf, index))
+    del counts, texts, places, times, weights, vocabulary, index
+
+    judged = drawn.select("id", "label", "text").mapInArrow(_judged(examples, leave=True), "id long, label int, odds array<double>, evidence array<long>")
+    judged = judged.where("odds is not null").select(
+        array_to_vector("odds").alias("features"), F.col("label").cast("double").alias("label"),
         F.when(F.col("label") == 1, 1.0 / keep[1]).otherwise(1.0 / keep[0]).alias("weight"),
     )
     judged = materialize(judged, "votes")
     if judged.select("label").distinct().count() < 2:
         return ToxicityModel(examples, math.log(base / (1 - base)), (), base)
-    fit = LogisticRegression(weightCol="weight", regParam=penalty / sum(sizes), maxIter=100).fit(judged)
+    fit = LogisticRegression(weightCol="weight", maxIter=100, lowerBoundsOnCoefficients=DenseMatrix(1, len(NEAREST), [0.0] * len(NEAREST))).fit(judged)
     return ToxicityModel(examples, float(fit.intercept), tuple(fit.coefficients.toArray().tolist()), base)
 
 
@@ -319,32 +312,31 @@ def toxicity_scores(
     id_col: str = "doc_id",
     text_col: str = "text",
     label_col: str = "toxic",
-    max_examples: int = 6_000,
-    penalty: float = 0.3,
+    max_examples: int = 4_000,
+    max_bytes: int = 48 << 20,
 ) -> DataFrame:
     """One row per document: id, held_out, score, predicted and evidence (ids of the nearest examples).
 
-    Examples are at most about ``max_examples`` labelled rows of either class, drawn by a hash of the id from the
-    training folds. A vector holds all terms of a whole text, weighed (1 + ln count) * ln((1 + texts) / (1 + texts with
-    the term)) over all documents. An index of each label, bounded by max_examples and so broadcast, gives the nearest
-    examples of either label by exact cosine. Terms that no example holds only lengthen the text's own vector, which
-    changes neither the order of its cosines nor their ratios, so they need no weight. The score is a logistic
-    calibration of the distance-weighted votes (see vote_features), fitted on the examples themselves (``penalty`` is spread over them), each judged
-    without those of its own vector and weighing by its class's rate of drawing.
+    Examples are about ``max_examples`` labelled rows of either class at most, and about ``max_bytes`` of text in all, drawn by a hash
+    of the id from the training folds: so the index, which is broadcast, is bounded however long the texts are. A vector holds all
+    terms of a whole text, weighed (1 + ln count) * ln((1 + texts) / (1 + texts with the term)) over all documents. A block-max index
+    gives the NEAREST examples by exact cosine. Terms that no example holds only lengthen the text's own vector, which changes neither
+    the order of its cosines nor their ratios, so they need no weight. The nearest vote, weighing by cosine (see vote_odds), and a
+    logistic curve that never falls makes scores of the odds; it is fitted on the examples themselves, each judged without those of its
+    own vector and weighing by its class's rate of drawing.
 
     Null and empty texts and those that share no term with an example get the base rate and no evidence, as do all texts
     without examples of both labels. Null labels are no examples, an id with several labels has the greatest, null ids
     are scored and count as the empty text for the fold. Repeated rows are rows like others. An empty table gives no
     rows; other columns are ignored.
     """
-    ship(docs.sparkSession)
-    model = fit_toxicity(docs, labels, id_col, text_col, label_col, max_examples, penalty)
+    model = fit_toxicity(docs, labels, id_col, text_col, label_col, max_examples, max_bytes)
     src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     if model.examples is None:
         scored = src.select("id", F.lit(model.base).alias("score"), F.lit(None).cast("array<bigint>").alias("evidence"))
     else:
-        scored = src.mapInArrow(_judged(model.examples), "id long, features array<double>, evidence array<long>")
-        scored = scored.select("id", model.score(F.col("features")).alias("score"), "evidence")
+        scored = src.mapInArrow(_judged(model.examples), "id long, odds array<double>, evidence array<long>")
+        scored = scored.select("id", model.score(F.col("odds")).alias("score"), "evidence")
     return scored.select(
         F.col("id").alias(id_col), held_out("id", 5, 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"),
         F.coalesce("evidence", F.array().cast("array<bigint>")).alias("evidence"),

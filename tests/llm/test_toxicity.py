@@ -34,7 +34,7 @@ def test_awkward(awkward, empty, labels, spark):
 
 @pytest.mark.parametrize("block", [3, 64])
 def test_index_is_exact(monkeypatch, block):
-    """Skipping blocks changes nothing: cosines of the nearest examples are those of a full search."""
+    """Skipping blocks changes nothing: the cosines of the nearest examples are those of a full search."""
     monkeypatch.setattr(toxicity, "BLOCK", block)
     rng = np.random.default_rng(4)
     n_terms, idf = 40, 3 * rng.random(40)
@@ -44,29 +44,50 @@ def test_index_is_exact(monkeypatch, block):
     weights = unit_weights(places, rng.integers(1, 4, len(places)), ends, idf)
     every = np.zeros((200, n_terms))
     every[np.repeat(np.arange(200), np.diff(ends)), places] = weights
-    index = BlockMaxIndex.build(np.arange(200) + 1000, places, weights, ends, n_terms)
+    labels = rng.integers(0, 2, 200)
+    index = BlockMaxIndex.build(np.arange(200) + 1000, labels, places, weights, ends, n_terms)
+    assert {i: y for i, y in zip(index.ids, index.labels, strict=True)} == {i + 1000: y for i, y in enumerate(labels)}
     upto = ends[40]
     for leave in (False, True):
-        got, ids, means = index.search(places[:upto], weights[:upto], ends[:41], 10, leave)
+        got, done = index.search(places[:upto], weights[:upto], ends[:41], 10, leave)
+        assert block > 3 or done.mean() < 0.6
         full = every[:40] @ every.T
-        full = np.where(leave & (full > 1 - 1e-5), -1.0, full)
-        assert np.allclose(means, np.where(full > -1, full, 0).sum(axis=1) / (full > -1).sum(axis=1), atol=2e-6)
-        assert np.allclose(got, -np.sort(-full, axis=1)[:, :10], atol=2e-6)
-        assert np.allclose(np.take_along_axis(full, ids - 1000, axis=1), got[:, :3], atol=2e-6)
-
-
-def features_of(no, yes):
-    """vote_features in plain Python, from all cosines with the examples of either label."""
-    base, top = len(yes) / (len(no) + len(yes)), max(no + yes)
-    no, yes = (sorted((max(c, 0) / (top if top > 0 else 1) for c in x), reverse=True) for x in (no, yes))
-    both, out = sorted(no + yes, reverse=True), []
-    for k in toxicity.PLACES:
-        last = both[min(k, len(both)) - 1]
-        left = min(1, (k - sum(c > last for c in both)) / both.count(last))
-        votes = [sum(c if c > last else c * left for c in x if c >= last) for x in (no, yes)]
-        out.append(math.log((votes[1] + 3 * base) / (votes[0] + 3 - 3 * base)))
-    mean = lambda x, s: sum(x[: math.ceil(s * len(x))]) / math.ceil(s * len(x))
-    return out + [math.log((mean(yes, s) + 1e-6) / (mean(no, s) + 1e-6)) for s in (*toxicity.SHARES, 1)]
+        full = np.where(leave & (full > 1 - 1e-5), -1.0, full)[:, index.ids - 1000]
+        tenth = np.sort(full, axis=1)[:, -10, None]
+        assert np.allclose(np.where(full >= tenth - 1e-6, got, 0), np.where(full >= tenth - 1e-6, full, 0), atol=2e-6)
+        assert np.allclose(np.sort(got, axis=1)[:, -10:], np.sort(full, axis=1)[:, -10:], atol=2e-6)
+
+
+def odds_of(cosines, k):
+    """vote_odds in plain Python, from (label, cosine) of all examples."""
+    base, top = sum(y for y, _ in cosines) / len(cosines), max(max(c for _, c in cosines), 0)
+    k = min(k, len(cosines))
+    last = sorted((c for _, c in cosines), reverse=True)[k - 1]
+    left = (k - sum(c > last for _, c in cosines)) / sum(c == last for _, c in cosines)
+    votes = [sum((1 if c > last else left) * max(c, 0) / (top or 1) for y, c in cosines if c >= last and y == label) for label in (0, 1)]
+    share = (votes[1] + 3 * base) / (sum(votes) + 3)
+    return math.log(share / (1 - share))
+
+
+def test_votes_against_plain_version():
+    rng = np.random.default_rng(6)
+    labels = rng.integers(0, 2, 60).astype(float)
+    cosines = rng.integers(-1, 8, (50, 60)) / 10  # many ties
+    for k in (1, 5, 20, 60, 90):
+        got = toxicity.vote_odds(cosines, labels, k)
+        assert np.allclose(got, [odds_of(list(zip(labels, row, strict=True)), k) for row in cosines.tolist()])
+
+
+def test_more_toxic_neighbours_never_lower_the_score(documents, labels):
+    slopes = fit_toxicity(documents, labels, "doc_id", "text", "toxic", 4000, 48 << 20).slopes
+    assert min(slopes) >= 0 < max(slopes)
+
+
+def test_long_texts_draw_fewer_examples(documents, labels):
+    """The bytes of the examples are bounded, whatever their number."""
+    few = fit_toxicity(documents, labels, "doc_id", "text", "toxic", 4000, 100_000)
+    full = fit_toxicity(documents, labels, "doc_id", "text", "toxic", 4000, 48 << 20)
+    assert 0 < sum(few.examples.value.sizes) < sum(full.examples.value.sizes) / 2
 
 
 def test_scores_are_those_of_a_full_search(documents, labels):
@@ -82,7 +103,7 @@ def test_scores_are_those_of_a_full_search(documents, labels):
         return {t: w / length for t, w in out.items()}
 
     examples = [(i, truth[i], vector(c)) for i, c in texts if i in truth and zlib.crc32(str(i).encode()) % 5]
-    model = fit_toxicity(documents, labels, "doc_id", "text", "toxic", 6000, 0.3)
+    model = fit_toxicity(documents, labels, "doc_id", "text", "toxic", 4000, 48 << 20)
     assert model.examples.value.sizes == tuple(sum(y == k for _, y, _ in examples) for k in (0, 1))
     got = {r.doc_id: r for r in toxicity_scores(documents, labels).collect()}
     for i, counts in texts:
@@ -94,7 +115,8 @@ def test_scores_are_those_of_a_full_search(documents, labels):
             continue
         near = {j: c for _, c, j in cosines}
         assert abs(near[got[i].evidence[0]] - best) < 1e-4
-        total = model.intercept + sum(w * f for w, f in zip(model.weights, features_of(*([c for y, c, _ in cosines if y == k] for k in (0, 1))), strict=True))
+        near = [(y, round(c, 6)) for y, c, _ in cosines]
+        total = model.intercept + sum(w * odds_of(near, k) for w, k in zip(model.slopes, toxicity.NEAREST, strict=True))
         assert abs(got[i].score - 1 / (1 + math.exp(-total))) < 1e-2
         assert got[i].predicted == (got[i].score >= 0.5)
 
@@ -116,7 +138,7 @@ def test_whole_texts_count(table, spark):
 
 def test_bound_on_examples(documents, labels):
     """Fewer examples than labels: the classes weigh by their rates of drawing."""
-    model = fit_toxicity(documents, labels, "doc_id", "text", "toxic", 20, 0.3)
+    model = fit_toxicity(documents, labels, "doc_id", "text", "toxic", 20, 48 << 20)
     assert 0 < sum(model.examples.value.sizes) < 60
-    full = fit_toxicity(documents, labels, "doc_id", "text", "toxic", 6000, 0.3)
+    full = fit_toxicity(documents, labels, "doc_id", "text", "toxic", 4000, 48 << 20)
     assert abs(model.base - full.base) < 0.1
