@@ -299,6 +299,32 @@ def read_model(path: str) -> bytes:
         return f.read()
 
 
+def _chained(first, then):
+    """One mapInArrow function of two, so that a task needs one Python worker."""
+    return lambda batches: then(first(batches))
+
+
+def _encoded(docs: DataFrame, id_col: str, text_col: str, model: bytes, chunk: int, exact: bool, then=None, made: str = "pieces array<int>") -> DataFrame:
+    """(id, n_chars, digest, what is made of the pieces, chunks): the pieces themselves, or what the mapInArrow function ``then`` puts in their place."""
+    ship(docs.sparkSession)
+    digest_of, then = _exact_digest if exact else _digest, then or iter
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    length = F.length(F.coalesce("text", F.lit("")))
+    short = rows.where(length < chunk).mapInArrow(lean(_chained(_encode(model, digest_of), then)), f"id long, n_chars long, digest string, {made}")
+    giant = rows.where(length >= chunk).select(F.monotonically_increasing_id().alias("rid"), "id", "text")
+    schema = "rid long, id long, n_chars long, digest string, chunk int, text string, low int, high int"
+    giant = materialize(giant.mapInArrow(lean(_split(model, chunk, digest_of)), schema).repartition("rid", "chunk"), "chunks")
+    matrix = giant.mapInArrow(lean(_transfers(model)), "rid long, chunk int, reach int, last string, to_reach int, to_last string, weight double")
+    paths = matrix.groupBy("rid").applyInArrow(_paths, "rid long, chunk int, skip int, over int")
+    traced = giant.join(paths, ["rid", "chunk"]).select("rid", "id", "n_chars", "digest", "chunk", "text", "low", "high", "skip", "over")
+    traced = traced.mapInArrow(lean(_backtrace(model)), "rid long, id long, n_chars long, digest string, chunk int, ids array<int>")
+    whole = traced.groupBy("rid", "id", "n_chars", "digest").agg(F.array_sort(F.collect_list(F.struct("chunk", "ids"))).alias("all"))
+    whole = whole.select("id", "n_chars", "digest", F.size("all").alias("chunks"), F.flatten("all.ids").alias("pieces"))
+    if then is not iter:
+        whole = whole.mapInArrow(lean(then), f"id long, n_chars long, digest string, chunks int, {made}")
+    return short.withColumn("chunks", F.lit(1)).unionByName(whole).withColumnRenamed("id", id_col)
+
+
 def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str = MODEL, chunk: int = CHUNK, exact: bool = False) -> DataFrame:
     """One row per document: id, n_chars, digest (SHA-256 of the text that decoding gives), pieces and chunks.
 
@@ -312,26 +338,11 @@ def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     Null and empty texts have no pieces. Null ids and repeated rows are rows like others; an empty table gives no rows;
     other columns are ignored.
     """
-    ship(docs.sparkSession)
-    binary, digest_of = read_model(model), _exact_digest if exact else _digest
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    length = F.length(F.coalesce("text", F.lit("")))
-    short = rows.where(length < chunk).mapInArrow(lean(_encode(binary, digest_of)), "id long, n_chars long, digest string, pieces array<int>")
-    giant = rows.where(length >= chunk).select(F.monotonically_increasing_id().alias("rid"), "id", "text")
-    schema = "rid long, id long, n_chars long, digest string, chunk int, text string, low int, high int"
-    giant = materialize(giant.mapInArrow(lean(_split(binary, chunk, digest_of)), schema).repartition("rid", "chunk"), "chunks")
-    matrix = giant.mapInArrow(lean(_transfers(binary)), "rid long, chunk int, reach int, last string, to_reach int, to_last string, weight double")
-    paths = matrix.groupBy("rid").applyInArrow(_paths, "rid long, chunk int, skip int, over int")
-    traced = giant.join(paths, ["rid", "chunk"]).select("rid", "id", "n_chars", "digest", "chunk", "text", "low", "high", "skip", "over")
-    traced = traced.mapInArrow(lean(_backtrace(binary)), "rid long, id long, n_chars long, digest string, chunk int, ids array<int>")
-    whole = traced.groupBy("rid", "id", "n_chars", "digest").agg(F.array_sort(F.collect_list(F.struct("chunk", "ids"))).alias("all"))
-    whole = whole.select("id", "n_chars", "digest", F.flatten("all.ids").alias("pieces"), F.size("all").alias("chunks"))
-    out = short.withColumn("chunks", F.lit(1)).unionByName(whole)
-    return out.select(F.col("id").alias(id_col), "n_chars", "digest", "pieces", "chunks")
+    return _encoded(docs, id_col, text_col, read_model(model), chunk, exact).select(id_col, "n_chars", "digest", "pieces", "chunks")
 
 
-def _decode(model: bytes, keep: bool):
-    """mapInArrow function: replaces pieces by their text, or by the digests of pieces and text."""
+def _decode(model: bytes, keep: bool, with_pieces: bool = False):
+    """mapInArrow function: replaces pieces by their text (and themselves, on demand), or by the digests of pieces and text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lattice = _lattice(model)
@@ -345,7 +356,7 @@ def _decode(model: bytes, keep: bool):
                 if lattice.prefix:
                     texts = [x[1:] if i and lattice.plain.id_to_piece(i[0]).startswith(MARK) else x for x, i in zip(texts, ids, strict=True)]
                 if keep:
-                    made = {"text": pa.array(texts, pa.string())}
+                    made = ({"pieces": part.column("pieces")} if with_pieces else {}) | {"text": pa.array(texts, pa.string())}
                 else:
                     made = {
                         "n_pieces": pa.array(map(len, ids), pa.int64()),
@@ -370,9 +381,16 @@ def piece_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     round_trip tells whether decoding the pieces gives the text again. See encode_documents for the method and cases.
     """
-    encoded = encode_documents(docs, id_col, text_col, model, chunk)
-    rest = encoded.drop("pieces")
-    schema = T.StructType([*rest.schema.fields, *T._parse_datatype_string("n_pieces long, pieces_sha256 string, decoded string").fields])
-    checked = encoded.select(*rest.columns, "pieces").mapInArrow(lean(_decode(read_model(model), False)), schema)
+    binary = read_model(model)
+    checked = _encoded(docs, id_col, text_col, binary, chunk, False, _decode(binary, False), "n_pieces long, pieces_sha256 string, decoded string")
     same = (F.col("decoded") == F.col("digest")).alias("round_trip")
     return checked.select(id_col, "n_chars", "n_pieces", "chunks", "pieces_sha256", same)
+
+
+def encode_and_decode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str = MODEL, chunk: int = CHUNK) -> DataFrame:
+    """One row per document: id, n_chars, digest (of the text as it is), pieces, the text that they decode to, and chunks.
+
+    As encode_documents and decode_documents one after the other, in one pass of a task's worker.
+    """
+    binary = read_model(model)
+    return _encoded(docs, id_col, text_col, binary, chunk, True, _decode(binary, True, True), "pieces array<int>, text string")
