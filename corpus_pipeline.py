@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from parchment.llm.mixing import turn_of, weighted_mix
 from parchment.llm.near_dedup import near_duplicates
-from parchment.llm.pieces import decode_documents, encode_documents
+from parchment.llm.pieces import encode_and_decode
 from parchment.llm.quality_classifier import fit_quality, statistics
 from parchment.llm.quality_rules import bind
 from parchment.llm.secrets import redact_secrets
@@ -74,10 +74,8 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Empty texts have no pieces; long ones are encoded in chunks with the result of the whole; repeated rows, equal texts
     and null ids are rows like others. An empty table gives no rows; columns other than doc_id, n_chars and text are dropped.
     """
-    out = encode_documents(docs, exact=True)
-    out = decode_documents(out.withColumn("ids", F.col("pieces")))
-    return out.select(
-        "doc_id", "n_chars", F.size("ids").cast("long").alias("n_pieces"), "chunks", F.col("ids").alias("pieces"), "text",
+    return encode_and_decode(docs).select(
+        "doc_id", "n_chars", F.size("pieces").cast("long").alias("n_pieces"), "chunks", "pieces", "text",
         (F.sha2("text", 256) == F.col("digest")).alias("round_trip"),
     )
 
