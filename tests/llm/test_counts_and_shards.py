@@ -48,3 +48,20 @@ def test_shards(request, name, table):
         mean = sum(sizes.values()) / 24
         assert all(0.95 * mean < x < 1.05 * mean for x in sizes.values())
         assert sum(len(s) > 1 for s in where.values()) == 1
+
+
+def test_sizes_and_checksums(documents):
+    """Sizes and CRCs of the shard query against plain ones, and bytes of shards near equal."""
+    import zlib
+    from collections import Counter
+
+    from parchment.llm.sharding import shard_documents
+
+    texts = {r.doc_id: (r.text or "").encode() for r in documents.collect()}
+    rows = shard_documents(documents).collect()
+    assert {r.doc_id: (r.size, r.text_crc32) for r in rows} == {i: (len(t) + 8, zlib.crc32(t)) for i, t in texts.items()}
+    bytes_of = Counter()
+    for r in rows:
+        bytes_of[r.shard] += r.size
+    mean = sum(bytes_of.values()) / 24
+    assert set(bytes_of) <= set(range(24)) and max(bytes_of.values()) <= mean + max(map(len, texts.values())) + 8 + 0.01 * mean

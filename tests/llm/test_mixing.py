@@ -57,3 +57,13 @@ def test_awkward(awkward, empty):
 def test_single_document(table):
     (row,) = weighted_mix(table([(1, "a b c", "s")])).collect()
     assert (row.size, row.target, row.taken) == (3, 4.5, 3)
+
+
+def test_slices_of_sources_change_nothing(monkeypatch, documents):
+    """Running sums in many small slices of a source give the mix of one slice."""
+    from parchment.llm import mixing
+
+    rows = lambda: sorted(map(tuple, mixing.weighted_mix(documents).collect()))
+    want = rows()
+    monkeypatch.setattr(mixing, "SLICE_ROWS", 3)
+    assert rows() == want

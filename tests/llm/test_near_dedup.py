@@ -98,3 +98,13 @@ def test_one_id_with_two_texts_joins_their_sets(table):
     rows = [(5, "a b c d e f", "s"), (1, "a b c d e f", "s"), (5, "k l m n o p", "s"), (9, "k l m n o p", "s")]
     got = {(r.doc_id, r.component_id) for r in near_duplicates(table(rows)).collect()}
     assert got == {(1, 1), (5, 1), (9, 1)}
+
+
+def test_beyond_the_broadcast_of_ids(monkeypatch, documents):
+    """With more candidate ids than may be broadcast, texts are exchanged; the components are the same."""
+    from parchment.llm import near_dedup
+
+    rows = lambda: sorted(map(tuple, near_dedup.near_duplicates(documents).collect()))
+    want = rows()
+    monkeypatch.setattr(near_dedup, "MOST_IDS", 0)
+    assert rows() == want
