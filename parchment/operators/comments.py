@@ -95,7 +95,7 @@ def _hash_comments(at: _Place, text: str, i: int, end: int) -> bool:
 
 
 #: fixed values: what may follow -- behind a value that it decrements, by one sign or two
-AFTER_DECREMENT = (";", ",", ")", "]", "}", ":", "?", ".", "//", "/*")
+AFTER_DECREMENT = (";", ",", ".", "?", "]", ")", "}", ":", "//", "/*")
 _BLANKS, _NAME, _COLON = re.compile(r"[^\S\n]*"), re.compile(r"[\w-]+"), re.compile(r"\s*:")
 
 
