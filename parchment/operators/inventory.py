@@ -159,8 +159,13 @@ def unique_names(df: DataFrame, base: str, order: str) -> DataFrame:
     return df.withColumn("unique_name", F.when(n == 1, F.col(base)).otherwise(F.concat_ws("_", base, n.cast("string"))))
 
 
-def fingerprint(df: DataFrame, key: str, order: str, value: str, chunk: int = ordered.CHUNK) -> DataFrame:
-    """(key, n, fingerprint): SHA-256 over a key's values in order, one a line; of more than ``chunk`` values as a tree, see ordered.digest_tree."""
+def fingerprint(df: DataFrame, key: str, order: str, value: str, chunk: int | None = ordered.CHUNK) -> DataFrame:
+    """(key, n, fingerprint): SHA-256 over a key's values in order, one a line; of more than ``chunk`` values as a tree, see ordered.digest_tree.
+
+    Without a chunk it is one SHA-256 over all values, however many, see ordered.digest_chain.
+    """
+    if chunk is None:
+        return ordered.digest_chain(df, [key], [order], F.col(value))
     return ordered.digest_tree(df, [key], [order], F.col(value), chunk=chunk)
 
 

@@ -114,7 +114,7 @@ def common_root(t: Tables) -> DataFrame:
 WITH {URLS} SELECT batch, count(*) AS n, sha256(array_to_string(list(sha256(html) ORDER BY page_id), chr(10))) AS fingerprint FROM u GROUP BY batch
 """)
 def batch_fingerprint(t: Tables) -> DataFrame:
-    return inventory.fingerprint(urls(t).withColumn("digest", F.sha2("html", 256)), "batch", "page_id", "digest")
+    return inventory.fingerprint(urls(t).withColumn("digest", F.sha2("html", 256)), "batch", "page_id", "digest", chunk=None)
 
 
 def _tree_sql(levels: int, chunk: int) -> str:

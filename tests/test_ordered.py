@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from parchment.operators import gates, inventory, ordered
 from parchment.plans import jobs
+from parchment.plans.queries import ORACLE, QUERIES
 
 
 def table(spark):
@@ -64,3 +65,36 @@ def test_delivery_manifest_of_equal_paths(spark):
     chosen = spark.createDataFrame([("b", "b/F"), ("b", "b/f")], "batch string, folder string")
     got = jobs.delivery_manifest(files, chosen).collect()
     assert [tuple(r) for r in got] == [("b", "B/f", 2, 7, tree(["2", "1"], 9))]
+
+
+@pytest.mark.parametrize("window_rows", [10_000, 1])
+def test_digest_chain(spark, window_rows):
+    """One SHA-256 over all values, over pieces and batches; null values are left out, also where they fill a piece."""
+    rows = [("a", i, f"v{i}é") for i in range(15)] + [("b", i, None if i < 7 else "" if i == 7 else "x") for i in range(9)] + [(None, 1, "y"), ("n", 1, None)]
+    df = spark.createDataFrame(rows, "k string, o int, v string")
+    want = {}
+    for k, _, v in rows:
+        want.setdefault(k, []).append(v)
+    for piece in (1, 3, 64):
+        got = {r.k: (r.n, r.total, r.fingerprint) for r in ordered.digest_chain(df, ["k"], ["o"], F.col("v"), {"total": F.col("o")}, piece, window_rows).collect()}
+        assert {k: (x[0], x[2]) for k, x in got.items()} == {k: (len(v), tree(v, 100)) for k, v in want.items()} and got["a"][1] == 105
+    assert ordered.digest_chain(df.where("false"), ["k"], ["o"], F.col("v")).count() == 0
+
+
+def one_host(spark, folder, n=13_000):
+    pages = spark.range(0, n, 1, 4).select(F.col("id").alias("page_id"), F.concat(F.lit("http://a.example/x"), "id").alias("url"), F.concat(F.lit("<p>"), "id").alias("html"))
+    pages.write.parquet(f"{folder}/pages.parquet")
+    return str(folder)
+
+
+def equals_sql(spark, name, folder):
+    duckdb = pytest.importorskip("duckdb")
+    con = duckdb.connect()
+    con.execute(f"create view pages as select * from read_parquet('{folder}/pages.parquet/*.parquet')")
+    want = con.sql(ORACLE[name])
+    got = QUERIES[name](spark, folder).select(*want.columns)
+    return sorted(map(tuple, got.collect()), key=repr) == sorted(want.fetchall(), key=repr)
+
+
+def test_batch_fingerprint_of_a_large_host(spark, tmp_path):
+    assert equals_sql(spark, "batch_fingerprint", one_host(spark, tmp_path))
