@@ -100,13 +100,15 @@ def unified_run(stages: str, results: dict[str, DataFrame]) -> DataFrame:
 
 
 def delivery_manifest(
-    files: DataFrame, selection: DataFrame, batch: str = "batch", folder: str = "folder", path: str = "path", chunk: int = ordered.CHUNK
+    files: DataFrame, selection: DataFrame, batch: str = "batch", folder: str = "folder", path: str = "path", chunk: int | None = ordered.CHUNK
 ) -> DataFrame:
     """(batch, folder, files, bytes, fingerprint) of the approved projects' files to deliver, in folded path order.
 
-    files (batch, folder, path, length, sha256); selection (batch, folder), folders folded. See ordered.digest_tree for large folders.
+    files (batch, folder, path, length, sha256); selection (batch, folder), folders folded. See ordered.digest_tree for large folders;
+    without a chunk, ordered.digest_chain gives one SHA-256 over all of a folder's files.
     """
     wanted = selection.select(F.col(batch).alias("__b"), F.lower(folder).alias("__f")).distinct()
     rows = inventory.delivery_files(files, path).join(wanted, (F.col(batch) == F.col("__b")) & (F.lower(folder) == F.col("__f")), "left_semi")
-    out = ordered.digest_tree(rows, [batch, folder], [F.lower(path).alias("o"), path], F.col("sha256"), {"bytes": F.col("length")}, chunk)
+    given = (rows, [batch, folder], [F.lower(path).alias("o"), path], F.col("sha256"), {"bytes": F.col("length")})
+    out = ordered.digest_chain(*given) if chunk is None else ordered.digest_tree(*given, chunk)
     return out.select(batch, folder, F.col("n").alias("files"), "bytes", "fingerprint")

@@ -141,7 +141,7 @@ FROM u WHERE role <> 'temp' AND folder NOT LIKE '%/d2' GROUP BY ALL
 def delivery_manifest(t: Tables) -> DataFrame:
     f = urls(t)
     approved = f.where(~F.col("folder").endswith("/d2")).select("batch", F.upper("folder").alias("folder"))
-    return jobs.delivery_manifest(f.withColumn("sha256", F.sha2("html", 256)), approved)
+    return jobs.delivery_manifest(f.withColumn("sha256", F.sha2("html", 256)), approved, chunk=None)
 
 
 @query("SELECT page_id, (instr(html, '<!--') - 1)::INTEGER AS at_char, regexp_extract(html, '(?s)<!--.*?-->') AS comment FROM pages WHERE contains(html, '<!--')")

@@ -98,3 +98,7 @@ def equals_sql(spark, name, folder):
 
 def test_batch_fingerprint_of_a_large_host(spark, tmp_path):
     assert equals_sql(spark, "batch_fingerprint", one_host(spark, tmp_path))
+
+
+def test_delivery_manifest_of_a_large_folder(spark, tmp_path):
+    assert equals_sql(spark, "delivery_manifest", one_host(spark, tmp_path))
