@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from parchment.functions import media, text, years
 from parchment.operators import inventory
 from parchment.operators.gates import is_sampled, sample_size
+from parchment.plans.queries import ORACLE, QUERIES
 
 
 def column(spark, values, c, kind="string"):
@@ -177,3 +178,23 @@ def test_running_sum(spark):
     data = [(n, list(range(n))) for n in (0, 1, 2, 255, 256, 257, 1000)]
     got = spark.createDataFrame(data, "n int, a array<int>").select("n", "a", years.running_sum(F.col("a")).alias("s")).collect()
     assert all(r.s == [sum(r.a[: i + 1]) for i in range(r.n)] for r in got) and len(got) == len(data)
+
+
+def test_each_mention_of_a_year_has_its_own_context(spark):
+    """Two mentions of one year within 32 characters: what stands around one says nothing of the other."""
+    keep, update = ("YEAR.{0,8}(?:HIGH|LOW)", "(?:since).{0,8}YEAR"), ("(?:current|now).{0,16}YEAR",)
+    texts = ["since 1996, order 1996", "now 1996 and then, for the rest, 1996", "\U0001f600\U0001f600 1996 it is 1996 HIGH", "1996"]
+    df = spark.createDataFrame([(t,) for t in texts], "c string").select(years.rewrite_years(F.col("c"), 1999, keep, update).alias("r"))
+    got = [(r.r.text, [(d.decision, d.confidence) for d in r.r.decisions]) for r in df.collect()]
+    review, kept, updated = ("REVIEW", 0.5), ("KEEP", 0.95), ("UPDATE", 0.95)
+    assert got == [(texts[0], [kept, review]), (texts[1].replace("now 1996", "now 1999"), [updated, review]), (texts[2], [review, kept]), ("1996", [review])]
+
+
+def test_year_rewrite_of_an_order_numbered_like_its_year(spark, tmp_path):
+    duckdb = pytest.importorskip("duckdb")
+    con = duckdb.connect()
+    con.execute(f"copy (select 1990 + i as o_orderkey, timestamp '1990-01-01' + to_years(i::integer) as o_orderdate, '1-URGENT' as o_orderpriority from range(12) r(i)) to '{tmp_path}/orders.parquet'")
+    con.execute(f"create view orders as select * from '{tmp_path}/orders.parquet'")
+    want = con.sql(ORACLE["year_rewrite"])
+    got = QUERIES["year_rewrite"](spark, str(tmp_path)).select(*want.columns)
+    assert sorted(map(tuple, got.collect())) == sorted(want.fetchall())
