@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -41,30 +40,24 @@ def duplicate_covers(paras: DataFrame, doc: str, order: str, page: str, is_title
     return hits.join(tail, (F.col(doc) == F.col("__doc")) & (F.col("label_order") == F.col("__order"))).select(doc, order, "label_order", "first", "last")
 
 
+#: a text of nothing but white space, as str.strip takes it
+BLANK = r"\A[\x09-\x0D\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]*\z"
+
+
 def collapse_blanks(paras: DataFrame, doc: str, order: str, text: str, emptied: str) -> DataFrame:
     """(doc, order, text): without emptied rows; where a removal brings two blank rows together, the later one goes too.
 
-    Removals act one after another in order, so a document is one group; its size is that of its paragraphs.
+    Removals act one after another in order. A row that isn't emptied goes if it is blank, the row before it is emptied, and the last
+    row that stays before that is blank. That is blank if the last row that isn't emptied is: where that one goes itself, it is blank
+    and so is the one it met. So a window tells all rows, without a group in Python.
     """
-
-    def fold_rows(table: pa.Table) -> pa.Table:
-        kept: list[dict] = []
-        rows = sorted(table.to_pylist(), key=lambda r: r[order])
-        skip = False
-        for i, row in enumerate(rows):
-            if skip:
-                skip = False
-                continue
-            if not row[emptied]:
-                kept.append(row)
-                continue
-            after = rows[i + 1] if i + 1 < len(rows) else None
-            skip = bool(kept and after and not (kept[-1][text] or "").strip() and not (after[text] or "").strip() and not after[emptied])
-        return pa.Table.from_pylist([{k: r[k] for k in (doc, order, text)} for r in kept], table.select([doc, order, text]).schema)
-
-    kinds = dict(paras.dtypes)
-    schema = ", ".join(f"{c} {kinds[c]}" for c in (doc, order, text))
-    return paras.select(doc, order, text, emptied).groupBy(doc).applyInArrow(fold_rows, schema)
+    here = Window.partitionBy(doc).orderBy(order)
+    gone, blank = F.coalesce(F.col(emptied), F.lit(False)), F.rlike(F.coalesce(F.col(text), F.lit("")), F.lit(BLANK))
+    rows = paras.select(doc, order, text, gone.alias("__gone"), blank.alias("__blank"))
+    before = F.last(F.when(~F.col("__gone"), F.col("__blank")), ignorenulls=True).over(here.rowsBetween(Window.unboundedPreceding, -1))
+    meets = F.lag("__gone").over(here) & F.col("__blank") & before
+    rows = rows.withColumn("__meets", F.coalesce(meets, F.lit(False)))
+    return rows.where(~F.col("__gone") & ~F.col("__meets")).select(doc, order, text)
 
 
 def edges(df: DataFrame, key: str, order: str, value: str) -> DataFrame:
